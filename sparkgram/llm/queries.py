@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkgram.llm import bpe
+from sparkgram.llm import audio, bpe, secrets
 from sparkgram.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,8 +18,20 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.media_digests(table(spark, sf_dir, "documents"))
+
+
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(table(spark, sf_dir, "documents")).drop("findings")
+
+
 def queries() -> dict[str, Query]:
-    return {"op10_byte_bpe": op10_byte_bpe}
+    return {
+        "op3_media_columns": op3_media_columns,
+        "op8_secret_scans": op8_secret_scans,
+        "op10_byte_bpe": op10_byte_bpe,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
