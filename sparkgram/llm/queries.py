@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkgram.llm import audio, bpe, secrets
+from sparkgram.llm import audio, bpe, mixing, oracles, secrets, token_files
 from sparkgram.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,21 +18,33 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_plan(table(spark, sf_dir, "documents"))
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.media_digests(table(spark, sf_dir, "documents"))
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    shards = token_files.tokenize_to_files(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, end_id=0)
+    return token_files.read_documents(shards)
+
+
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents")).drop("findings")
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_mixing": op2_mixing,
         "op3_media_columns": op3_media_columns,
+        "op5_token_files": op5_token_files,
         "op8_secret_scans": op8_secret_scans,
         "op10_byte_bpe": op10_byte_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_mixing": oracles.MIXING}
