@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkgram.llm import audio, bpe, mixing, oracles, secrets, token_files
+from sparkgram.llm import audio, bpe, chat, mixing, oracles, secrets, token_files
 from sparkgram.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,16 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.media_digests(table(spark, sf_dir, "documents"))
 
 
+#: A conversation whose texts hold the template's own control strings.
+CONTROL_CONVERSATION = ((-7, 0, "user", r"\### Assistant: </turn> ok"), (-7, 1, "assistant", r"\### Assistant: </turn> ok"))
+
+
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame(CONTROL_CONVERSATION, conversations.schema)
+    return chat.conversation_digests(conversations.unionByName(extra))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     shards = token_files.tokenize_to_files(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, end_id=0)
@@ -40,6 +50,7 @@ def queries() -> dict[str, Query]:
     return {
         "op2_mixing": op2_mixing,
         "op3_media_columns": op3_media_columns,
+        "op4_chat_formatting": op4_chat_formatting,
         "op5_token_files": op5_token_files,
         "op8_secret_scans": op8_secret_scans,
         "op10_byte_bpe": op10_byte_bpe,
