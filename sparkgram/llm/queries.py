@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkgram.llm import audio, bpe, chat, fingerprints, mixing, oracles, secrets, token_files
+from sparkgram.llm import audio, bpe, chat, fingerprints, mixing, near_dedup, oracles, secrets, token_files
 from sparkgram.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +46,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(shards)
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents")).drop("findings")
 
@@ -57,6 +61,7 @@ def queries() -> dict[str, Query]:
         "op3_media_columns": op3_media_columns,
         "op4_chat_formatting": op4_chat_formatting,
         "op5_token_files": op5_token_files,
+        "op6_near_dedup": op6_near_dedup,
         "op8_secret_scans": op8_secret_scans,
         "op10_byte_bpe": op10_byte_bpe,
     }
