@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkgram.llm import audio, bpe, chat, fingerprints, mixing, near_dedup, oracles, secrets, token_files
+from sparkgram.llm import audio, bpe, chat, fingerprints, mixing, near_dedup, oracles, secrets, token_files, toxicity
 from sparkgram.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,11 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents")).drop("findings")
 
@@ -62,6 +67,7 @@ def queries() -> dict[str, Query]:
         "op4_chat_formatting": op4_chat_formatting,
         "op5_token_files": op5_token_files,
         "op6_near_dedup": op6_near_dedup,
+        "op7_toxicity": op7_toxicity,
         "op8_secret_scans": op8_secret_scans,
         "op10_byte_bpe": op10_byte_bpe,
     }
