@@ -26,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from sparkgram.llm.common import bounded_batches
+from sparkgram.llm.common import PieceCache, bounded_batches
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -92,7 +92,7 @@ class BytePairEncoder:
     #: Bytes of new pre-tokens merged in one run of the queue.
     RUN_BYTES = 1 << 20
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = 500_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.find = regex.compile(pattern).findall
         size = max(ranks.values()) + 1
@@ -101,8 +101,7 @@ class BytePairEncoder:
             self.token[rank] = token
         self.decimal = [str(i) for i in range(size)]
         self.queue = RankQueue(size)
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.cache = cache
+        self.known = PieceCache()
 
     def merge(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
         """Ids of pre-tokens.
@@ -168,7 +167,7 @@ class BytePairEncoder:
         return out
 
     def learn(self, pieces: set[str]) -> None:
-        """Puts the ids of pre-tokens into ``known``."""
+        """Puts the ids of pre-tokens among the known ones."""
         run, size = [], 0
         for piece in pieces:
             run.append(piece)
@@ -181,7 +180,7 @@ class BytePairEncoder:
 
     def _learn(self, run: list[str]) -> None:
         raw = [piece.encode("utf-8") for piece in run]
-        ranks, known = self.ranks, self.known
+        ranks, known = self.ranks, self.known.values
         rest = []
         for piece, data in zip(run, raw, strict=True):
             if (r := ranks.get(data)) is not None:
@@ -194,17 +193,12 @@ class BytePairEncoder:
     def encode_batch(self, texts: list[str | None]) -> Iterator[list[int]]:
         """Ids of each text, without special tokens."""
         found = [self.find(t) if t else [] for t in texts]
-        missing = set(chain.from_iterable(found)).difference(self.known)
-        if len(self.known) + len(missing) > self.cache:
-            self.known.clear()
-            missing = set(chain.from_iterable(found))
+        missing = self.known.missing(set(chain.from_iterable(found)))
         self.learn(missing)
-        get = self.known.__getitem__
+        get = self.known.values.__getitem__
         for pieces in found:
             yield list(chain.from_iterable(map(get, pieces)))
-        for piece in missing:
-            if len(piece) > 48:
-                del self.known[piece]
+        self.known.forget_long(missing)
 
     def encode(self, text: str | None) -> list[int]:
         return next(iter(list(self.encode_batch([text]))))

@@ -104,6 +104,39 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+class PieceCache:
+    """Remembers values of frequent keys in two generations.
+
+    ``values`` holds what is in use; when it is full it becomes the old
+    generation, from which a key that comes up again is fetched back.  So the
+    frequent keys stay, and memory is bounded by twice ``limit`` keys.
+    """
+
+    #: Longer keys are rarely met again; they are forgotten after their batch.
+    LONGEST = 48
+
+    def __init__(self, limit: int = 300_000):
+        self.values: dict = {}
+        self.old: dict = {}
+        self.limit = limit
+
+    def missing(self, keys: set) -> set:
+        """The keys whose values must be put; makes room for them and fetches old ones."""
+        new = keys.difference(self.values)
+        if len(self.values) + len(new) > self.limit:
+            self.old, self.values = self.values, {}
+            new = keys
+        back = new.intersection(self.old)
+        for key in back:
+            self.values[key] = self.old[key]
+        return new - back
+
+    def forget_long(self, keys) -> None:
+        for key in keys:
+            if len(key) > self.LONGEST:
+                del self.values[key]
+
+
 #: Odd multipliers, one for each place of a shingle (splitmix64 of 1, 2, ...).
 def _odd_constants(n: int, seed: int) -> np.ndarray:
     return mix64(np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed << 20)) | np.uint64(1)

@@ -31,10 +31,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkgram.llm.bpe import slices
-from sparkgram.llm.common import bounded_batches, cut, mix64, scratch_path
+from sparkgram.llm.common import PieceCache, bounded_batches, cut, mix64, scratch_path
 
 #: Ids a shard aims at.
-SHARD_IDS = 1 << 20
+SHARD_IDS = 1 << 19
 #: Keys a bucket of the hash function holds on average.
 BUCKET_KEYS = 4
 FORMAT = 1
@@ -150,7 +150,7 @@ def encode_ids(docs: DataFrame, load: Callable, end_id: int, width: int, id_col:
 
     ``load`` gives, once a Python process, a function from texts to the raw ids.
     """
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, 1024)
     kind = docs.schema[id_col].dataType.simpleString()
     end = end_id.to_bytes(width, "little")
 
@@ -169,6 +169,7 @@ def write_shards(encoded: DataFrame, path: str, width: int, id_col: str = "doc_i
     ``encoded`` should be a stored table: range partitioning samples its keys
     first, which then reads one column.
     """
+    bounded_batches(encoded.sparkSession)
     kind = encoded.schema[id_col].dataType.simpleString()
     key_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
 
@@ -268,7 +269,7 @@ class PieceEncoder:
     ``pattern`` yields and that have no normaliser.
     """
 
-    def __init__(self, path: str, pattern: str, width: int, cache: int = 500_000):
+    def __init__(self, path: str, pattern: str, width: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -276,24 +277,46 @@ class PieceEncoder:
         if self.tokenizer.normalizer is not None:
             raise ValueError("a normaliser changes texts before they are split")
         self.find = regex.compile(pattern).findall
-        self.known: dict[str, bytes] = {}
-        self.cache, self.type = cache, f"<u{width}"
+        self.known, self.type = PieceCache(), f"<u{width}"
+
+    #: New pre-tokens encoded as one text.
+    JOINED = 4000
+
+    def _learn_joined(self, pieces: list[str]) -> None:
+        """Encodes pieces as one text, unless the tokenizer splits it otherwise."""
+        got = self.tokenizer.encode("".join(pieces), add_special_tokens=False)
+        word = np.array(got.word_ids, np.int64)
+        if not len(word) or word[-1] + 1 != len(pieces):
+            return
+        width = np.dtype(self.type).itemsize
+        data = np.array(got.ids, self.type).tobytes()
+        ends = (np.cumsum(np.bincount(word, minlength=len(pieces))) * width).tolist()
+        at = 0
+        for piece, end in zip(pieces, ends, strict=True):
+            self.known.values[piece] = data[at:end]
+            at = end
+
+    def _learn(self, found: list[list[str]]) -> list[str]:
+        """Puts the ids of all pieces among the known ones; returns the new pieces."""
+        new = list(self.known.missing(set(chain.from_iterable(found))))
+        values = self.known.values
+        # a space and letters: such pieces stay apart when they stand in one text
+        words = [p for p in new if p[0] == " " and p[1:].isalpha()]
+        for at in range(0, len(words), self.JOINED):
+            self._learn_joined(words[at : at + self.JOINED])
+        rest = [p for p in new if p not in values]
+        for piece, got in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            values[piece] = np.array(got.ids, self.type).tobytes()
+        return new
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
+        """Raw ids of each text."""
         found = [self.find(t) if t else [] for t in texts]
-        missing = set(chain.from_iterable(found)).difference(self.known)
-        if len(self.known) + len(missing) > self.cache:
-            self.known.clear()
-            missing = set(chain.from_iterable(found))
-        new = list(missing)
-        for piece, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[piece] = np.array(got.ids, self.type).tobytes()
-        get = self.known.__getitem__
+        new = self._learn(found)
+        get = self.known.values.__getitem__
         for pieces in found:
             yield b"".join(map(get, pieces))
-        for piece in new:
-            if len(piece) > 48:
-                del self.known[piece]
+        self.known.forget_long(new)
 
 
 _loaded: dict[tuple, PieceEncoder] = {}
