@@ -7,12 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkgram.llm import audio, bpe, chat, fingerprints, mixing, near_dedup, oracles, secrets, token_files, toxicity
+from sparkgram.llm import audio, bpe, chat, fingerprints, html_text, mixing, near_dedup, oracles, secrets, token_files, toxicity
 from sparkgram.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = html_text.fit(html_text.labelled_pages(html_text.TRAINING_PAGES, html_text.SEED))
+    return html_text.extract_pages(table(spark, sf_dir, "pages"), model)
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe.token_digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -69,6 +74,7 @@ def queries() -> dict[str, Query]:
         "op6_near_dedup": op6_near_dedup,
         "op7_toxicity": op7_toxicity,
         "op8_secret_scans": op8_secret_scans,
+        "op9_html_text": op9_html_text,
         "op10_byte_bpe": op10_byte_bpe,
     }
 
