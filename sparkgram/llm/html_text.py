@@ -236,6 +236,9 @@ class ContentModel:
     def extract(self, source: str | None) -> str:
         page = parse(source)
         keep = [p >= 0.5 for p in self.marginals(page)]
+        for node, tag in enumerate(page.tags):  # inline markup without words of its own goes with what it stands in
+            if tag in INLINE and not page.words[node] and node:
+                keep[node] = keep[page.parents[node]]
         blocks, run = [], []
         for node, t in page.runs:
             if node < 0:
