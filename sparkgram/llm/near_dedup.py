@@ -12,11 +12,16 @@
    J = (m - c) / (1 - c), c = 2^-BITS.  What is at least ``FLOOR`` (more than
    five standard deviations under the threshold) is confirmed on the full sets.
 4. Links make components.  A bucket whose members are all in one component is
-   finished.  In the others, the members outside the component of the least one
-   are compared with all members of other components: by signatures again, in
-   blocks of ``BLOCK``, so that no task holds a whole bucket; survivors are
-   confirmed on the full sets.  Thus every pair that shares a band is compared
-   or already joined, and no bucket or partner list is capped.
+   finished.  The members of the others get signatures of ``LONG`` minima, whose
+   estimates are far sharper, and their sets are kept at hand.
+5. ``PIVOT_ROUNDS`` times each open bucket names a member by hash, and members of
+   other components are its candidates; new links merge components.  That is
+   linear too, and leaves little.
+6. What is left is compared in full: members outside the pivot's component with
+   all members of other components, by bit counts, in blocks of ``BLOCK`` so that
+   no task holds a whole bucket; survivors are confirmed on the full sets.  Thus
+   every pair that shares a band is compared or already joined, and no bucket or
+   partner list is capped.
 
 A pair at the threshold shares no band with probability (1 - 0.75^4)^32 < 1e-5.
 
@@ -48,22 +53,26 @@ PERCENT = 75
 FLOOR = 0.5
 #: Members of a bucket that a block holds.
 BLOCK = 512
+#: Minima of the long signatures, and the least similarity that they let pass:
+#: more than four standard deviations under the threshold.
+LONG, LONG_FLOOR = 1024, 0.68
+PIVOT_ROUNDS = 2
 
-_MULTIPLIERS = mix64(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64)) | np.uint64(1)
-_OFFSETS = mix64(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64) << np.uint64(32))
+_MULTIPLIERS = mix64(np.arange(1, LONG + 1, dtype=np.uint64)) | np.uint64(1)
+_OFFSETS = mix64(np.arange(1, LONG + 1, dtype=np.uint64) << np.uint64(32))
 _BAND_KEYS = mix64(np.arange(BANDS, dtype=np.uint64) + np.uint64(977))
 _PLACE_KEYS = mix64(np.arange(ROWS, dtype=np.uint64) + np.uint64(7919)) | np.uint64(1)
-#: Shingles hashed at once.
-_RUN = 1024
+#: Hash values computed at once.
+_RUN = 1 << 17
 
 
-def minima(hashes: np.ndarray) -> np.ndarray:
-    """The least value of each of PERMUTATIONS hash functions over the shingles."""
+def minima(hashes: np.ndarray, functions: int = PERMUTATIONS) -> np.ndarray:
+    """The least value of each of the first ``functions`` hash functions over the shingles."""
     least = None
     with np.errstate(over="ignore"):
-        for at in range(0, len(hashes), _RUN):
-            values = np.multiply.outer(_MULTIPLIERS, hashes[at : at + _RUN])
-            values += _OFFSETS[:, None]
+        for at in range(0, len(hashes), _RUN // functions):
+            values = np.multiply.outer(_MULTIPLIERS[:functions], hashes[at : at + _RUN // functions])
+            values += _OFFSETS[:functions, None]
             part = values.min(axis=1)
             least = part if least is None else np.minimum(least, part)
     return least
@@ -77,7 +86,7 @@ def band_keys(least: np.ndarray) -> np.ndarray:
 
 
 def packed(least: np.ndarray) -> list[int]:
-    """BITS planes of PERMUTATIONS bits, each plane in 64-bit words."""
+    """BITS planes with a bit for each minimum, each plane in 64-bit words."""
     low = mix64(least)
     out: list[int] = []
     for plane in range(BITS):
@@ -88,6 +97,7 @@ def packed(least: np.ndarray) -> list[int]:
 
 _WORDS = BITS * PERMUTATIONS // 64
 _PLANES = [f"s{i}" for i in range(_WORDS)]
+_LONG_PLANES = [f"l{i}" for i in range(BITS * LONG // 64)]
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -116,26 +126,26 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(id_col, text_col).mapInArrow(run, ddl)
 
 
-def _similarity(a: str, b: str) -> Column:
+def _similarity(a: str, b: str, planes: list[str]) -> Column:
     """Collision-corrected similarity of two packed signatures, by bit counts."""
-    per_plane = PERMUTATIONS // 64
+    per_plane = len(planes) // BITS
     unlike = None
     for word in range(per_plane):
         differs = None
         for plane in range(BITS):
-            s = _PLANES[plane * per_plane + word]
+            s = planes[plane * per_plane + word]
             x = F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))
             differs = x if differs is None else differs.bitwiseOR(x)
         n = F.bit_count(differs)
         unlike = n if unlike is None else unlike + n
     c = 2.0**-BITS
-    return ((1 - unlike / F.lit(float(PERMUTATIONS))) - c) / (1 - c)
+    return ((1 - unlike / F.lit(64.0 * per_plane)) - c) / (1 - c)
 
 
-def _may_link(a: str, b: str) -> Column:
+def _may_link(a: str, b: str, planes: list[str] = _PLANES, floor: float = FLOOR) -> Column:
     """Whether sizes and signatures allow a link."""
     na, nb = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
-    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * PERCENT) & (_similarity(a, b) >= FLOOR)
+    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * PERCENT) & (_similarity(a, b, planes) >= floor)
 
 
 def confirmed(candidates: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -187,15 +197,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = cut(confirmed(cut(candidates, "candidates"), docs, id_col, text_col), "links")
     roots = connected_components(links)
 
-    # buckets that hold more than one component
-    rooted = cut(_with_root(placed, roots, "id", "root"), "rooted")
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by("root", "id").alias("least_root"), F.count("*").alias("n")).where("lo <> hi")
-    mixed = mixed.select("key", "least_root", "n").hint("rebalance")
-    open_members = cut(rooted.select("key", "id", "root").join(mixed, "key"), "open")
-    more = cut(_across(open_members, nodes), "more")
-    if more.limit(1).count():
-        links = links.unionByName(confirmed(more, docs, id_col, text_col))
-        roots = connected_components(links)
+    links, roots = _between_components(placed, links, roots, docs, id_col, text_col)
 
     of_class = _with_root(classes.select("k0", "k1", "id"), roots, "id", "component_id").select(F.col("k0").alias("_k0"), F.col("k1").alias("_k1"), "component_id")
     of_class = cut(of_class, "of_class")
@@ -211,32 +213,89 @@ def _with_root(rows: DataFrame, roots: DataFrame, key: str, name: str) -> DataFr
     return rows.join(r, rows[key] == r._vertex, "left").withColumn(name, F.coalesce("_root", key)).drop("_vertex", "_root")
 
 
-def _filtered(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _filtered(pairs: DataFrame, nodes: DataFrame, planes: list[str] = _PLANES, floor: float = FLOOR) -> DataFrame:
     """The pairs (a, b) that sizes and signatures let pass."""
     joined = pairs.alias("p").join(nodes.alias("x"), F.col("p.b") == F.col("x.id")).join(nodes.alias("y"), F.col("p.a") == F.col("y.id"))
-    return joined.where(_may_link("x", "y")).select("p.a", "p.b").distinct()
+    return joined.where(_may_link("x", "y", planes, floor)).select("p.a", "p.b").distinct()
+
+
+def _between_components(placed: DataFrame, links: DataFrame, roots: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Links between components whose members share a bucket: steps 4 to 6."""
+    members = _open_members(placed, roots, 0)
+    if not members.limit(1).count():
+        return links, roots
+    at_hand = cut(_long_signatures(docs, members.select("id").distinct(), id_col, text_col), "long")
+    nodes, sets = at_hand.drop("shingles"), at_hand.select("id", "n_shingles", "shingles")
+    for turn in range(PIVOT_ROUNDS):
+        to_pivot = members.where("root <> pivot_root").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+        new = cut(_exact(cut(_filtered(to_pivot, nodes, _LONG_PLANES, LONG_FLOOR), "pivots"), sets), "links")
+        if new.limit(1).count():
+            links = links.unionByName(new)
+            roots = connected_components(links)
+        members = _open_members(placed, roots, turn + 1)
+    new = cut(_exact(cut(_across(members, nodes), "rest"), sets), "links")
+    if new.limit(1).count():
+        links = links.unionByName(new)
+        roots = connected_components(links)
+    return links, roots
+
+
+def _open_members(placed: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
+    """``(key, id, root, pivot, pivot_root, n)`` of the buckets with several components."""
+    rooted = cut(_with_root(placed.select("key", "id"), roots, "id", "root"), "rooted")
+    by_hash = F.xxhash64("id", "key", F.lit(turn))
+    pivot = F.min(F.struct(by_hash.alias("h"), "id", "root")).alias("pivot")
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), pivot, F.count("*").alias("n")).where("lo <> hi")
+    mixed = mixed.select("key", F.col("pivot.id").alias("pivot"), F.col("pivot.root").alias("pivot_root"), "n").hint("rebalance")
+    return cut(rooted.join(mixed, "key"), "open")
+
+
+def _long_signatures(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(id, n_shingles, l0.., shingles)`` of the documents in ``ids``."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    names = ["id", "n_shingles", *_LONG_PLANES, "shingles"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            keys, rows = [], []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                s = shingle_hashes(text, hashes, WIDTH)
+                if len(s):
+                    keys.append(key)
+                    rows.append([len(s), *packed(minima(s, LONG)), s.view(np.int64)])
+            if rows:
+                columns = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), *(pa.array(c, pa.int64()) for c in columns[:-1]), pa.array(columns[-1], pa.list_(pa.int64()))], names=names)
+
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    texts = texts.join(ids, texts["_id"] == ids["id"], "left_semi")
+    return texts.mapInArrow(run, f"id {kind}, n_shingles long, {', '.join(f'{s} long' for s in _LONG_PLANES)}, shingles array<long>")
+
+
+def _exact(candidates: DataFrame, sets: DataFrame) -> DataFrame:
+    """The candidates (a, b) whose sets, which are at hand, are similar enough."""
+    pairs = candidates.alias("p").join(sets.alias("y"), F.col("p.b") == F.col("y.id")).join(sets.alias("x"), F.col("p.a") == F.col("x.id"))
+    common = F.size(F.array_intersect("x.shingles", "y.shingles"))
+    return pairs.where(common * 100 >= (F.col("x.n_shingles") + F.col("y.n_shingles") - common) * PERCENT).select("p.a", "p.b").distinct()
 
 
 def _across(members: DataFrame, nodes: DataFrame) -> DataFrame:
     """Candidates between components within the buckets of ``members``.
 
-    ``members`` has (key, id, root, least_root, n).  The minor side are the
-    members outside the component of the bucket's least one.
+    The minor side are the members outside the component of the bucket's pivot.
     """
-    minor = members.where("root <> least_root")
+    minor = members.where("root <> pivot_root")
     counted = minor.groupBy("key").agg(F.count("*").alias("n_minor")).hint("rebalance")
-    minor = minor.join(counted, "key")
-    every = members.join(counted.withColumnRenamed("n_minor", "n_all_minor"), "key")
-    x = minor.join(nodes.withColumnRenamed("id", "_n"), F.col("id") == F.col("_n")).drop("_n")
-    y = every.join(nodes.withColumnRenamed("id", "_n"), F.col("id") == F.col("_n")).drop("_n")
+    rows = members.join(counted, "key").join(nodes.withColumnRenamed("id", "_n"), F.col("id") == F.col("_n")).drop("_n")
     blocks = lambda n: F.greatest(F.ceil(F.col(n) / BLOCK), F.lit(1)).cast("int")
     own = lambda n: F.pmod(F.xxhash64("id"), blocks(n)).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
-    x = x.withColumn("i", own("n_minor")).withColumn("j", upto("n")).alias("x")
-    y = y.withColumn("j", own("n")).withColumn("i", upto("n_all_minor")).alias("y")
+    x = rows.where("root <> pivot_root").withColumn("i", own("n_minor")).withColumn("j", upto("n")).alias("x")
+    y = rows.withColumn("j", own("n")).withColumn("i", upto("n_minor")).alias("y")
     same_block = (F.col("x.key") == F.col("y.key")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
-    once = (F.col("y.root") == F.col("y.least_root")) | (F.col("x.id") < F.col("y.id"))
-    pairs = x.join(y, same_block & (F.col("x.root") != F.col("y.root")) & once & _may_link("x", "y"))
+    once = (F.col("y.root") == F.col("y.pivot_root")) | (F.col("x.id") < F.col("y.id"))
+    pairs = x.join(y, same_block & (F.col("x.root") != F.col("y.root")) & once & _may_link("x", "y", _LONG_PLANES, LONG_FLOOR))
     return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
