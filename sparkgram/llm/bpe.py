@@ -23,10 +23,9 @@ from collections.abc import Iterator
 from itertools import chain
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
-from sparkgram.llm.common import PieceCache, bounded_batches
+from sparkgram.llm.common import PieceCache, bounded_batches, piece_finder
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -94,7 +93,7 @@ class BytePairEncoder:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
-        self.find = regex.compile(pattern).findall
+        self.find = piece_finder(pattern)
         size = max(ranks.values()) + 1
         self.token = [b""] * size
         for token, rank in ranks.items():

@@ -20,18 +20,18 @@ own, whole.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkgram.llm.bpe import slices
-from sparkgram.llm.common import PieceCache, bounded_batches, cut, mix64, scratch_path
+from sparkgram.llm.common import bounded_batches, cut, mix64, piece_finder, scratch_path
 
 #: Ids a shard aims at.
 SHARD_IDS = 1 << 19
@@ -145,8 +145,20 @@ def shard_schema(kind: str) -> str:
     return f"part int, seq int, format int, width int, n_ids long, first_key {kind}, last_key {kind}, keys array<{kind}>, offsets binary, pilots binary, slots binary, ids binary"
 
 
-def encode_ids(docs: DataFrame, load: Callable, end_id: int, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, ids binary)``: ids of each text and the end id, raw little-endian.
+def range_bounds(docs: DataFrame, id_col: str, parts: int) -> list:
+    """Upper bounds of ``parts`` ranges of about equal numbers of ids; one column is read."""
+    ids = docs.select(id_col).where(F.col(id_col).isNotNull())
+    if docs.schema[id_col].dataType.simpleString() in ("bigint", "int"):
+        shares = [i / parts for i in range(1, parts)]
+        return sorted(set(ids.stat.approxQuantile(id_col, shares, 0.2 / parts))) if shares else []
+    # other kinds: a bounded sample of distinct ids, by hash
+    picked = sorted(r[0] for r in ids.distinct().orderBy(F.xxhash64(id_col)).limit(parts * 20).collect())
+    return [picked[i * len(picked) // parts] for i in range(1, parts)] if len(picked) >= parts else []
+
+
+def encode_ids(docs: DataFrame, load: Callable, end_id: int, width: int, bounds: list, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, part, ids binary)``: ids of each text and the end id, raw
+    little-endian, and the range of ``bounds`` that the id falls in.
 
     ``load`` gives, once a Python process, a function from texts to the raw ids.
     """
@@ -158,25 +170,22 @@ def encode_ids(docs: DataFrame, load: Callable, end_id: int, width: int, id_col:
         raw_ids = load()
         for batch in batches:
             raw = [x + end for part in slices(batch.column(1).to_pylist()) for x in raw_ids(part)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["id", "ids"])
+            part = [0 if key is None else bisect_left(bounds, key) for key in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(part, pa.int32()), pa.array(raw, pa.binary())], names=["id", "part", "ids"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, ids binary").withColumnRenamed("id", id_col)
+    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, part int, ids binary").withColumnRenamed("id", id_col)
 
 
-def write_shards(encoded: DataFrame, path: str, width: int, id_col: str = "doc_id", shard_ids: int = SHARD_IDS) -> None:
-    """Writes the shards of ``(id, ids)`` in ascending order of the id.
+def write_shards(encoded: DataFrame, path: str, width: int, parts: int, id_col: str = "doc_id", shard_ids: int = SHARD_IDS) -> None:
+    """Writes the shards of ``(id, part, ids)`` in ascending order of the id.
 
-    ``encoded`` should be a stored table: range partitioning samples its keys
-    first, which then reads one column.
+    Each range of ids is one task, so the ids move once and are stored once.
     """
-    bounded_batches(encoded.sparkSession)
     kind = encoded.schema[id_col].dataType.simpleString()
     key_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, seq = TaskContext.get().partitionId(), 0
+        part, seq = -1, 0
         keys, payload, lengths, size = [], [], [], 0
 
         def shard() -> pa.RecordBatch:
@@ -187,19 +196,22 @@ def write_shards(encoded: DataFrame, path: str, width: int, id_col: str = "doc_i
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=["part", "seq", "format", "width", "n_ids", "first_key", "last_key", "keys", "offsets", "pilots", "slots", "ids"])
 
         for batch in batches:
-            for key, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for key, of, ids in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if keys and (of != part or size >= shard_ids):
+                    yield shard()
+                    keys, payload, lengths, size = [], [], [], 0
+                    seq += 1
+                if of != part:
+                    part, seq = of, 0
                 keys.append(key)
                 payload.append(ids)
                 lengths.append(len(ids) // width)
                 size += lengths[-1]
-                if size >= shard_ids:
-                    yield shard()
-                    seq += 1
-                    keys, payload, lengths, size = [], [], [], 0
         if keys:
             yield shard()
 
-    ordered = encoded.select(id_col, "ids").repartitionByRange(F.col(id_col).asc_nulls_first()).sortWithinPartitions(F.col(id_col).asc_nulls_first(), "ids")
+    dealt = encoded.select(id_col, "part", "ids").repartitionById(parts, F.col("part"))
+    ordered = dealt.sortWithinPartitions("part", F.col(id_col).asc_nulls_first(), "ids")
     ordered.mapInArrow(run, shard_schema(kind)).write.parquet(path)
 
 
@@ -261,14 +273,32 @@ def read_documents(shards: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return found.join(shard_starts(shards), ["part", "seq"]).select(F.col("id").alias(id_col), (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
 
 
+class _Codes(dict):
+    """Numbers keys by first appearance; ``order`` lists them."""
+
+    def __init__(self):
+        super().__init__()
+        self.order: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self[key] = code = len(self.order)
+        self.order.append(key)
+        return code
+
+
 class PieceEncoder:
     """A ``tokenizers`` tokenizer that encodes each distinct pre-token once.
 
-    The tokenizer is asked for the pre-tokens that are new; texts are put
-    together from remembered ones.  That holds for tokenizers whose pre-tokens
-    ``pattern`` yields and that have no normaliser.
+    Pre-tokens are numbered; the ids of number k are ``flat[start[k] : start[k]
+    + length[k]]``, so a run of texts is one gather.  The tokenizer is asked for
+    what is new.  That holds for tokenizers whose pre-tokens ``pattern`` yields
+    and that have no normaliser.  All is forgotten at ``KEYS`` pre-tokens.
     """
 
+    KEYS = 600_000
+    #: New pre-tokens encoded as one text.
+    JOINED = 4000
+
     def __init__(self, path: str, pattern: str, width: int):
         from tokenizers import Tokenizer
 
@@ -276,47 +306,62 @@ class PieceEncoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         if self.tokenizer.normalizer is not None:
             raise ValueError("a normaliser changes texts before they are split")
-        self.find = regex.compile(pattern).findall
-        self.known, self.type = PieceCache(), f"<u{width}"
-
-    #: New pre-tokens encoded as one text.
-    JOINED = 4000
-
-    def _learn_joined(self, pieces: list[str]) -> None:
-        """Encodes pieces as one text, unless the tokenizer splits it otherwise."""
-        got = self.tokenizer.encode("".join(pieces), add_special_tokens=False)
-        word = np.array(got.word_ids, np.int64)
-        if not len(word) or word[-1] + 1 != len(pieces):
-            return
-        width = np.dtype(self.type).itemsize
-        data = np.array(got.ids, self.type).tobytes()
-        ends = (np.cumsum(np.bincount(word, minlength=len(pieces))) * width).tolist()
-        at = 0
-        for piece, end in zip(pieces, ends, strict=True):
-            self.known.values[piece] = data[at:end]
-            at = end
-
-    def _learn(self, found: list[list[str]]) -> list[str]:
-        """Puts the ids of all pieces among the known ones; returns the new pieces."""
-        new = list(self.known.missing(set(chain.from_iterable(found))))
-        values = self.known.values
-        # a space and letters: such pieces stay apart when they stand in one text
-        words = [p for p in new if p[0] == " " and p[1:].isalpha()]
-        for at in range(0, len(words), self.JOINED):
-            self._learn_joined(words[at : at + self.JOINED])
-        rest = [p for p in new if p not in values]
-        for piece, got in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            values[piece] = np.array(got.ids, self.type).tobytes()
-        return new
+        self.find, self.type = piece_finder(pattern), np.dtype(f"<u{width}")
+        self._forget()
+
+    def _forget(self) -> None:
+        self.codes = _Codes()
+        self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.used = np.zeros(1 << 20, self.type), 0
+
+    def _put(self, codes: list[int], ids: np.ndarray, lengths: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start[codes] = self.used + np.cumsum(lengths) - lengths
+        self.length[codes] = lengths
+        self.used += len(ids)
+
+    def _learn(self, known: int) -> None:
+        """Encodes the pre-tokens numbered from ``known`` on."""
+        order = self.codes.order
+        self.start = np.concatenate([self.start, np.zeros(len(order) - known, np.int64)])
+        self.length = np.concatenate([self.length, np.zeros(len(order) - known, np.int64)])
+        joined, alone = [], []
+        for code in range(known, len(order)):
+            piece = order[code]
+            # a space and letters: such pieces stay apart when they stand in one text
+            (joined if piece[0] == " " and piece[1:].isalpha() else alone).append(code)
+        for at in range(0, len(joined), self.JOINED):
+            codes = joined[at : at + self.JOINED]
+            got = self.tokenizer.encode("".join([order[c] for c in codes]), add_special_tokens=False)
+            word = np.array(got.word_ids, np.int64)
+            if word[-1] + 1 != len(codes):  # the tokenizer split them otherwise
+                alone += codes
+            else:
+                self._put(codes, np.array(got.ids, self.type), np.bincount(word, minlength=len(codes)))
+        for at in range(0, len(alone), self.JOINED):
+            codes = alone[at : at + self.JOINED]
+            got = [e.ids for e in self.tokenizer.encode_batch_fast([order[c] for c in codes], add_special_tokens=False)]
+            self._put(codes, np.fromiter(chain.from_iterable(got), self.type), np.array([len(x) for x in got], np.int64))
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
         """Raw ids of each text."""
         found = [self.find(t) if t else [] for t in texts]
-        new = self._learn(found)
-        get = self.known.values.__getitem__
-        for pieces in found:
-            yield b"".join(map(get, pieces))
-        self.known.forget_long(new)
+        if len(self.codes.order) > self.KEYS or self.used > 16 * self.KEYS:
+            self._forget()
+        known = len(self.codes.order)
+        ends = np.cumsum([len(f) for f in found])
+        codes = np.fromiter(map(self.codes.__getitem__, chain.from_iterable(found)), np.int64, int(ends[-1]) if len(ends) else 0)
+        if len(self.codes.order) > known:
+            self._learn(known)
+        lengths = self.length[codes]
+        upto = np.concatenate([[0], np.cumsum(lengths)])
+        data = self.flat[np.repeat(self.start[codes] - upto[:-1], lengths) + np.arange(upto[-1])].tobytes()
+        at = 0
+        for end in (upto[ends] * self.type.itemsize).tolist():
+            yield data[at:end]
+            at = end
 
 
 _loaded: dict[tuple, PieceEncoder] = {}
@@ -332,7 +377,8 @@ def piece_encoder(path: str, pattern: str, width: int) -> PieceEncoder:
 def tokenize_to_files(docs: DataFrame, tokenizer: str, pattern: str, end_id: int = 0, width: int = 2, path: str | None = None) -> DataFrame:
     """Encodes ``docs``, writes the shards under ``path`` (scratch if none) and opens them."""
     spark = docs.sparkSession
-    encoded = cut(encode_ids(docs, lambda: piece_encoder(tokenizer, pattern, width), end_id, width), "encoded")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bounds = range_bounds(docs, "doc_id", parts)
     path = path or scratch_path(spark, "shards")
-    write_shards(encoded, path, width)
+    write_shards(encode_ids(docs, lambda: piece_encoder(tokenizer, pattern, width), end_id, width, bounds), path, width, parts)
     return open_shards(spark, path, docs.schema["doc_id"].dataType.simpleString())
