@@ -228,7 +228,7 @@ def _between_components(placed: DataFrame, links: DataFrame, roots: DataFrame, d
     nodes, sets = at_hand.drop("shingles"), at_hand.select("id", "n_shingles", "shingles")
     for turn in range(PIVOT_ROUNDS):
         to_pivot = members.where("root <> pivot_root").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-        new = cut(_exact(cut(_filtered(to_pivot, nodes, _LONG_PLANES, LONG_FLOOR), "pivots"), sets), "links")
+        new = cut(_exact(cut(_filtered(to_pivot, nodes.drop("bands"), _LONG_PLANES, LONG_FLOOR), "pivots"), sets), "links")
         if new.limit(1).count():
             links = links.unionByName(new)
             roots = connected_components(links)
@@ -251,9 +251,9 @@ def _open_members(placed: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
 
 
 def _long_signatures(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, n_shingles, l0.., shingles)`` of the documents in ``ids``."""
+    """``(id, n_shingles, l0.., bands, shingles)`` of the documents in ``ids``."""
     kind = docs.schema[id_col].dataType.simpleString()
-    names = ["id", "n_shingles", *_LONG_PLANES, "shingles"]
+    names = ["id", "n_shingles", *_LONG_PLANES, "bands", "shingles"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -263,14 +263,15 @@ def _long_signatures(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str
                 s = shingle_hashes(text, hashes, WIDTH)
                 if len(s):
                     keys.append(key)
-                    rows.append([len(s), *packed(minima(s, LONG)), s.view(np.int64)])
+                    least = minima(s, LONG)
+                    rows.append([len(s), *packed(least), band_keys(least[:PERMUTATIONS]), s.view(np.int64)])
             if rows:
                 columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), *(pa.array(c, pa.int64()) for c in columns[:-1]), pa.array(columns[-1], pa.list_(pa.int64()))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), *(pa.array(c, pa.int64()) for c in columns[:-2]), *(pa.array(c, pa.list_(pa.int64())) for c in columns[-2:])], names=names)
 
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     texts = texts.join(ids, texts["_id"] == ids["id"], "left_semi")
-    return texts.mapInArrow(run, f"id {kind}, n_shingles long, {', '.join(f'{s} long' for s in _LONG_PLANES)}, shingles array<long>")
+    return texts.mapInArrow(run, f"id {kind}, n_shingles long, {', '.join(f'{s} long' for s in _LONG_PLANES)}, bands array<long>, shingles array<long>")
 
 
 def _exact(candidates: DataFrame, sets: DataFrame) -> DataFrame:
@@ -284,6 +285,7 @@ def _across(members: DataFrame, nodes: DataFrame) -> DataFrame:
     """Candidates between components within the buckets of ``members``.
 
     The minor side are the members outside the component of the bucket's pivot.
+    A pair that shares several bands comes up in the first of them only.
     """
     minor = members.where("root <> pivot_root")
     counted = minor.groupBy("key").agg(F.count("*").alias("n_minor")).hint("rebalance")
@@ -295,7 +297,9 @@ def _across(members: DataFrame, nodes: DataFrame) -> DataFrame:
     y = rows.withColumn("j", own("n")).withColumn("i", upto("n_minor")).alias("y")
     same_block = (F.col("x.key") == F.col("y.key")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
     once = (F.col("y.root") == F.col("y.pivot_root")) | (F.col("x.id") < F.col("y.id"))
-    pairs = x.join(y, same_block & (F.col("x.root") != F.col("y.root")) & once & _may_link("x", "y", _LONG_PLANES, LONG_FLOOR))
+    shared = F.zip_with("x.bands", "y.bands", lambda p, q: p == q)
+    first = F.array_position(shared, True) == F.array_position(F.col("x.bands"), F.col("x.key"))
+    pairs = x.join(y, same_block & (F.col("x.root") != F.col("y.root")) & once & _may_link("x", "y", _LONG_PLANES, LONG_FLOOR) & first)
     return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
