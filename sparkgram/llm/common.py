@@ -91,7 +91,7 @@ def ascii_words(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to ``limit`` words."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 250_000):
         super().__init__()
         self.limit = limit
 
@@ -147,7 +147,7 @@ class PieceCache:
     #: Longer keys are rarely met again; they are forgotten after their batch.
     LONGEST = 48
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 200_000):
         self.values: dict = {}
         self.old: dict = {}
         self.limit = limit

@@ -295,7 +295,7 @@ class PieceEncoder:
     and that have no normaliser.  All is forgotten at ``KEYS`` pre-tokens.
     """
 
-    KEYS = 600_000
+    KEYS = 500_000
     #: New pre-tokens encoded as one text.
     JOINED = 4000
 

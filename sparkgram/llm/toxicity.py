@@ -80,7 +80,7 @@ class FuzzyAutomaton:
     letters of the term; state None is dead.
     """
 
-    def __init__(self, terms: list[str], edits: int, limit: int = 200_000):
+    def __init__(self, terms: list[str], edits: int, limit: int = 40_000):
         self.trie, self.edits, self.limit = Trie(terms), edits, limit
         self.steps: dict[tuple[frozenset, str], frozenset | None] = {}
         self.start = self._closed({0: 0})
@@ -136,7 +136,7 @@ def edits_for(term: str) -> int:
 class Lexicon:
     """Weighted terms; ``find`` tells the weight and edits of a word's best term."""
 
-    def __init__(self, weights: dict[str, float], ordinary: frozenset[str] = frozenset(), cache: int = 300_000):
+    def __init__(self, weights: dict[str, float], ordinary: frozenset[str] = frozenset(), cache: int = 200_000):
         self.weights, self.ordinary, self.cache = weights, ordinary, cache
         by_edits: dict[int, list[str]] = {}
         for term in sorted(weights):
