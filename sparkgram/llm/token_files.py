@@ -94,9 +94,12 @@ class PerfectHash:
 
 def key_hashes(keys: list) -> np.ndarray:
     """64-bit hashes of document keys: integers, strings or null."""
-    if all(type(k) is int for k in keys):
-        return mix64(np.array(keys, np.int64).astype(np.uint64))
-    return np.array([xxhash.xxh3_64_intdigest(repr(k).encode("utf-8", "surrogatepass"), 7) for k in keys], np.uint64)
+    whole = [k if type(k) is int else 0 for k in keys]
+    hashes = mix64(np.array(whole, np.int64).astype(np.uint64))
+    for i, k in enumerate(keys):
+        if type(k) is not int:
+            hashes[i] = xxhash.xxh3_64_intdigest(repr(k).encode("utf-8", "surrogatepass"), 7)
+    return hashes
 
 
 class Shard:
@@ -110,7 +113,7 @@ class Shard:
         """``keys`` ascend; equal ones stand side by side."""
         offsets = np.concatenate([[0], np.cumsum(np.array(lengths, np.int64))]).astype(np.int64)
         first = [i for i in range(len(keys)) if not i or keys[i] != keys[i - 1]]
-        hashes = key_hashes(keys)[first] if _all_ints(keys) else key_hashes([keys[i] for i in first])
+        hashes = key_hashes([keys[i] for i in first])
         function = PerfectHash.build(hashes)
         slots = np.zeros(len(first), _SLOT)
         at = function.slots(hashes)
@@ -137,10 +140,6 @@ class Shard:
         return [self.document(i) for i in range(first[0], first[0] + n[0])]
 
 
-def _all_ints(keys: list) -> bool:
-    return all(type(k) is int for k in keys)
-
-
 def shard_schema(kind: str) -> str:
     return f"part int, seq int, format int, width int, n_ids long, first_key {kind}, last_key {kind}, keys array<{kind}>, offsets binary, pilots binary, slots binary, ids binary"
 
