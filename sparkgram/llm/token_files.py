@@ -45,8 +45,8 @@ _SLOT = np.dtype([("fingerprint", "<u4"), ("first", "<u4"), ("repeats", "<u4")])
 class PerfectHash:
     """Minimal perfect hash over distinct 64-bit key hashes.
 
-    Buckets are placed largest first; each tries pilots until all its keys fall
-    on free, distinct slots.  Buckets of one key take the slots that are left:
+    Buckets are placed largest first, those of one size together; each tries
+    pilots until all its keys fall on free, distinct slots.  Buckets of one key take the slots that are left:
     their pilot is minus the slot, minus one.
     """
 
@@ -69,20 +69,32 @@ class PerfectHash:
         starts = np.concatenate([[0], np.cumsum(counts)])
         pilots = np.zeros(n_buckets, np.int64)
         free = np.ones(size, bool)
-        for b in np.argsort(-counts, kind="stable"):
-            if counts[b] <= 1:
-                break
-            keys = hashes[order[starts[b] : starts[b + 1]]]
-            for first in range(0, 1 << 40, 64):
-                tries = np.arange(first, first + 64)
-                at = cls._spread(keys[None, :], tries[:, None], size)
+        for width in range(int(counts.max()), 1, -1):
+            left = np.flatnonzero(counts == width)
+            keys = hashes[order[starts[left][:, None] + np.arange(width)]]
+            pilot = 0
+            while len(left) > 32:  # every bucket of this size tries the same pilot; the first to claim a slot wins
+                at = cls._spread(keys, np.full((len(left), 1), pilot), size)
                 ranked = np.sort(at, axis=1)
-                good = free[at].all(axis=1) & (ranked[:, 1:] != ranked[:, :-1]).all(axis=1)
-                if good.any():
-                    chosen = int(np.argmax(good))
-                    pilots[b] = first + chosen
-                    free[at[chosen]] = False
-                    break
+                good = np.flatnonzero(free[at].all(axis=1) & (ranked[:, 1:] != ranked[:, :-1]).all(axis=1))
+                _, first, back = np.unique(at[good], return_index=True, return_inverse=True)
+                owner = (first // width)[back].reshape(len(good), width)
+                won = good[(owner == np.arange(len(good))[:, None]).all(axis=1)]
+                pilots[left[won]] = pilot
+                free[at[won]] = False
+                rest = np.ones(len(left), bool)
+                rest[won] = False
+                left, keys, pilot = left[rest], keys[rest], pilot + 1
+            for bucket, own in zip(left, keys, strict=True):  # a few are left: many pilots at once for each
+                for first in range(pilot, 1 << 40, 256):
+                    at = cls._spread(own[None, :], np.arange(first, first + 256)[:, None], size)
+                    ranked = np.sort(at, axis=1)
+                    good = free[at].all(axis=1) & (ranked[:, 1:] != ranked[:, :-1]).all(axis=1)
+                    if good.any():
+                        chosen = int(np.argmax(good))
+                        pilots[bucket] = first + chosen
+                        free[at[chosen]] = False
+                        break
         pilots[counts == 1] = -np.flatnonzero(free) - 1
         return cls(size, pilots)
 
@@ -306,6 +318,9 @@ class PieceEncoder:
         if self.tokenizer.normalizer is not None:
             raise ValueError("a normaliser changes texts before they are split")
         self.find, self.type = piece_finder(pattern), np.dtype(f"<u{width}")
+        space = self.tokenizer.encode(" ", add_special_tokens=False).tokens[0]
+        self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.spaced[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith(space)]] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -333,12 +348,13 @@ class PieceEncoder:
             (joined if piece[0] == " " and piece[1:].isalpha() else alone).append(code)
         for at in range(0, len(joined), self.JOINED):
             codes = joined[at : at + self.JOINED]
-            got = self.tokenizer.encode("".join([order[c] for c in codes]), add_special_tokens=False)
-            word = np.array(got.word_ids, np.int64)
-            if word[-1] + 1 != len(codes):  # the tokenizer split them otherwise
+            (got,) = self.tokenizer.encode_batch_fast(["".join([order[c] for c in codes])], add_special_tokens=False)
+            ids = np.array(got.ids, self.type)
+            begins = np.flatnonzero(self.spaced[ids])  # pieces have their one space in front
+            if len(begins) != len(codes):  # the tokenizer split them otherwise
                 alone += codes
             else:
-                self._put(codes, np.array(got.ids, self.type), np.bincount(word, minlength=len(codes)))
+                self._put(codes, ids, np.diff(begins, append=len(ids)))
         for at in range(0, len(alone), self.JOINED):
             codes = alone[at : at + self.JOINED]
             got = [e.ids for e in self.tokenizer.encode_batch_fast([order[c] for c in codes], add_special_tokens=False)]
