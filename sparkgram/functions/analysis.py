@@ -58,8 +58,7 @@ def sentences(text: Column, separators: Sequence[str]) -> Column:
 
 def without_stop_words(tokens: Column, stop_words: Sequence[str]) -> Column:
     """Tokens that are no stop words; case matters."""
-    listed = F.array(*[F.lit(w) for w in stop_words])
-    return F.filter(tokens, lambda t: ~F.array_contains(listed, t))
+    return F.filter(tokens, lambda t: ~t.isin(list(stop_words)))  # a hash set once there are many
 
 
 def windows(tokens: Column, n: int) -> Column:

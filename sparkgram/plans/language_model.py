@@ -37,12 +37,17 @@ def _wrapped(tokens: Column, config: LanguageModelConfig) -> Column:
 def count_ngrams(sents: DataFrame, config: LanguageModelConfig) -> DataFrame:
     """``(n, gram, cnt)`` of all 1- to order-grams of the wrapped sentences."""
     wrapped = sents.select(_wrapped(F.col("words"), config).alias("w"))
+    # the tokens beside the same tokens shifted: one row for each position, without lambdas or copies of the sentence
+    shifted = [F.slice("w", F.lit(k), F.greatest(F.size("w") - (k - 1), F.lit(0))).alias(f"w{k}") for k in range(1, config.order + 1)]
+    rows = wrapped.select(*shifted).select(F.explode(F.arrays_zip(*[f"w{k}" for k in range(1, config.order + 1)])).alias("z"))
 
-    def keyed(n: int) -> Column:
-        return F.transform(windows(F.col("w"), n), lambda g: F.struct(F.lit(n).alias("n"), F.array_join(g, " ").alias("gram")))
+    def gram(n: int) -> Column:
+        parts = [F.col(f"z.w{k}") for k in range(1, n + 1)]
+        joined = parts[0] if n == 1 else F.concat(*[x for p in parts for x in (F.lit(" "), p)][1:])
+        return F.struct(F.lit(n).alias("n"), joined.alias("gram"))
 
-    grams = F.flatten(F.array(*[keyed(n) for n in range(1, config.order + 1)]))
-    return wrapped.select(F.explode(grams).alias("g")).groupBy("g.n", "g.gram").agg(F.count("*").alias("cnt"))
+    grams = rows.select(F.explode(F.array(*[gram(n) for n in range(1, config.order + 1)])).alias("g")).where("g.gram IS NOT NULL")
+    return grams.groupBy("g.n", "g.gram").agg(F.count("*").alias("cnt"))
 
 
 def count_paths(paths: DataFrame) -> DataFrame:
