@@ -54,6 +54,16 @@ def prefix_candidates(index: SearchIndex, queries: DataFrame, metric: Metric) ->
     return short.join(index.postings, "term").where(F.col("card").between(F.col("lo"), F.col("hi"))).select("query_id", "value_id").distinct()
 
 
+def verified(index: SearchIndex, queries: DataFrame, metric: Metric) -> DataFrame:
+    """The overlaps of the candidates of rare grams: (query_id, a, value_id, b, overlap)."""
+    q = _query_grams(index, queries, index.description.wrap[1]).select("query_id", "a", "grams")
+    values = index.values.select("value_id", F.col("card").alias("b"), F.array_distinct("grams").alias("doc_grams"))
+    found = prefix_candidates(index, queries, metric).join(values, "value_id").join(q, "query_id")
+    # repeated query grams count each time
+    shared = F.size(F.filter("grams", lambda g: F.array_contains("doc_grams", g))).cast("long")
+    return found.select("query_id", "a", "value_id", "b", shared.alias("overlap"))
+
+
 def suggest(index: SearchIndex, queries: DataFrame, metric: Metric, k: int, prefix_filter: bool = False) -> DataFrame:
     """Top ``k`` documents of each query: (query_id, rank, doc_id, value, score).
 
@@ -62,12 +72,7 @@ def suggest(index: SearchIndex, queries: DataFrame, metric: Metric, k: int, pref
     """
     if k <= 0:
         raise ValueError("k must be positive")
-    if prefix_filter:
-        q = _query_grams(index, queries, index.description.wrap[1]).select("query_id", "a", F.explode("grams").alias("term"))
-        found = prefix_candidates(index, queries, metric).join(index.values.select("value_id", F.col("card").alias("b"), F.array_distinct("grams").alias("doc_grams")), "value_id")
-        pairs = q.join(found, "query_id").groupBy("query_id", "a", "value_id", "b").agg(F.sum(F.array_contains("doc_grams", F.col("term")).cast("long")).alias("overlap"))
-    else:
-        pairs = overlaps(index, queries, metric)
+    pairs = verified(index, queries, metric) if prefix_filter else overlaps(index, queries, metric)
     scored = _scored(pairs, metric).select("query_id", "value_id", "score")
     # value_id is the least doc_id of its value, so whatever value comes before another has a document
     # that does: the k best documents belong to the k best values
@@ -92,6 +97,11 @@ def containing(index: SearchIndex, queries: DataFrame) -> DataFrame:
     return hits.groupBy("query_id", "kinds", "value_id").agg(F.count("*").alias("n")).where("n = kinds").select("query_id", "value_id")
 
 
-def fuzzy_join(index: SearchIndex, left: DataFrame, metric: Metric) -> DataFrame:
-    """All pairs (query_id, doc_id, score) that the metric accepts: a batch join."""
-    return _scored(overlaps(index, left, metric), metric).join(index.docs, "value_id").select("query_id", "doc_id", "value", "score")
+def fuzzy_join(index: SearchIndex, left: DataFrame, metric: Metric, prefix_filter: bool = True) -> DataFrame:
+    """All pairs (query_id, doc_id, score) that the metric accepts: a batch join.
+
+    Popular grams make no candidates unless ``prefix_filter`` is off; then every
+    shared gram does, which suits short left sides.
+    """
+    pairs = verified(index, left, metric) if prefix_filter else overlaps(index, left, metric)
+    return _scored(pairs, metric).join(index.docs, "value_id").select("query_id", "doc_id", "value", "score")
