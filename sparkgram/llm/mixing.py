@@ -94,6 +94,6 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """The mix itself: each document as often as it is taken, all columns kept."""
     sized = docs.select(F.col(source_col).alias("_mix_source"), word_count(F.col(text_col)).alias("size"))
     targets = cut(source_targets(sized), "targets")
-    rows = _with_targets(docs.withColumn("_mix_source", F.col(source_col)), targets)
+    rows = _with_targets(docs.withColumn("_mix_source", F.col(source_col)), targets.select("_mix_source", "_mix_rate"))
     times = copies(F.col(id_col), F.col("_mix_rate"), seed).cast("int")
     return rows.withColumn("_mix_copies", times).where("_mix_copies > 0").withColumn("_mix_copy", F.explode(F.expr("sequence(1, _mix_copies)"))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -257,7 +257,7 @@ def read_documents(shards: DataFrame, id_col: str = "doc_id") -> DataFrame:
     ``start`` counts the ids of all documents before it.
     """
     kind = shards.schema["first_key"].dataType.simpleString()
-    bounded_batches(shards.sparkSession, 1)
+    bounded_batches(shards.sparkSession, 32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

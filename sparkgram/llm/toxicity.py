@@ -248,7 +248,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     usable = cut(usable.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("label")), "labels")
     share = min(1.0, most / max(1, usable.count()))
     picked = usable.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    rows = docs.join(F.broadcast(picked), docs[id_col] == F.col("_id")).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), "label")
+    texts = docs.select(F.col(id_col).alias("_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = texts.join(F.broadcast(picked), F.col("_doc") == F.col("_id")).select("text", "label")
     return cut(rows.groupBy("text").agg(F.max("label").alias("label")), "training")
 
 

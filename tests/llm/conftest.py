@@ -21,9 +21,9 @@ ODD_TEXTS = [
 def odd(spark):
     """(doc_id, text, lang, source, n_chars) with nulls in every column, a repeated
     id, and extra columns whose names the operators use themselves."""
-    rows = [(i * 3, t, "en" if i % 2 else None, f"src{i % 3}" if i % 4 else None, len(t) if t else None, "kept", 1.5) for i, t in enumerate(ODD_TEXTS)]
-    rows += [(None, "no id at all", "en", "src1", 12, "kept", 2.5), (9, "one", "en", "src0", 3, "kept", None)]
-    schema = "doc_id long, text string, lang string, source string, n_chars long, id string, score double"
+    rows = [(i * 3, t, "en" if i % 2 else None, f"src{i % 3}" if i % 4 else None, len(t) if t else None, "kept", 1.5, 7, 8.5, 9) for i, t in enumerate(ODD_TEXTS)]
+    rows += [(None, "no id at all", "en", "src1", 12, "kept", 2.5, 7, 8.5, 9), (9, "one", "en", "src0", 3, "kept", None, None, None, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, id string, score double, label int, target double, size int"
     return spark.createDataFrame(rows, schema).repartition(3)
 
 
