@@ -22,10 +22,11 @@ import hashlib
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sparkgram.llm.common import PieceCache, bounded_batches, piece_finder
+from sparkgram.llm.common import PieceTable, bounded_batches, piece_finder
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -91,16 +92,20 @@ class BytePairEncoder:
     #: Bytes of new pre-tokens merged in one run of the queue.
     RUN_BYTES = 1 << 20
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, keys: int = 500_000):
         self.ranks = ranks
-        self.find = piece_finder(pattern)
+        self.table = PieceTable(piece_finder(pattern), self._learn, "<u4", keys)
         size = max(ranks.values()) + 1
         self.token = [b""] * size
         for token, rank in ranks.items():
             self.token[rank] = token
         self.decimal = [str(i) for i in range(size)]
         self.queue = RankQueue(size)
-        self.known = PieceCache()
+        #: Ranks of the pairs of single bytes, or -1.
+        self.pairs = np.full(1 << 16, -1, np.int64)
+        for token, rank in ranks.items():
+            if len(token) == 2:
+                self.pairs[token[0] << 8 | token[1]] = rank
 
     def merge(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
         """Ids of pre-tokens.
@@ -121,15 +126,16 @@ class BytePairEncoder:
             before[at] = -1
             at += len(piece)
             after[at - 1] = n
-        pending: dict[int, list[int]] = {}
-        for i in range(n - 1):
-            if after[i] < n and (r := rank_of(text[i : i + 2])) is not None:
-                if r in pending:
-                    pending[r].append(i)
-                else:
-                    pending[r] = [i]
-        for r, positions in pending.items():
-            queue.open(r, positions)
+        raw = np.frombuffer(text, np.uint8).astype(np.int64)
+        first = self.pairs[raw[:-1] << 8 | raw[1:]]
+        first[np.array(starts[1:], np.int64) - 1] = -1  # no pair spans two pre-tokens
+        at_pair = np.argsort(first, kind="stable")
+        at_pair = at_pair[np.searchsorted(first[at_pair], 0) :]
+        kinds, begins = np.unique(first[at_pair], return_index=True)
+        positions = at_pair.tolist()
+        edges = [*begins.tolist(), len(positions)]
+        for i, r in enumerate(kinds.tolist()):
+            queue.open(r, positions[edges[i] : edges[i + 1]])
         part.append(b"")
         while (r := lowest()) >= 0:
             positions = queue.take(r)
@@ -165,39 +171,30 @@ class BytePairEncoder:
             out.append(tuple([ranks[p] for p in part[s:e] if p]))
         return out
 
-    def learn(self, pieces: set[str]) -> None:
-        """Puts the ids of pre-tokens among the known ones."""
+    def _learn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new pre-tokens, and how many each has."""
+        raw = [piece.encode("utf-8") for piece in pieces]
+        whole = list(map(self.ranks.get, raw))
+        out: list[tuple[int, ...]] = [() if r is None else (r,) for r in whole]
         run, size = [], 0
-        for piece in pieces:
-            run.append(piece)
-            size += len(piece)
-            if size >= self.RUN_BYTES:
-                self._learn(run)
+        for i, r in enumerate(whole):
+            if r is None:
+                run.append(i)
+                size += len(raw[i])
+            if run and (size >= self.RUN_BYTES or i == len(raw) - 1):
+                for j, ids in zip(run, self.merge([raw[j] for j in run]), strict=True):
+                    out[j] = ids
                 run, size = [], 0
-        if run:
-            self._learn(run)
-
-    def _learn(self, run: list[str]) -> None:
-        raw = [piece.encode("utf-8") for piece in run]
-        ranks, known = self.ranks, self.known.values
-        rest = []
-        for piece, data in zip(run, raw, strict=True):
-            if (r := ranks.get(data)) is not None:
-                known[piece] = (r,)
-            else:
-                rest.append((piece, data))
-        for (piece, _), ids in zip(rest, self.merge([data for _, data in rest]), strict=True):
-            known[piece] = ids
+        lengths = np.fromiter(map(len, out), np.int64, len(out))
+        return np.fromiter(chain.from_iterable(out), np.uint32, int(lengths.sum())), lengths
 
     def encode_batch(self, texts: list[str | None]) -> Iterator[list[int]]:
         """Ids of each text, without special tokens."""
-        found = [self.find(t) if t else [] for t in texts]
-        missing = self.known.missing(set(chain.from_iterable(found)))
-        self.learn(missing)
-        get = self.known.values.__getitem__
-        for pieces in found:
-            yield list(chain.from_iterable(map(get, pieces)))
-        self.known.forget_long(missing)
+        ids, ends = self.table.encode(texts)
+        every, at = ids.tolist(), 0
+        for end in ends:
+            yield every[at:end]
+            at = end
 
     def encode(self, text: str | None) -> list[int]:
         return next(iter(list(self.encode_batch([text]))))

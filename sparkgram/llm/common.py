@@ -8,6 +8,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -136,37 +137,60 @@ def _replaced(part: str, members: dict[str, str], around: str) -> str:
     return part
 
 
-class PieceCache:
-    """Remembers values of frequent keys in two generations.
+class _Codes(dict):
+    """Numbers keys by first appearance; ``order`` lists them."""
 
-    ``values`` holds what is in use; when it is full it becomes the old
-    generation, from which a key that comes up again is fetched back.  So the
-    frequent keys stay, and memory is bounded by twice ``limit`` keys.
-    """
+    def __init__(self):
+        super().__init__()
+        self.order: list[str] = []
 
-    #: Longer keys are rarely met again; they are forgotten after their batch.
-    LONGEST = 48
+    def __missing__(self, key: str) -> int:
+        self[key] = code = len(self.order)
+        self.order.append(key)
+        return code
 
-    def __init__(self, limit: int = 200_000):
-        self.values: dict = {}
-        self.old: dict = {}
-        self.limit = limit
 
-    def missing(self, keys: set) -> set:
-        """The keys whose values must be put; makes room for them and fetches old ones."""
-        new = keys.difference(self.values)
-        if len(self.values) + len(new) > self.limit:
-            self.old, self.values = self.values, {}
-            new = keys
-        back = new.intersection(self.old)
-        for key in back:
-            self.values[key] = self.old[key]
-        return new - back
-
-    def forget_long(self, keys) -> None:
-        for key in keys:
-            if len(key) > self.LONGEST:
-                del self.values[key]
+class PieceTable:
+    """Encodes each distinct piece of texts once.
+
+    ``find`` splits a text, and ``learn`` gives for new pieces their ids, one
+    after the other, and how many each has.  Pieces are numbered; the ids of
+    number k are ``flat[start[k] : start[k] + length[k]]``, so a run of texts is
+    one gather.  All is forgotten at ``keys`` pieces, which bounds memory.
+    """
+
+    def __init__(self, find: Callable, learn: Callable, dtype: str, keys: int = 500_000):
+        self.find, self.learn, self.type, self.keys = find, learn, np.dtype(dtype), keys
+        self._forget()
+
+    def _forget(self) -> None:
+        self.codes = _Codes()
+        self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.used = np.zeros(1 << 20, self.type), 0
+
+    def _put(self, pieces: list[str]) -> None:
+        ids, lengths = self.learn(pieces)
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start = np.concatenate([self.start, self.used + np.cumsum(lengths) - lengths])
+        self.length = np.concatenate([self.length, lengths])
+        self.used += len(ids)
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, list[int]]:
+        """(ids of all texts, where each text's ids end)."""
+        found = [self.find(t) if t else [] for t in texts]
+        if len(self.codes.order) > self.keys or self.used > 16 * self.keys:
+            self._forget()
+        known = len(self.codes.order)
+        ends = np.cumsum([len(f) for f in found], dtype=np.int64)
+        codes = np.fromiter(map(self.codes.__getitem__, chain.from_iterable(found)), np.int64, int(ends[-1]) if len(ends) else 0)
+        if len(self.codes.order) > known:
+            self._put(self.codes.order[known:])
+        lengths = self.length[codes]
+        upto = np.concatenate([[0], np.cumsum(lengths)])
+        ids = self.flat[np.repeat(self.start[codes] - upto[:-1], lengths) + np.arange(upto[-1])]
+        return ids, upto[ends].tolist()
 
 
 #: Odd multipliers, one for each place of a shingle (splitmix64 of 1, 2, ...).

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkgram.llm.bpe import slices
-from sparkgram.llm.common import bounded_batches, cut, mix64, piece_finder, scratch_path
+from sparkgram.llm.common import PieceTable, bounded_batches, mix64, piece_finder, scratch_path
 
 #: Ids a shard aims at.
 SHARD_IDS = 1 << 19
@@ -284,98 +284,66 @@ def read_documents(shards: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return found.join(shard_starts(shards), ["part", "seq"]).select(F.col("id").alias(id_col), (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
 
 
-class _Codes(dict):
-    """Numbers keys by first appearance; ``order`` lists them."""
-
-    def __init__(self):
-        super().__init__()
-        self.order: list[str] = []
-
-    def __missing__(self, key: str) -> int:
-        self[key] = code = len(self.order)
-        self.order.append(key)
-        return code
-
-
 class PieceEncoder:
     """A ``tokenizers`` tokenizer that encodes each distinct pre-token once.
 
-    Pre-tokens are numbered; the ids of number k are ``flat[start[k] : start[k]
-    + length[k]]``, so a run of texts is one gather.  The tokenizer is asked for
-    what is new.  That holds for tokenizers whose pre-tokens ``pattern`` yields
-    and that have no normaliser.  All is forgotten at ``KEYS`` pre-tokens.
+    That holds for tokenizers whose pre-tokens ``pattern`` yields and that have
+    no normaliser.
     """
 
-    KEYS = 500_000
     #: New pre-tokens encoded as one text.
     JOINED = 4000
 
-    def __init__(self, path: str, pattern: str, width: int):
+    def __init__(self, path: str, pattern: str, width: int, keys: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         if self.tokenizer.normalizer is not None:
             raise ValueError("a normaliser changes texts before they are split")
-        self.find, self.type = piece_finder(pattern), np.dtype(f"<u{width}")
+        self.type = np.dtype(f"<u{width}")
+        self.table = PieceTable(piece_finder(pattern), self._learn, self.type, keys)
         space = self.tokenizer.encode(" ", add_special_tokens=False).tokens[0]
         self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.spaced[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith(space)]] = True
-        self._forget()
-
-    def _forget(self) -> None:
-        self.codes = _Codes()
-        self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat, self.used = np.zeros(1 << 20, self.type), 0
-
-    def _put(self, codes: list[int], ids: np.ndarray, lengths: np.ndarray) -> None:
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.start[codes] = self.used + np.cumsum(lengths) - lengths
-        self.length[codes] = lengths
-        self.used += len(ids)
-
-    def _learn(self, known: int) -> None:
-        """Encodes the pre-tokens numbered from ``known`` on."""
-        order = self.codes.order
-        self.start = np.concatenate([self.start, np.zeros(len(order) - known, np.int64)])
-        self.length = np.concatenate([self.length, np.zeros(len(order) - known, np.int64)])
+
+    def _learn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new pre-tokens, and how many each has."""
+        lengths = np.zeros(len(pieces), np.int64)
         joined, alone = [], []
-        for code in range(known, len(order)):
-            piece = order[code]
+        for i, piece in enumerate(pieces):
             # a space and letters: such pieces stay apart when they stand in one text
-            (joined if piece[0] == " " and piece[1:].isalpha() else alone).append(code)
+            (joined if piece[0] == " " and piece[1:].isalpha() else alone).append(i)
+        parts, order = [], []
         for at in range(0, len(joined), self.JOINED):
-            codes = joined[at : at + self.JOINED]
-            (got,) = self.tokenizer.encode_batch_fast(["".join([order[c] for c in codes])], add_special_tokens=False)
+            run = joined[at : at + self.JOINED]
+            (got,) = self.tokenizer.encode_batch_fast(["".join([pieces[i] for i in run])], add_special_tokens=False)
             ids = np.array(got.ids, self.type)
             begins = np.flatnonzero(self.spaced[ids])  # pieces have their one space in front
-            if len(begins) != len(codes):  # the tokenizer split them otherwise
-                alone += codes
-            else:
-                self._put(codes, ids, np.diff(begins, append=len(ids)))
-        for at in range(0, len(alone), self.JOINED):
-            codes = alone[at : at + self.JOINED]
-            got = [e.ids for e in self.tokenizer.encode_batch_fast([order[c] for c in codes], add_special_tokens=False)]
-            self._put(codes, np.fromiter(chain.from_iterable(got), self.type), np.array([len(x) for x in got], np.int64))
+            if len(begins) != len(run):  # the tokenizer split them otherwise
+                alone += run
+                continue
+            parts.append(ids)
+            order += run
+            lengths[run] = np.diff(begins, append=len(ids))
+        got = [e.ids for e in self.tokenizer.encode_batch_fast([pieces[i] for i in alone], add_special_tokens=False)]
+        parts.append(np.fromiter(chain.from_iterable(got), self.type))
+        order += alone
+        lengths[alone] = [len(x) for x in got]
+        flat = np.concatenate(parts)
+        # from the order of encoding to that of the pieces
+        sizes = lengths[order]
+        start = np.zeros(len(pieces), np.int64)
+        start[order] = np.cumsum(sizes) - sizes
+        upto = np.cumsum(lengths) - lengths
+        return flat[np.repeat(start - upto, lengths) + np.arange(len(flat))], lengths
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
         """Raw ids of each text."""
-        found = [self.find(t) if t else [] for t in texts]
-        if len(self.codes.order) > self.KEYS or self.used > 16 * self.KEYS:
-            self._forget()
-        known = len(self.codes.order)
-        ends = np.cumsum([len(f) for f in found])
-        codes = np.fromiter(map(self.codes.__getitem__, chain.from_iterable(found)), np.int64, int(ends[-1]) if len(ends) else 0)
-        if len(self.codes.order) > known:
-            self._learn(known)
-        lengths = self.length[codes]
-        upto = np.concatenate([[0], np.cumsum(lengths)])
-        data = self.flat[np.repeat(self.start[codes] - upto[:-1], lengths) + np.arange(upto[-1])].tobytes()
-        at = 0
-        for end in (upto[ends] * self.type.itemsize).tolist():
-            yield data[at:end]
+        ids, ends = self.table.encode(texts)
+        data, at = ids.tobytes(), 0
+        for end in ends:
+            yield data[at * self.type.itemsize : end * self.type.itemsize]
             at = end
 
 

@@ -141,9 +141,9 @@ def test_shard_lookup():
     assert [x.tolist() for x in token_files.Shard.build(["a", "b"], np.arange(3), [1, 2]).get("b")] == [[1, 2]]
 
 
-def test_encoder_starts_over_when_full(monkeypatch):
-    monkeypatch.setattr(token_files.PieceEncoder, "KEYS", 5)
-    enc = token_files.PieceEncoder(JSON, P.PATTERN, 2)
-    t = enc.tokenizer
+def test_encoders_start_over_when_full(public):
+    enc = token_files.PieceEncoder(JSON, P.PATTERN, 2, keys=5)
+    own = bpe.BytePairEncoder(bpe.read_ranks(RANKS), P.PATTERN, keys=5)
     for text in ("a b c d e f g h", "i j k", "a b z \n\n  q"):
-        assert next(enc([text])) == np.array(t.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+        assert next(enc([text])) == np.array(enc.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+        assert own.encode(text) == public.encode_ordinary(text)
