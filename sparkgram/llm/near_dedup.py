@@ -57,6 +57,8 @@ BLOCK = 512
 #: more than four standard deviations under the threshold.
 LONG, LONG_FLOOR = 1024, 0.68
 PIVOT_ROUNDS = 2
+#: Most numbers in the filter that keeps texts out of a shuffle; 2 MB.
+ID_BUCKETS = 1 << 18
 
 _MULTIPLIERS = mix64(np.arange(1, LONG + 1, dtype=np.uint64)) | np.uint64(1)
 _OFFSETS = mix64(np.arange(1, LONG + 1, dtype=np.uint64) << np.uint64(32))
@@ -148,6 +150,18 @@ def _may_link(a: str, b: str, planes: list[str] = _PLANES, floor: float = FLOOR)
     return (F.least(na, nb) * 100 >= F.greatest(na, nb) * PERCENT) & (_similarity(a, b, planes) >= floor)
 
 
+def _of_ids(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """``texts`` (_id, ..) without most rows whose ``_id`` is not in ``ids`` (id).
+
+    Ids are hashed to ID_BUCKETS buckets, and the buckets in use are broadcast:
+    at most that many numbers, whatever the data.  It spares the texts that no
+    later join needs their shuffle; where all buckets are in use it spares none.
+    """
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(ID_BUCKETS))
+    used = ids.select(bucket("id").alias("_used")).distinct()
+    return texts.join(F.broadcast(used), bucket("_id") == F.col("_used"), "left_semi")
+
+
 def confirmed(candidates: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The candidates (a, b) whose full shingle sets are similar enough.
 
@@ -155,6 +169,7 @@ def confirmed(candidates: DataFrame, docs: DataFrame, id_col: str = "doc_id", te
     exchange of the texts; a hot ``a`` is on the side that AQE can split.
     """
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where("_id IS NOT NULL")
+    texts = _of_ids(texts, candidates.select(F.explode(F.array("a", "b")).alias("id")))
     left = texts.select(F.col("_id").alias("a"), F.col("_text").alias("text_a"))
     right = texts.select(F.col("_id").alias("b"), F.col("_text").alias("text_b"))
     pairs = candidates.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
@@ -224,7 +239,8 @@ def _between_components(placed: DataFrame, links: DataFrame, roots: DataFrame, d
     members = _open_members(placed, roots, 0)
     if not members.limit(1).count():
         return links, roots
-    at_hand = cut(_long_signatures(docs, members.select("id").distinct(), id_col, text_col), "long")
+    ids = cut(members.select("id").distinct(), "ids")
+    at_hand = cut(_long_signatures(docs, ids, id_col, text_col), "long")
     nodes, sets = at_hand.drop("shingles"), at_hand.select("id", "n_shingles", "shingles")
     for turn in range(PIVOT_ROUNDS):
         to_pivot = members.where("root <> pivot_root").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
@@ -270,7 +286,7 @@ def _long_signatures(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str
                 yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), *(pa.array(c, pa.int64()) for c in columns[:-2]), *(pa.array(c, pa.list_(pa.int64())) for c in columns[-2:])], names=names)
 
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    texts = texts.join(ids, texts["_id"] == ids["id"], "left_semi")
+    texts = _of_ids(texts, ids).join(ids, F.col("_id") == F.col("id"), "left_semi")
     return texts.mapInArrow(run, f"id {kind}, n_shingles long, {', '.join(f'{s} long' for s in _LONG_PLANES)}, bands array<long>, shingles array<long>")
 
 
