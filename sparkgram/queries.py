@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkgram.functions import analysis, stopwords
@@ -13,7 +13,7 @@ from sparkgram.functions.metric import metric
 from sparkgram.functions.stemming import stem_column
 from sparkgram.operators.index import SearchIndex
 from sparkgram.operators.overlap import intersection, lower_bound, t_occurrence
-from sparkgram.operators.ranking import top_k, union_left_first
+from sparkgram.operators.ranking import dense_ids, top_k, union_left_first
 from sparkgram.operators.search import autocomplete, fuzzy_join, suggest
 from sparkgram.plans import language_model as lm
 from sparkgram.plans.spell import SpellChecker
@@ -207,9 +207,10 @@ def top_k_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merge_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = _part_docs(spark, sf_dir)
-    numbered = lambda rows: rows.select("doc_id", (F.row_number().over(Window.orderBy("doc_id")) - 1).cast("long").alias("pos"))
-    return union_left_first(numbered(parts.where("doc_id % 6 = 0")), numbered(parts.where("doc_id % 4 = 0")), "doc_id")
+    """Two candidate lists, the first preferred: the documents with one gram, then those with another."""
+    lists = _lists(spark, sf_dir)
+    numbered = lambda term: dense_ids(lists.where(F.col("list_id") == term).select("doc_id"), [F.asc("doc_id")], "pos")
+    return union_left_first(numbered("red"), numbered("ing"), "doc_id")
 
 
 # -- text ---------------------------------------------------------------------------
@@ -404,7 +405,7 @@ def oracle_sql() -> dict[str, str]:
         "dictionary_lookup": "WITH keys AS (SELECT DISTINCT l_partkey * 3 AS doc_id FROM lineitem) SELECT doc_id, coalesce(p_name, '<nil/>') AS value FROM keys LEFT JOIN part ON p_partkey = doc_id",
         "dictionary_size": "SELECT count(*) AS size FROM part",
         "top_k_orders": "SELECT o_custkey, o_orderkey AS doc_id, o_totalprice AS score, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders QUALIFY rank <= 3",
-        "merge_candidates": "WITH a AS (SELECT p_partkey AS doc_id, row_number() OVER (ORDER BY p_partkey) - 1 AS pos FROM part WHERE p_partkey % 6 = 0), b AS (SELECT p_partkey AS doc_id, row_number() OVER (ORDER BY p_partkey) - 1 AS pos FROM part WHERE p_partkey % 4 = 0) SELECT * FROM a UNION ALL SELECT doc_id, pos + (SELECT count(*) FROM a) FROM b WHERE doc_id NOT IN (SELECT doc_id FROM a)",
+        "merge_candidates": f"{_LISTS_SQL}, a AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM chosen WHERE list_id = 'red'), b AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM chosen WHERE list_id = 'ing') SELECT * FROM a UNION ALL SELECT doc_id, pos + (SELECT count(*) FROM a) FROM b WHERE doc_id NOT IN (SELECT doc_id FROM a)",
         "word_count_documents": f"SELECT word, count(*) AS cnt FROM (SELECT unnest({words}) AS word FROM documents) GROUP BY word",
         "sentences_per_document": f"WITH {_sentences_sql('documents', 'doc_id')} SELECT doc_id, count(*) AS n_sentences, sum(len(w) - 2)::BIGINT AS n_words FROM wrapped GROUP BY doc_id",
         "stopword_filter_documents": f"SELECT doc_id, len({words}) AS n_words, len(list_filter({words}, lambda x: NOT list_contains([{stop}], x))) AS n_kept FROM documents",
