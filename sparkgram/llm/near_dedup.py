@@ -229,9 +229,12 @@ def _with_root(rows: DataFrame, roots: DataFrame, key: str, name: str) -> DataFr
 
 
 def _filtered(pairs: DataFrame, nodes: DataFrame, planes: list[str] = _PLANES, floor: float = FLOOR) -> DataFrame:
-    """The pairs (a, b) that sizes and signatures let pass."""
+    """The pairs (a, b) that sizes and signatures let pass.
+
+    No aggregate follows the join in its stage, so AQE may split a hot ``a``.
+    """
     joined = pairs.alias("p").join(nodes.alias("x"), F.col("p.b") == F.col("x.id")).join(nodes.alias("y"), F.col("p.a") == F.col("y.id"))
-    return joined.where(_may_link("x", "y", planes, floor)).select("p.a", "p.b").distinct()
+    return joined.where(_may_link("x", "y", planes, floor)).select("p.a", "p.b")
 
 
 def _between_components(placed: DataFrame, links: DataFrame, roots: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -294,7 +297,7 @@ def _exact(candidates: DataFrame, sets: DataFrame) -> DataFrame:
     """The candidates (a, b) whose sets, which are at hand, are similar enough."""
     pairs = candidates.alias("p").join(sets.alias("y"), F.col("p.b") == F.col("y.id")).join(sets.alias("x"), F.col("p.a") == F.col("x.id"))
     common = F.size(F.array_intersect("x.shingles", "y.shingles"))
-    return pairs.where(common * 100 >= (F.col("x.n_shingles") + F.col("y.n_shingles") - common) * PERCENT).select("p.a", "p.b").distinct()
+    return pairs.where(common * 100 >= (F.col("x.n_shingles") + F.col("y.n_shingles") - common) * PERCENT).select("p.a", "p.b")
 
 
 def _across(members: DataFrame, nodes: DataFrame) -> DataFrame:
