@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkgram.functions.analysis import with_grams
+from sparkgram.operators.ranking import top_k
 from sparkgram.sources.config import IndexDescription
 
 FORMAT_VERSION = 1
@@ -39,6 +40,10 @@ class SearchIndex:
         linked = docs.join(distinct, "value").select("doc_id", "value", "value_id")
         return cls(d, linked, values, postings)
 
+    def first_docs(self, k: int) -> SearchIndex:
+        """The index with the ``k`` least documents of each value only, which are all that a search for the top ``k`` can return."""
+        return SearchIndex(self.description, top_k(self.docs, k, [F.asc("doc_id")], "value_id").drop("rank"), self.values, self.postings)
+
     def cache(self) -> SearchIndex:
         self.docs, self.values, self.postings = self.docs.cache(), self.values.cache(), self.postings.cache()
         return self

@@ -85,7 +85,9 @@ def autocomplete(index: SearchIndex, queries: DataFrame, limit: int) -> DataFram
     """For each query the ``limit`` least doc_ids whose value has every query gram."""
     if limit <= 0:
         return index.docs.select(F.lit(0).cast("long").alias("query_id"), F.lit(0).alias("rank"), "doc_id", "value").limit(0)
-    rows = containing(index, queries).join(index.docs, "value_id")
+    # as in ``suggest``: the least documents belong to the least values
+    least = top_k(containing(index, queries), limit, [F.asc("value_id")], "query_id").drop("rank")
+    rows = least.join(index.docs, "value_id")
     return top_k(rows, limit, [F.asc("doc_id")], "query_id").select("query_id", "rank", "doc_id", "value")
 
 

@@ -26,6 +26,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 PART_INDEX = IndexDescription(name="part", n=3, alphabet=("english", "numbers", "$"), pad="$", wrap=("$", "$"))
 MODEL = LanguageModelConfig(name="benchmark", order=3, alphabet=("english", "numbers"), separators=(".", "?", "!", "\n"))
 ASKED = ("smal rnig", "blue widgt", "larg anvill", "coldgear", "new  plates", "hot", "xylophone quartz")
+#: The batch searches ask for every part whose key this divides, autocomplete for so many characters of its name.
+ASKED_EVERY, START_CHARS = 50, 4
 STARTS = ("smal", "blu", "red", "giz", "col", "x")
 _WORD, _CLASS = "[a-z0-9]+", class_body(PART_INDEX.alphabet)
 
@@ -46,6 +48,19 @@ def _asked(spark: SparkSession, texts: tuple[str, ...]) -> DataFrame:
     return spark.createDataFrame(list(enumerate(texts)), "query_id long, query string")
 
 
+def _asked_of_part(spark: SparkSession, sf_dir: str, n_chars: int | None = None) -> DataFrame:
+    """A query for every ASKED_EVERYth part: its name, or the first ``n_chars`` of it."""
+    text = F.col("p_name") if n_chars is None else F.substring("p_name", 1, n_chars)
+    return _table(spark, sf_dir, "part").where(F.col("p_partkey") % ASKED_EVERY == 0).select(F.col("p_partkey").alias("query_id"), text.alias("query"))
+
+
+def _for_each_text(asked: DataFrame, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``search`` of the distinct texts, its rows given to every query of a text."""
+    texts = asked.groupBy("query").agg(F.min("query_id").alias("text_id"))
+    found = search(texts.select(F.col("text_id").alias("query_id"), "query")).withColumnRenamed("query_id", "text_id")
+    return asked.join(texts, "query").select("query_id", "text_id").join(found, "text_id").drop("text_id")
+
+
 def _model(spark: SparkSession, sf_dir: str) -> lm.LanguageModel:
     return lm.LanguageModel.train(_table(spark, sf_dir, "benchmark"), "text", MODEL)
 
@@ -61,6 +76,17 @@ def _suggest(name: str, alpha: float, texts: tuple[str, ...] = ASKED, prefix_fil
     return query
 
 
+def _suggest_batch(name: str, alpha: float, prefix_filter: bool = False) -> Query:
+    """The search for a share of all parts among all parts."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        index = part_index(spark, sf_dir).first_docs(5)
+        found = _for_each_text(_asked_of_part(spark, sf_dir), lambda texts: suggest(index, texts, metric(name, alpha), 5, prefix_filter))
+        return found.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "value", F.round("score", 6).alias("score"))
+
+    return query
+
+
 def _grams_sql(column: str, head: str = "$", tail: str = "$", n: int = 3) -> str:
     """DuckDB: the gram list of a column."""
     s = f"trim(lower('{head}' || {column} || '{tail}'), ' ')"
@@ -84,11 +110,15 @@ def _queries_sql(texts: tuple[str, ...]) -> str:
     return "(VALUES " + ", ".join(f"({i}::BIGINT, '{t}')" for i, t in enumerate(texts)) + ") AS q(query_id, query)"
 
 
-def _scored_sql(name: str, alpha: float, texts: tuple[str, ...]) -> str:
+def _part_queries_sql(text: str = "p_name") -> str:
+    return f"(SELECT p_partkey AS query_id, {text} AS query FROM part WHERE p_partkey % {ASKED_EVERY} = 0) AS q"
+
+
+def _scored_sql(name: str, alpha: float, asked: str) -> str:
     x = {"x": repr(alpha), "xx": repr(alpha * alpha), "d": repr(alpha / (2 - alpha)), "e": repr((2 - alpha) / alpha), "h": repr(0.5 * alpha)}
     lo, hi, t, score = (p.format(**x) for p in _BOUNDS_SQL[name])
     return f"""
-WITH asked AS (SELECT query_id, {_grams_sql('query')} AS grams FROM {_queries_sql(texts)}),
+WITH asked AS (SELECT query_id, {_grams_sql('query')} AS grams FROM {asked}),
 terms AS (SELECT query_id, len(grams) AS a, unnest(grams) AS term FROM asked),
 docs AS (SELECT p_partkey AS doc_id, p_name AS value, {_grams_sql('p_name')} AS grams FROM part),
 postings AS (SELECT doc_id, value, len(grams) AS b, unnest(list_distinct(grams)) AS term FROM docs),
@@ -100,7 +130,11 @@ scored AS (
 
 
 def _suggest_sql(name: str, alpha: float, texts: tuple[str, ...] = ASKED) -> str:
-    return f"""{_scored_sql(name, alpha, texts)},
+    return _ranked_sql(name, alpha, _queries_sql(texts))
+
+
+def _ranked_sql(name: str, alpha: float, asked: str) -> str:
+    return f"""{_scored_sql(name, alpha, asked)},
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored)
 SELECT query_id, rank, doc_id, value, round(score, 6) AS score FROM ranked WHERE rank <= 5"""
 
@@ -110,14 +144,24 @@ def autocomplete_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "value")
 
 
-AUTOCOMPLETE_SQL = f"""
-WITH asked AS (SELECT query_id, {_grams_sql('query', '$', '')} AS grams FROM {_queries_sql(STARTS)}),
+def autocomplete_batch_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = part_index(spark, sf_dir).first_docs(5)
+    found = _for_each_text(_asked_of_part(spark, sf_dir, START_CHARS), lambda texts: autocomplete(index, texts, 5))
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "value")
+
+
+def _autocomplete_sql(asked: str) -> str:
+    return f"""
+WITH asked AS (SELECT query_id, {_grams_sql('query', '$', '')} AS grams FROM {asked}),
 docs AS (SELECT p_partkey AS doc_id, p_name AS value, {_grams_sql('p_name')} AS grams FROM part),
 hits AS (SELECT query_id, doc_id, value FROM asked JOIN docs ON len(asked.grams) > 0 AND len(docs.grams) >= len(asked.grams) AND list_has_all(docs.grams, asked.grams)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank FROM hits)
 SELECT query_id, rank, doc_id, value FROM ranked WHERE rank <= 5"""
 
 
+AUTOCOMPLETE_SQL = _autocomplete_sql(_queries_sql(STARTS))
+
+
 def fuzzy_join_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every distinct part name against all names."""
     index = part_index(spark, sf_dir)
@@ -345,6 +389,13 @@ def queries() -> dict[str, Query]:
         "suggest_exact_part": _suggest("Exact", 1.0, ("small ring", "red bolt", "blue widget")),
         "prefix_filter_part": _suggest("Cosine", 0.5, prefix_filter=True),
         "autocomplete_part": autocomplete_part,
+        "suggest_cosine_batch_part": _suggest_batch("Cosine", 0.5),
+        "suggest_jaccard_batch_part": _suggest_batch("Jaccard", 0.4),
+        "suggest_dice_batch_part": _suggest_batch("Dice", 0.5),
+        "suggest_overlap_batch_part": _suggest_batch("Overlap", 0.6),
+        "suggest_exact_batch_part": _suggest_batch("Exact", 1.0),
+        "prefix_filter_batch_part": _suggest_batch("Cosine", 0.5, prefix_filter=True),
+        "autocomplete_batch_part": autocomplete_batch_part,
         "fuzzy_join_part": fuzzy_join_part,
         "posting_lengths_part": posting_lengths_part,
         "posting_lists_part": posting_lists_part,
@@ -393,6 +444,13 @@ def oracle_sql() -> dict[str, str]:
         "suggest_exact_part": _suggest_sql("Exact", 1.0, ("small ring", "red bolt", "blue widget")),
         "prefix_filter_part": _suggest_sql("Cosine", 0.5),
         "autocomplete_part": AUTOCOMPLETE_SQL,
+        "suggest_cosine_batch_part": _ranked_sql("Cosine", 0.5, _part_queries_sql()),
+        "suggest_jaccard_batch_part": _ranked_sql("Jaccard", 0.4, _part_queries_sql()),
+        "suggest_dice_batch_part": _ranked_sql("Dice", 0.5, _part_queries_sql()),
+        "suggest_overlap_batch_part": _ranked_sql("Overlap", 0.6, _part_queries_sql()),
+        "suggest_exact_batch_part": _ranked_sql("Exact", 1.0, _part_queries_sql()),
+        "prefix_filter_batch_part": _ranked_sql("Cosine", 0.5, _part_queries_sql()),
+        "autocomplete_batch_part": _autocomplete_sql(_part_queries_sql(f"substring(p_name, 1, {START_CHARS})")),
         "fuzzy_join_part": FUZZY_JOIN_SQL,
         "posting_lengths_part": f"{docs} SELECT card, term, count(*) AS length FROM (SELECT len(grams) AS card, unnest(list_distinct(grams)) AS term FROM docs) GROUP BY ALL",
         "posting_lists_part": f"{docs} SELECT card, term, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id FROM (SELECT doc_id, len(grams) AS card, unnest(list_distinct(grams)) AS term FROM docs) GROUP BY ALL",

@@ -159,3 +159,34 @@ def test_dictionaries(spark, tmp_path):
     assert {r.doc_id: r.value for r in dictionary.lookup(docs, keys).collect()} == {1: "b", 9: "<nil/>"}
     dictionary.save(docs, str(tmp_path / "d"))
     assert dictionary.size(dictionary.load(spark, str(tmp_path / "d"))).first().size == 4
+
+
+BATCHES = [f"suggest_{m}_batch_part" for m in ("cosine", "jaccard", "dice", "overlap", "exact")] + ["prefix_filter_batch_part", "autocomplete_batch_part"]
+
+
+@pytest.fixture(scope="module")
+def parts(spark, tmp_path_factory):
+    """650 parts, 13 of them asked for, with repeated names and one that differs in case."""
+    words = ("small", "smal", "blue", "red", "Ring", "rnig", "bolt", "anvil")
+    rows = [(i, f"{words[i * 7 % 8]} {words[i // 9 % 8]}") for i in range(1, 651)]
+    path = str(tmp_path_factory.mktemp("parts"))
+    spark.createDataFrame(rows, "p_partkey long, p_name string").write.parquet(f"{path}/part.parquet")
+    return path, rows
+
+
+@pytest.mark.parametrize("name", BATCHES)
+def test_batch_searches_ask_for_every_fiftieth_part(spark, parts, name):
+    import duckdb
+
+    import __spark_entry__ as e
+
+    path, rows = parts
+    got = sorted(tuple(r) for r in e.queries()[name](spark, path).collect())
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('{path}/part.parquet/*.parquet')")
+        want = sorted(db.execute(e.oracle_sql()[name]).fetchall())
+    assert [g[:4] for g in got] == [w[:4] for w in want]
+    assert [g[4:] for g in got] == [pytest.approx(w[4:], abs=2e-6) for w in want]
+    # a part is found by its own name
+    assert {g[0] for g in got} == {i for i, _ in rows if i % 50 == 0}
+    assert all(sum(g[0] == i for g in got) <= 5 for i, _ in rows)
