@@ -5,9 +5,10 @@ names, access identifiers and long hex runs.  They are always reported.
 
 Weak candidates (an account or client name, an opaque token, a service
 address) mean little alone.  They are reported only where complementary parts
-lie in one scope: the same paragraph, at most ``window`` code points apart.
+lie in one scope: the same paragraph, at most ``window`` code points between
+the end of one and the start of the other, however long they are themselves.
 That is an interval join between candidates and scopes; it is done by binary
-search in the sorted starts of each part, so neither pairs nor a product of
+search in the sorted intervals of each part, so neither pairs nor a product of
 the candidates is made, however many a text holds.
 
 Defined cases: null text is an empty text without findings; very long texts
@@ -22,6 +23,7 @@ import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,8 +37,8 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 #: Order of kinds among findings of equal start.
 KINDS = ("assign", "access", "hex", "identifier", "opaque", "endpoint")
 
-IDENTIFIER = re.compile(r"""(?ia)\b(?:access|account|client|application|app|tenant|user)[_-]?(?:key)?[_-]?(?:id|name)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{4,})""")
-OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_=-])")
+IDENTIFIER = re.compile(r"""(?ia)(?<![A-Za-z0-9])(?:access|account|client|application|app|tenant|user)[_-]?(?:key)?[_-]?(?:id|name)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{4,})""")
+OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])")
 ENDPOINT = re.compile(r"""(?a)\b(?:[a-z][a-z0-9+.-]*://[^\s"'<>]{4,}|[a-z0-9-]+(?:\.[a-z0-9-]+)+:\d{2,5}\b)""")
 PARAGRAPH = re.compile(r"\n[\x20\t\r]*\n")
 
@@ -75,14 +77,15 @@ class _Part:
     def __init__(self, spans: list[tuple[int, int]]):
         self.spans = sorted(set(spans))
         self.starts = [s for s, _ in self.spans]
+        self.furthest = list(accumulate((e for _, e in self.spans), max))
 
-    def near(self, lo: int, hi: int, but: tuple[int, int]) -> bool:
-        """Whether an interval other than ``but`` starts in [lo, hi] and doesn't overlap it."""
-        i, j = bisect_left(self.starts, lo), bisect_right(self.starts, hi)
-        # intervals that overlap ``but`` are few and adjacent: step over them
+    def near(self, edge: int, lo: int, hi: int, but: tuple[int, int]) -> bool:
+        """Whether an interval other than ``but`` starts in [edge, hi], ends at ``lo`` or later and doesn't overlap ``but``."""
+        i, j = max(bisect_left(self.starts, edge), bisect_left(self.furthest, lo)), bisect_right(self.starts, hi)
+        # intervals that overlap ``but``, or lie within one that reaches ``lo``, are few and adjacent: step over them
         while i < j:
             s, e = self.spans[i]
-            if e <= but[0] or s >= but[1]:
+            if e >= lo and (e <= but[0] or s >= but[1]):
                 return True
             i += 1
         return False
@@ -103,11 +106,11 @@ def linked_spans(text: str, base: list[Span], window: int = WINDOW) -> list[Span
     secrets = _Part(opaque + [(s, e) for k, s, e in base if k != "access"])
     edges = [m.start() for m in PARAGRAPH.finditer(text)]
 
-    def scope(span: tuple[int, int]) -> tuple[int, int]:
+    def scope(span: tuple[int, int]) -> tuple[int, int, int]:
         at = bisect_right(edges, span[0])
-        lo = edges[at - 1] if at else 0
+        edge = edges[at - 1] if at else 0
         hi = edges[at] if at < len(edges) else len(text)
-        return max(lo, span[0] - window), min(hi, span[1] + window)
+        return edge, span[0] - window, min(hi, span[1] + window)
 
     out = [("identifier", *x) for x in identifiers if secrets.near(*scope(x), x)]
     out += [("opaque", *x) for x in opaque if ids.near(*scope(x), x)]
