@@ -7,11 +7,13 @@ lies within its span is found by rendering the turn once more with a probe as
 its text.  A template whose output for k turns doesn't begin with that for
 k - 1 rewrites history; such conversations are flagged, and have no spans.
 
-Conversations stream through their task turn by turn: digests and counts are
-carried on, not the turns, and a prefix is rendered from at most ``context``
-turns before the one in hand (the first ``anchor`` turns and the latest), so
-memory and time stay bounded for conversations of any length.  Up to
-``context`` turns, that is the whole prefix.
+Conversations stream through their task turn by turn.  Of a template that
+nothing is known of, every prefix is rendered whole: its turns are held, and
+time grows with the square of a conversation.  A template declared to render
+each turn by itself (``independent_turns``) is rendered from at most
+``context`` turns before the one in hand (the first ``anchor`` turns and the
+latest), which adds the same span; digests and counts are carried on, not the
+turns, so memory and time stay bounded for conversations of any length.
 
 Defined cases: null text or role is an empty string; turns of one conversation
 are ordered by turn (null first), role and text, so repeated rows are turns of
@@ -54,6 +56,13 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(lambda m: _UNESCAPES[m.group(1)], text)
 
 
+def independent_turns(template: Template) -> Template:
+    """Declares that a template's output is that of its turns one by one, in order."""
+    template.independent_turns = True
+    return template
+
+
+@independent_turns
 def marked_template(turns: list[Turn]) -> str:
     """The production template: ``### Role: text</turn>`` and a line end for each turn."""
     out = []
@@ -73,24 +82,31 @@ def read_turn(span: str) -> Turn:
 
 
 class IncrementalRenderer:
-    """Feeds turns one by one and yields each turn's span and the place of its text."""
+    """Feeds turns one by one and yields each turn's span and the place of its text.
+
+    ``context`` and ``anchor`` hold for templates of independent turns only;
+    others are rendered from all turns.
+    """
 
     def __init__(self, template: Template, context: int = 64, anchor: int = 2):
         if not 0 <= anchor < context:
             raise ValueError("anchor must be less than context")
-        self.template, self.context, self.anchor = template, context, anchor
+        self.template, self.anchor = template, anchor
+        self.context = context if getattr(template, "independent_turns", False) else None
         self.turns: list[Turn] = []
         self.before = template([])
         self.rewrites = False
 
     def add(self, turn: Turn) -> tuple[str, int, int] | None:
         """(span, start, end) of the turn, its text at [start, end); None once history is rewritten."""
-        if len(self.turns) >= self.context:
+        if self.rewrites:
+            return None
+        if self.context is not None and len(self.turns) >= self.context:
             del self.turns[self.anchor]
             self.before = self.template(self.turns)
         after = self.template([*self.turns, turn])
         probed = self.template([*self.turns, (turn[0], PROBE)])
-        if self.rewrites or not (after.startswith(self.before) and probed.startswith(self.before)):
+        if not (after.startswith(self.before) and probed.startswith(self.before)):
             self.rewrites = True
             return None
         span, probe = after[len(self.before) :], probed[len(self.before) :]
