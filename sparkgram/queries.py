@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,8 +63,18 @@ def _for_each_text(asked: DataFrame, search: Callable[[DataFrame], DataFrame]) -
     return asked.join(texts, "query").select("query_id", "text_id").join(found, "text_id").drop("text_id")
 
 
-def _model(spark: SparkSession, sf_dir: str) -> lm.LanguageModel:
-    return lm.LanguageModel.train(_table(spark, sf_dir, "benchmark"), "text", MODEL)
+def _model(spark: SparkSession, sf_dir: str, source: str = "benchmark") -> lm.LanguageModel:
+    return lm.LanguageModel.train(_table(spark, sf_dir, source), "text", MODEL)
+
+
+def _stored_model(spark: SparkSession, sf_dir: str, source: str, order: int) -> lm.LanguageModel:
+    """The model's n-grams up to ``order``, counted once and kept under ``spark.checkpoint.dir``, for plans that read them many times."""
+    model = _model(spark, sf_dir, source)
+    model.ngrams = model.ngrams.where(F.col("n") <= order)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp()}"
+    path = f"{base.rstrip('/')}/sparkgram-model-{uuid.uuid4().hex}"
+    model.save(path)
+    return lm.LanguageModel.load(spark, path)
 
 
 # -- search ------------------------------------------------------------------
@@ -328,16 +340,38 @@ def vocab_rank_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _model(spark, sf_dir).vocabulary()
 
 
+def vocab_rank_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored_model(spark, sf_dir, "documents", 1).vocabulary()
+
+
 def word_ids_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _known_words(spark, sf_dir, _model(spark, sf_dir).vocabulary())
+
+
+def word_ids_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the conversations by the vocabulary of the documents."""
+    return _known_words(spark, sf_dir, vocab_rank_documents(spark, sf_dir))
+
+
+def _known_words(spark: SparkSession, sf_dir: str, vocab: DataFrame) -> DataFrame:
     talk = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(analysis.words(F.col("text"), MODEL.alphabet)).alias("pos", "word"))
-    ids = lm.word_ids(talk, _model(spark, sf_dir).vocabulary())
+    ids = lm.word_ids(talk, vocab)
     return ids.groupBy("conv_id", "turn").agg(F.count("*").alias("n_words"), F.count("word_id").alias("n_known"), F.coalesce(F.sum("word_id"), F.lit(0)).alias("id_sum"))
 
 
 def sentence_score_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _conversation_scores(spark, sf_dir, _model(spark, sf_dir))
+
+
+def sentence_score_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of the conversations by the n-grams of the documents."""
+    return _conversation_scores(spark, sf_dir, _model(spark, sf_dir, "documents"))
+
+
+def _conversation_scores(spark: SparkSession, sf_dir: str, model: lm.LanguageModel) -> DataFrame:
     sents = lm.split_sentences(_table(spark, sf_dir, "conversations"), "text", MODEL, "conv_id", "turn")
     keyed = sents.select(F.struct("conv_id", "turn", "pos").alias("id"), "words")
-    scores = _model(spark, sf_dir).score_sentences(keyed)
+    scores = model.score_sentences(keyed)
     return scores.groupBy(F.col("id.conv_id").alias("conv_id"), F.col("id.turn").alias("turn")).agg(F.count("*").alias("n_sentences"), F.round(F.sum("score"), 3).alias("score"))
 
 
@@ -345,12 +379,27 @@ def next_word_topk_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _model(spark, sf_dir).next_words(["<S>", "the"], 10).select("word", "cnt", F.round("score", 6).alias("score"))
 
 
+def next_word_topk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _model(spark, sf_dir, "documents").next_words(["<S>", "the"], 10).select("word", "cnt", F.round("score", 6).alias("score"))
+
+
+def lm_context_children_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _model(spark, sf_dir, "documents").children(["the"])
+
+
 def lm_context_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _model(spark, sf_dir).children(["the"])
 
 
 def spell_predict_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    checker = SpellChecker(_model(spark, sf_dir))
+    return _predictions(SpellChecker(_model(spark, sf_dir)))
+
+
+def spell_predict_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _predictions(SpellChecker(_stored_model(spark, sf_dir, "documents", MODEL.order)))
+
+
+def _predictions(checker: SpellChecker) -> DataFrame:
     out = None
     for i, query in enumerate(("the thh", "is thee", "and the tion")):
         part = checker.predict(query, 5, 0.5).select(F.lit(i).alias("query_id"), "pos", "word", F.round("score", 6).alias("score"))
@@ -369,8 +418,9 @@ def _counts_sql(table: str = "benchmark", keys: str = "item_id") -> str:
     return f"{_sentences_sql(table, keys)}, grams AS ({parts}), counts AS (SELECT n, gram, count(*) AS cnt FROM grams GROUP BY ALL)"
 
 
-_SCORE_SQL = f"""
-WITH {_counts_sql()}, total AS (SELECT sum(cnt)::BIGINT AS c0 FROM counts WHERE n = 1),
+def _score_sql(counts: str) -> str:
+    return f"""
+WITH {counts}, total AS (SELECT sum(cnt)::BIGINT AS c0 FROM counts WHERE n = 1),
 {_sentences_sql('conversations', 'conv_id, turn').replace('pieces', 'pieces2').replace('sents', 'sents2').replace('wrapped', 'wrapped2')},
 wins AS (SELECT conv_id, turn, pos, array_to_string(w[i:i], ' ') AS g1, array_to_string(w[i:i + 1], ' ') AS g2, array_to_string(w[i:i + 2], ' ') AS g3
   FROM (SELECT conv_id, turn, pos, w, unnest(range(1, len(w) - 1)) AS i FROM wrapped2)),
@@ -427,6 +477,12 @@ def queries() -> dict[str, Query]:
         "next_word_topk_benchmark": next_word_topk_benchmark,
         "lm_context_children": lm_context_children,
         "spell_predict_benchmark": spell_predict_benchmark,
+        "vocab_rank_documents": vocab_rank_documents,
+        "word_ids_documents": word_ids_documents,
+        "sentence_score_documents": sentence_score_documents,
+        "next_word_topk_documents": next_word_topk_documents,
+        "lm_context_children_documents": lm_context_children_documents,
+        "spell_predict_documents": spell_predict_documents,
     }
 
 
@@ -476,7 +532,12 @@ def oracle_sql() -> dict[str, str]:
         "corpus_total_benchmark": f"WITH {_counts_sql()} SELECT sum(cnt)::BIGINT AS total FROM counts WHERE n = 1",
         "vocab_rank_benchmark": f"WITH {_counts_sql()}, {vocab} SELECT word_id, word, cnt FROM vocab",
         "word_ids_conversations": f"WITH {_counts_sql()}, {vocab}, talk AS (SELECT conv_id, turn, unnest({words}) AS word FROM conversations) SELECT conv_id, turn, count(*) AS n_words, count(word_id) AS n_known, coalesce(sum(word_id), 0)::BIGINT AS id_sum FROM talk LEFT JOIN vocab USING (word) GROUP BY conv_id, turn",
-        "sentence_score_conversations": _SCORE_SQL,
+        "sentence_score_conversations": _score_sql(_counts_sql()),
         "next_word_topk_benchmark": f"WITH {_counts_sql()} SELECT substring(gram, 9) AS word, cnt, round(ln(cnt::DOUBLE / (SELECT cnt FROM counts WHERE n = 2 AND gram = '<S> the')), 6) AS score FROM counts WHERE n = 3 AND starts_with(gram, '<S> the ') ORDER BY score DESC, word LIMIT 10",
         "lm_context_children": f"WITH {_counts_sql()} SELECT substring(gram, 5) AS word, cnt FROM counts WHERE n = 2 AND starts_with(gram, 'the ')",
+        "vocab_rank_documents": f"WITH {_counts_sql('documents', 'doc_id')}, {vocab} SELECT word_id, word, cnt FROM vocab",
+        "word_ids_documents": f"WITH {_counts_sql('documents', 'doc_id')}, {vocab}, talk AS (SELECT conv_id, turn, unnest({words}) AS word FROM conversations) SELECT conv_id, turn, count(*) AS n_words, count(word_id) AS n_known, coalesce(sum(word_id), 0)::BIGINT AS id_sum FROM talk LEFT JOIN vocab USING (word) GROUP BY conv_id, turn",
+        "sentence_score_documents": _score_sql(_counts_sql('documents', 'doc_id')),
+        "next_word_topk_documents": f"WITH {_counts_sql('documents', 'doc_id')} SELECT substring(gram, 9) AS word, cnt, round(ln(cnt::DOUBLE / (SELECT cnt FROM counts WHERE n = 2 AND gram = '<S> the')), 6) AS score FROM counts WHERE n = 3 AND starts_with(gram, '<S> the ') ORDER BY score DESC, word LIMIT 10",
+        "lm_context_children_documents": f"WITH {_counts_sql('documents', 'doc_id')} SELECT substring(gram, 5) AS word, cnt FROM counts WHERE n = 2 AND starts_with(gram, 'the ')",
     }

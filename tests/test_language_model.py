@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,3 +115,38 @@ def test_spelling_gives_one_more_than_k(spark):
     assert checker.predict("abcd", 3, 0.2, strict_k=True).count() == 3
     with pytest.raises(ValueError):
         checker.predict("abcd", 0, 0.2)
+
+
+@pytest.fixture(scope="module")
+def two_sources(spark, tmp_path_factory):
+    """Documents and a benchmark with other words, and conversations that use the documents'."""
+    path = str(tmp_path_factory.mktemp("sources"))
+    docs = [(1, "The thhab ran. The thhab sat! The thhcd\nA cat"), (2, "The cat sat on the mat. The cat ran"), (3, None)]
+    talk = [(1, 0, "user", "The cat sat. The thhab ran"), (1, 1, "assistant", "Unheard of! On the mat"), (2, 0, "user", "the end of it")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(1, "the end of it")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    spark.createDataFrame(talk, "conv_id long, turn long, role string, text string").write.parquet(f"{path}/conversations.parquet")
+    return path
+
+
+@pytest.mark.parametrize("name", ["vocab_rank_documents", "word_ids_documents", "sentence_score_documents", "next_word_topk_documents", "lm_context_children_documents"])
+def test_models_of_the_documents(spark, two_sources, name):
+    import duckdb
+
+    import __spark_entry__ as e
+
+    got = e.queries()[name](spark, two_sources)
+    with duckdb.connect() as db:
+        for table in ("documents", "benchmark", "conversations"):
+            db.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{two_sources}/{table}.parquet/*.parquet')")
+        want = db.execute(f"SELECT {', '.join(got.columns)} FROM ({e.oracle_sql()[name]})").fetchall()
+    assert want
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_spelling_by_the_documents(spark, two_sources):
+    import __spark_entry__ as e
+
+    got = [tuple(r) for r in e.queries()["spell_predict_documents"](spark, two_sources).orderBy("query_id", "pos").collect()]
+    # <S> the: 5 times, twice before thhab, once before thhcd; nothing follows <S> is
+    assert got == [(0, 0, "thhab", round(math.log(2 / 5), 6)), (0, 1, "thhcd", round(math.log(1 / 5), 6)), (1, 0, "the", -100.0)]
