@@ -272,12 +272,16 @@ def merge_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- text ---------------------------------------------------------------------------
 
 
-def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", analysis.words(F.col("text"), MODEL.alphabet).alias("words"))
+def _words(spark: SparkSession, sf_dir: str, alphabet: tuple[str, ...] = MODEL.alphabet) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", analysis.words(F.col("text"), alphabet).alias("words"))
 
 
 def word_count_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _words(spark, sf_dir).select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("cnt"))
+    return _word_counts(_words(spark, sf_dir))
+
+
+def _word_counts(words: DataFrame) -> DataFrame:
+    return words.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("cnt"))
 
 
 def sentences_per_document(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -301,7 +305,7 @@ def stem_en_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stem_ru_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = word_count_documents(spark, sf_dir)
+    words = _word_counts(_words(spark, sf_dir, (*MODEL.alphabet, "russian")))
     return words.withColumn("stem", stem_column(F.col("word"), "russian")).groupBy("stem").agg(F.sum("cnt").alias("cnt"))
 
 

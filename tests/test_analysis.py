@@ -90,3 +90,14 @@ def test_stem_tokens_keeps_order_and_repeats(spark):
     rows = spark.createDataFrame([(1, ["running", "the", "dogs", "running"])], "id long, tokens array<string>")
     got = stem_tokens(rows, "id", "tokens", "english").orderBy("pos").collect()
     assert [r.stem for r in got] == ["run", "dog", "run"]
+
+
+def test_russian_words_are_stemmed(spark, tmp_path):
+    import __spark_entry__ as e
+
+    docs = [(1, "Книги, книга и КНИГУ: books 33"), (2, "ёлка x")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.stem: r.cnt for r in e.queries()["stem_ru_documents"](spark, str(tmp_path)).collect()}
+    assert got["книг"] == 3
+    assert {"и", "books", "33", "x"} <= set(got)
+    assert sum(got.values()) == 8
