@@ -20,13 +20,13 @@ def parser() -> argparse.ArgumentParser:
     sub = p.add_subparsers(dest="command", required=True)
     index = sub.add_parser("index", help="build the DISC indexes of a config file")
     index.add_argument("config")
-    for name in ("suggest", "complete"):
+    for name in ("search", "complete"):
         s = sub.add_parser(name, help=f"{name} from an index of a config file")
         s.add_argument("config")
         s.add_argument("dict")
         s.add_argument("query")
         s.add_argument("--top-k", type=int, default=5)
-        if name == "suggest":
+        if name == "search":
             s.add_argument("--metric", default="Cosine")
             s.add_argument("--similarity", type=float, default=0.5)
     count = sub.add_parser("ngram-count", help="count n-grams into <k>-gm files")
@@ -62,8 +62,8 @@ def main(argv: list[str] | None = None) -> int:
         for d in read_index_descriptions(args.config):
             if d.driver == "DISC":
                 SearchIndex.build(dictionary.from_lines(spark, d.source), d).save(d.output)
-    elif args.command == "suggest":
-        for r in _service(spark, args.config).suggest(args.dict, args.query, args.metric, args.similarity, args.top_k).collect():
+    elif args.command == "search":
+        for r in _service(spark, args.config).search(args.dict, args.query, args.metric, args.similarity, args.top_k).collect():
             print(f"{r.score:.6f}\t{r.value}")
     elif args.command == "complete":
         for r in _service(spark, args.config).autocomplete(args.dict, args.query, args.top_k).collect():

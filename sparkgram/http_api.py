@@ -1,7 +1,7 @@
 """A small HTTP front for a service and a spell checker.
 
 GET  /dict/list/
-GET  /suggest/{dict}/{query}/?metric=&similarity=&topK=
+GET  /search/{dict}/{query}/?metric=&similarity=&topK=
 GET  /autocomplete/{dict}/{query}/?topK=
 GET  /predict/{query}/?similarity=&topK=
 POST /internal/reindex/
@@ -58,10 +58,10 @@ def answer(service: Service, speller: SpellChecker | None, reindex: Callable[[],
             return 200, {"status": "ok"}
         if path == ["dict", "list"]:
             return 200, service.dictionaries()
-        if len(path) == 3 and path[0] == "suggest":
+        if len(path) == 3 and path[0] == "search":
             if params.get("metric") not in METRICS:
                 raise BadRequest(f"metric must be one of {', '.join(METRICS)}")
-            rows = service.suggest(path[1], path[2], params["metric"], similarity_of(params), top_k_of(params)).collect()
+            rows = service.search(path[1], path[2], params["metric"], similarity_of(params), top_k_of(params)).collect()
             return 200, [{"Score": r.score, "Value": r.value} for r in rows]
         if len(path) == 3 and path[0] == "autocomplete":
             rows = service.autocomplete(path[1], path[2], top_k_of(params)).collect()

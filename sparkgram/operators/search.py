@@ -64,7 +64,7 @@ def verified(index: SearchIndex, queries: DataFrame, metric: Metric) -> DataFram
     return found.select("query_id", "a", "value_id", "b", shared.alias("overlap"))
 
 
-def suggest(index: SearchIndex, queries: DataFrame, metric: Metric, k: int, prefix_filter: bool = False) -> DataFrame:
+def fuzzy_top_k(index: SearchIndex, queries: DataFrame, metric: Metric, k: int, prefix_filter: bool = False) -> DataFrame:
     """Top ``k`` documents of each query: (query_id, rank, doc_id, value, score).
 
     Order: score down, then doc_id up.  ``prefix_filter`` verifies candidates of
@@ -85,7 +85,7 @@ def autocomplete(index: SearchIndex, queries: DataFrame, limit: int) -> DataFram
     """For each query the ``limit`` least doc_ids whose value has every query gram."""
     if limit <= 0:
         return index.docs.select(F.lit(0).cast("long").alias("query_id"), F.lit(0).alias("rank"), "doc_id", "value").limit(0)
-    # as in ``suggest``: the least documents belong to the least values
+    # as in ``fuzzy_top_k``: the least documents belong to the least values
     least = top_k(containing(index, queries), limit, [F.asc("value_id")], "query_id").drop("rank")
     rows = least.join(index.docs, "value_id")
     return top_k(rows, limit, [F.asc("doc_id")], "query_id").select("query_id", "rank", "doc_id", "value")

@@ -11,7 +11,7 @@ from sparkgram.functions.alphabet import class_body
 from sparkgram.functions.metric import Cosine
 from sparkgram.operators.index import SearchIndex
 from sparkgram.operators.ranking import union_left_first
-from sparkgram.operators.search import containing, suggest
+from sparkgram.operators.search import containing, fuzzy_top_k
 from sparkgram.plans.language_model import UNKNOWN_SCORE, LanguageModel
 from sparkgram.sources.config import IndexDescription
 
@@ -52,7 +52,7 @@ class SpellChecker:
         first = _numbered(ranked, F.desc("lm"), F.asc("doc_id"))
         found = first
         if first.limit(k).count() < k:
-            fuzzy = scored(suggest(self.index, asked, metric, k).withColumn("pos", F.col("rank") - 1).select("doc_id", "value", "pos"))
+            fuzzy = scored(fuzzy_top_k(self.index, asked, metric, k).withColumn("pos", F.col("rank") - 1).select("doc_id", "value", "pos"))
             found = union_left_first(first, fuzzy.select("doc_id", "value", "lm", "pos"), "doc_id")
         order = [F.desc("lm"), F.asc("pos")] if known else [F.asc("pos")]
         out = _numbered(found.orderBy(*order).limit(k if strict_k else k + 1), *order)

@@ -16,7 +16,7 @@ from sparkgram.functions.stemming import stem_column
 from sparkgram.operators.index import SearchIndex
 from sparkgram.operators.overlap import intersection, lower_bound, t_occurrence
 from sparkgram.operators.ranking import dense_ids, top_k, union_left_first
-from sparkgram.operators.search import autocomplete, fuzzy_join, suggest
+from sparkgram.operators.search import autocomplete, fuzzy_join, fuzzy_top_k
 from sparkgram.plans import language_model as lm
 from sparkgram.plans.spell import SpellChecker
 from sparkgram.plans.variable_grams import gram_trie
@@ -80,20 +80,20 @@ def _stored_model(spark: SparkSession, sf_dir: str, source: str, order: int) ->
 # -- search ------------------------------------------------------------------
 
 
-def _suggest(name: str, alpha: float, texts: tuple[str, ...] = ASKED, prefix_filter: bool = False) -> Query:
+def _search(name: str, alpha: float, texts: tuple[str, ...] = ASKED, prefix_filter: bool = False) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = suggest(part_index(spark, sf_dir), _asked(spark, texts), metric(name, alpha), 5, prefix_filter)
+        found = fuzzy_top_k(part_index(spark, sf_dir), _asked(spark, texts), metric(name, alpha), 5, prefix_filter)
         return found.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "value", F.round("score", 6).alias("score"))
 
     return query
 
 
-def _suggest_batch(name: str, alpha: float, prefix_filter: bool = False) -> Query:
+def _search_batch(name: str, alpha: float, prefix_filter: bool = False) -> Query:
     """The search for a share of all parts among all parts."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         index = part_index(spark, sf_dir).first_docs(5)
-        found = _for_each_text(_asked_of_part(spark, sf_dir), lambda texts: suggest(index, texts, metric(name, alpha), 5, prefix_filter))
+        found = _for_each_text(_asked_of_part(spark, sf_dir), lambda texts: fuzzy_top_k(index, texts, metric(name, alpha), 5, prefix_filter))
         return found.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "value", F.round("score", 6).alias("score"))
 
     return query
@@ -141,7 +141,7 @@ scored AS (
 )"""
 
 
-def _suggest_sql(name: str, alpha: float, texts: tuple[str, ...] = ASKED) -> str:
+def _search_sql(name: str, alpha: float, texts: tuple[str, ...] = ASKED) -> str:
     return _ranked_sql(name, alpha, _queries_sql(texts))
 
 
@@ -436,19 +436,19 @@ SELECT conv_id, turn, count(*) AS n_sentences, round(sum(coalesce(score, 0)), 3)
 
 def queries() -> dict[str, Query]:
     return {
-        "suggest_cosine_part": _suggest("Cosine", 0.5),
-        "suggest_jaccard_part": _suggest("Jaccard", 0.4),
-        "suggest_dice_part": _suggest("Dice", 0.5),
-        "suggest_overlap_part": _suggest("Overlap", 0.6),
-        "suggest_exact_part": _suggest("Exact", 1.0, ("small ring", "red bolt", "blue widget")),
-        "prefix_filter_part": _suggest("Cosine", 0.5, prefix_filter=True),
+        "search_cosine_part": _search("Cosine", 0.5),
+        "search_jaccard_part": _search("Jaccard", 0.4),
+        "search_dice_part": _search("Dice", 0.5),
+        "search_overlap_part": _search("Overlap", 0.6),
+        "search_exact_part": _search("Exact", 1.0, ("small ring", "red bolt", "blue widget")),
+        "prefix_filter_part": _search("Cosine", 0.5, prefix_filter=True),
         "autocomplete_part": autocomplete_part,
-        "suggest_cosine_batch_part": _suggest_batch("Cosine", 0.5),
-        "suggest_jaccard_batch_part": _suggest_batch("Jaccard", 0.4),
-        "suggest_dice_batch_part": _suggest_batch("Dice", 0.5),
-        "suggest_overlap_batch_part": _suggest_batch("Overlap", 0.6),
-        "suggest_exact_batch_part": _suggest_batch("Exact", 1.0),
-        "prefix_filter_batch_part": _suggest_batch("Cosine", 0.5, prefix_filter=True),
+        "search_cosine_batch_part": _search_batch("Cosine", 0.5),
+        "search_jaccard_batch_part": _search_batch("Jaccard", 0.4),
+        "search_dice_batch_part": _search_batch("Dice", 0.5),
+        "search_overlap_batch_part": _search_batch("Overlap", 0.6),
+        "search_exact_batch_part": _search_batch("Exact", 1.0),
+        "prefix_filter_batch_part": _search_batch("Cosine", 0.5, prefix_filter=True),
         "autocomplete_batch_part": autocomplete_batch_part,
         "fuzzy_join_part": fuzzy_join_part,
         "posting_lengths_part": posting_lengths_part,
@@ -497,18 +497,18 @@ def oracle_sql() -> dict[str, str]:
     count = lambda n: f"WITH {_counts_sql()} SELECT gram, cnt FROM counts WHERE n = {n}"
     vocab = "vocab AS (SELECT row_number() OVER (ORDER BY cnt DESC, gram) - 1 AS word_id, gram AS word, cnt FROM counts WHERE n = 1)"
     return {
-        "suggest_cosine_part": _suggest_sql("Cosine", 0.5),
-        "suggest_jaccard_part": _suggest_sql("Jaccard", 0.4),
-        "suggest_dice_part": _suggest_sql("Dice", 0.5),
-        "suggest_overlap_part": _suggest_sql("Overlap", 0.6),
-        "suggest_exact_part": _suggest_sql("Exact", 1.0, ("small ring", "red bolt", "blue widget")),
-        "prefix_filter_part": _suggest_sql("Cosine", 0.5),
+        "search_cosine_part": _search_sql("Cosine", 0.5),
+        "search_jaccard_part": _search_sql("Jaccard", 0.4),
+        "search_dice_part": _search_sql("Dice", 0.5),
+        "search_overlap_part": _search_sql("Overlap", 0.6),
+        "search_exact_part": _search_sql("Exact", 1.0, ("small ring", "red bolt", "blue widget")),
+        "prefix_filter_part": _search_sql("Cosine", 0.5),
         "autocomplete_part": AUTOCOMPLETE_SQL,
-        "suggest_cosine_batch_part": _ranked_sql("Cosine", 0.5, _part_queries_sql()),
-        "suggest_jaccard_batch_part": _ranked_sql("Jaccard", 0.4, _part_queries_sql()),
-        "suggest_dice_batch_part": _ranked_sql("Dice", 0.5, _part_queries_sql()),
-        "suggest_overlap_batch_part": _ranked_sql("Overlap", 0.6, _part_queries_sql()),
-        "suggest_exact_batch_part": _ranked_sql("Exact", 1.0, _part_queries_sql()),
+        "search_cosine_batch_part": _ranked_sql("Cosine", 0.5, _part_queries_sql()),
+        "search_jaccard_batch_part": _ranked_sql("Jaccard", 0.4, _part_queries_sql()),
+        "search_dice_batch_part": _ranked_sql("Dice", 0.5, _part_queries_sql()),
+        "search_overlap_batch_part": _ranked_sql("Overlap", 0.6, _part_queries_sql()),
+        "search_exact_batch_part": _ranked_sql("Exact", 1.0, _part_queries_sql()),
         "prefix_filter_batch_part": _ranked_sql("Cosine", 0.5, _part_queries_sql()),
         "autocomplete_batch_part": _autocomplete_sql(_part_queries_sql(f"substring(p_name, 1, {START_CHARS})")),
         "fuzzy_join_part": FUZZY_JOIN_SQL,

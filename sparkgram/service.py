@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sparkgram.functions.metric import metric
 from sparkgram.operators.index import SearchIndex
-from sparkgram.operators.search import autocomplete, suggest
+from sparkgram.operators.search import autocomplete, fuzzy_top_k
 from sparkgram.sources import dictionary
 from sparkgram.sources.config import IndexDescription
 
@@ -56,9 +56,9 @@ class Service:
     def _query(self, text: str) -> DataFrame:
         return self.spark.createDataFrame([(0, text)], "query_id long, query string")
 
-    def suggest(self, name: str, query: str, metric_name: str = "Cosine", similarity: float = 0.5, top_k: int = 5) -> DataFrame:
+    def search(self, name: str, query: str, metric_name: str = "Cosine", similarity: float = 0.5, top_k: int = 5) -> DataFrame:
         """``(doc_id, value, score)``, best first."""
-        found = suggest(self.index(name), self._query(query), metric(metric_name, similarity), top_k)
+        found = fuzzy_top_k(self.index(name), self._query(query), metric(metric_name, similarity), top_k)
         return found.orderBy("rank").select("doc_id", "value", "score")
 
     def autocomplete(self, name: str, query: str, limit: int = 5) -> DataFrame:

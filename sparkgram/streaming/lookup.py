@@ -9,10 +9,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sparkgram.functions.metric import Metric
 from sparkgram.operators.index import SearchIndex
-from sparkgram.operators.search import suggest
+from sparkgram.operators.search import fuzzy_top_k
 
 
-def suggest_stream(queries: DataFrame, index: Callable[[], SearchIndex], metric: Metric, k: int, sink: Callable[[DataFrame, int], None], checkpoint: str, **options) -> StreamingQuery:
+def search_stream(queries: DataFrame, index: Callable[[], SearchIndex], metric: Metric, k: int, sink: Callable[[DataFrame, int], None], checkpoint: str, **options) -> StreamingQuery:
     """Starts a query whose micro-batches (query_id, query) are searched as one batch each.
 
     ``index`` is called for every batch, so a new index takes over between two
@@ -21,6 +21,6 @@ def suggest_stream(queries: DataFrame, index: Callable[[], SearchIndex], metric:
     """
 
     def batch(rows: DataFrame, batch_id: int) -> None:
-        sink(suggest(index(), rows, metric, k), batch_id)
+        sink(fuzzy_top_k(index(), rows, metric, k), batch_id)
 
     return queries.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(options or {"availableNow": True})).start()

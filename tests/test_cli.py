@@ -24,7 +24,7 @@ def run(capsys, *args):
 
 def test_indexes(capsys, files):
     assert run(capsys, "index", files / "index.json") == []
-    assert [line.split("\t")[1] for line in run(capsys, "suggest", files / "index.json", "cars", "nissan juke", "--metric", "Exact")] == ["Nissan Juke"]
+    assert [line.split("\t")[1] for line in run(capsys, "search", files / "index.json", "cars", "nissan juke", "--metric", "Exact")] == ["Nissan Juke"]
     assert run(capsys, "complete", files / "index.json", "cars", "niss", "--top-k", 1) == ["Nissan March"]
 
 

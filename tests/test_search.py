@@ -5,7 +5,7 @@ from sparkgram.functions.metric import METRICS, metric
 from sparkgram.operators.index import SearchIndex
 from sparkgram.operators.overlap import STRATEGIES, intersection, lower_bound, t_occurrence
 from sparkgram.operators.ranking import dense_ids, top_k, union_left_first
-from sparkgram.operators.search import autocomplete, fuzzy_join, suggest
+from sparkgram.operators.search import autocomplete, fuzzy_join, fuzzy_top_k
 from sparkgram.sources import dictionary
 from sparkgram.sources.config import IndexDescription
 
@@ -23,11 +23,11 @@ def asked(spark, *texts):
 
 
 def test_fuzzy_goldens(spark, cars):
-    got = suggest(cars, asked(spark, "Nissan ma"), metric("Jaccard", 0.5), 2).orderBy("rank").collect()
+    got = fuzzy_top_k(cars, asked(spark, "Nissan ma"), metric("Jaccard", 0.5), 2).orderBy("rank").collect()
     assert [r.doc_id for r in got] == [2, 0]
     assert [round(r.score, 4) for r in got] == [0.6923, 0.6154]
     narrow = SearchIndex.build(dictionary.from_words(spark, CARS), IndexDescription("x", 3, ("english", "$")))
-    got = suggest(narrow, asked(spark, "niss ma"), metric("Cosine", 0.4), 5).orderBy("rank").collect()
+    got = fuzzy_top_k(narrow, asked(spark, "niss ma"), metric("Cosine", 0.4), 5).orderBy("rank").collect()
     assert [r.value for r in got] == ["Nissan Maxima", "Nissan March"]
 
 
@@ -44,8 +44,8 @@ def test_autocomplete_goldens(spark, cars):
 def test_prefix_filter_changes_nothing(spark, cars, name, alpha):
     queries = asked(spark, "nissan marhc", "toyota", "corrola", "aaaa", "", "n")
     m = metric(name, alpha)
-    plain = suggest(cars, queries, m, 3).orderBy("query_id", "rank").collect()
-    assert plain == suggest(cars, queries, m, 3, prefix_filter=True).orderBy("query_id", "rank").collect()
+    plain = fuzzy_top_k(cars, queries, m, 3).orderBy("query_id", "rank").collect()
+    assert plain == fuzzy_top_k(cars, queries, m, 3, prefix_filter=True).orderBy("query_id", "rank").collect()
 
 
 def test_results_against_plain_python(spark, cars):
@@ -65,14 +65,14 @@ def test_results_against_plain_python(spark, cars):
             t = math.ceil(0.5 * math.sqrt(len(a) * len(b)))
             if 0 < t <= min(len(a), len(b)) and overlap >= t and math.ceil(0.25 * len(a)) <= len(b) <= math.floor(len(a) / 0.25):
                 want.append((-(1 - (1 - overlap / math.sqrt(len(a) * len(b)))), i))
-        got = suggest(cars, asked(spark, query), metric("Cosine", 0.5), 5).orderBy("rank").collect()
+        got = fuzzy_top_k(cars, asked(spark, query), metric("Cosine", 0.5), 5).orderBy("rank").collect()
         assert [(r.doc_id, round(r.score, 12)) for r in got] == [(i, round(-s, 12)) for s, i in sorted(want)[:5]]
 
 
 def test_repeated_values_fan_out_in_id_order(spark):
     docs = spark.createDataFrame([(i, v) for i, v in enumerate(["red bolt", "red belt", "red bolt", "red bolt", None, "x"])], "doc_id long, value string")
     index = SearchIndex.build(docs, WIDE)
-    got = suggest(index, asked(spark, "red bolt"), metric("Cosine", 0.4), 3).orderBy("rank").collect()
+    got = fuzzy_top_k(index, asked(spark, "red bolt"), metric("Cosine", 0.4), 3).orderBy("rank").collect()
     assert [(r.doc_id, r.value) for r in got] == [(0, "red bolt"), (2, "red bolt"), (3, "red bolt")]
     pairs = fuzzy_join(index, asked(spark, "red bolt"), metric("Exact", 1.0))
     assert sorted(r.doc_id for r in pairs.collect()) == [0, 2, 3]
@@ -144,7 +144,7 @@ def test_index_round_trip(spark, cars, tmp_path):
     back = SearchIndex.load(spark, str(tmp_path / "cars"))
     query = asked(spark, "tayota corolla")
     m = metric("Cosine", 0.5)
-    assert suggest(back, query, m, 3).collect() == suggest(cars, query, m, 3).collect()
+    assert fuzzy_top_k(back, query, m, 3).collect() == fuzzy_top_k(cars, query, m, 3).collect()
     assert back.lengths().count() == cars.lengths().count()
     # the size filter prunes partitions of the stored postings
     plan = back.postings.where("card between 5 and 7")._jdf.queryExecution().toString()
@@ -161,7 +161,7 @@ def test_dictionaries(spark, tmp_path):
     assert dictionary.size(dictionary.load(spark, str(tmp_path / "d"))).first().size == 4
 
 
-BATCHES = [f"suggest_{m}_batch_part" for m in ("cosine", "jaccard", "dice", "overlap", "exact")] + ["prefix_filter_batch_part", "autocomplete_batch_part"]
+BATCHES = [f"search_{m}_batch_part" for m in ("cosine", "jaccard", "dice", "overlap", "exact")] + ["prefix_filter_batch_part", "autocomplete_batch_part"]
 
 
 @pytest.fixture(scope="module")

@@ -12,7 +12,7 @@ from sparkgram.plans.variable_grams import gram_trie, prune
 from sparkgram.service import Service, UnknownDictionary
 from sparkgram.sources import dictionary
 from sparkgram.sources.config import IndexDescription, read_index_descriptions, read_language_model_config
-from sparkgram.streaming.lookup import suggest_stream
+from sparkgram.streaming.lookup import search_stream
 
 WORDS = ["Nissan March", "Nissan Juke", "Toyota Mark II"]
 D = IndexDescription("cars", 3, ("english", "$"))
@@ -26,26 +26,26 @@ def service(spark):
 
 
 def test_service(spark, service, tmp_path):
-    assert [r.value for r in service.suggest("cars", "nisan jukke", similarity=0.4).collect()] == ["Nissan Juke"]
+    assert [r.value for r in service.search("cars", "nisan jukke", similarity=0.4).collect()] == ["Nissan Juke"]
     assert [r.value for r in service.autocomplete("cars", "niss").collect()] == WORDS[:2]
     with pytest.raises(UnknownDictionary):
-        service.suggest("none", "x")
+        service.search("none", "x")
     disc = IndexDescription("disc", 3, ("english", "$"), driver="DISC", output=str(tmp_path / "disc"))
     service.add_index(disc, dictionary.from_words(spark, WORDS))
     service.add_index(disc)  # opened again from storage
     assert service.dictionaries() == ["cars", "disc"]
-    assert [r.doc_id for r in service.suggest("disc", "toyota mark ii", "Exact", 1.0).collect()] == [2]
+    assert [r.doc_id for r in service.search("disc", "toyota mark ii", "Exact", 1.0).collect()] == [2]
 
 
 def test_http(service):
     ask = lambda url, method="GET": http_api.answer(service, None, None, method, url)
     assert ask("/autocomplete/cars/niss/?topK=1") == (200, [{"Score": 0.0, "Value": "Nissan March"}])
-    status, body = ask("/suggest/cars/nissan%20juke/?metric=Cosine&similarity=0.9")
+    status, body = ask("/search/cars/nissan%20juke/?metric=Cosine&similarity=0.9")
     assert (status, [x["Value"] for x in body]) == (200, ["Nissan Juke"])
-    assert ask("/suggest/cars/x/?metric=cosine")[0] == 400
-    assert ask("/suggest/cars/x/?metric=Cosine&similarity=0")[0] == 400
+    assert ask("/search/cars/x/?metric=cosine")[0] == 400
+    assert ask("/search/cars/x/?metric=Cosine&similarity=0")[0] == 400
     assert ask("/autocomplete/cars/x/?topK=0")[0] == 400
-    assert ask("/suggest/none/x/?metric=Cosine")[0] == 404
+    assert ask("/search/none/x/?metric=Cosine")[0] == 404
     assert "cars" in ask("/dict/list/")[1]
     assert ask("/internal/reindex/", "POST")[0] == 404
     done = []
@@ -69,7 +69,7 @@ def test_stream_of_queries(spark, tmp_path):
     spark.createDataFrame([(7, "nissan mach")], "query_id long, query string").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("query_id long, query string").parquet(str(tmp_path / "in"))
     got = []
-    query = suggest_stream(stream, lambda: index, metric("Cosine", 0.5), 2, lambda df, i: got.extend(df.collect()), str(tmp_path / "cp"))
+    query = search_stream(stream, lambda: index, metric("Cosine", 0.5), 2, lambda df, i: got.extend(df.collect()), str(tmp_path / "cp"))
     query.awaitTermination(60)
     assert [(r.query_id, r.value) for r in got if r["rank"] == 1] == [(7, "Nissan March")]
 
