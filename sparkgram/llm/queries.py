@@ -61,7 +61,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan_secrets(table(spark, sf_dir, "documents")).drop("findings")
+    return secrets.scan_secrets(table(spark, sf_dir, "documents")).drop("findings", "groups")
 
 
 def queries() -> dict[str, Query]:
