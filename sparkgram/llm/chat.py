@@ -7,13 +7,14 @@ lies within its span is found by rendering the turn once more with a probe as
 its text.  A template whose output for k turns doesn't begin with that for
 k - 1 rewrites history; such conversations are flagged, and have no spans.
 
-Conversations stream through their task turn by turn.  Of a template that
-nothing is known of, every prefix is rendered whole: its turns are held, and
-time grows with the square of a conversation.  A template declared to render
-each turn by itself (``independent_turns``) is rendered from at most
-``context`` turns before the one in hand (the first ``anchor`` turns and the
-latest), which adds the same span; digests and counts are carried on, not the
-turns, so memory and time stay bounded for conversations of any length.
+Conversations stream through their task turn by turn.  Every prefix is rendered
+whole: a conversation's turns are held, and time grows with the square of their
+number.  ``context`` is an explicit exception, allowed only for templates
+declared to render each turn by itself (``independent_turns``): the prefix is
+then cut to its first ``anchor`` and its latest turns, ``context`` in all,
+which adds the same span as long as the declaration is true.  Given up is the
+detection of a declaration that is false only for longer prefixes.  Digests and
+counts are carried on, not the turns, so memory and time stay bounded.
 
 Defined cases: null text or role is an empty string; turns of one conversation
 are ordered by turn (null first), role and text, so repeated rows are turns of
@@ -84,15 +85,17 @@ def read_turn(span: str) -> Turn:
 class IncrementalRenderer:
     """Feeds turns one by one and yields each turn's span and the place of its text.
 
-    ``context`` and ``anchor`` hold for templates of independent turns only;
-    others are rendered from all turns.
+    Prefixes are whole unless ``context`` is given, which a template must be
+    declared for.
     """
 
-    def __init__(self, template: Template, context: int = 64, anchor: int = 2):
-        if not 0 <= anchor < context:
-            raise ValueError("anchor must be less than context")
-        self.template, self.anchor = template, anchor
-        self.context = context if getattr(template, "independent_turns", False) else None
+    def __init__(self, template: Template, context: int | None = None, anchor: int = 2):
+        if context is not None:
+            if not getattr(template, "independent_turns", False):
+                raise ValueError("only templates declared to render each turn by itself take a context")
+            if not 0 <= anchor < context:
+                raise ValueError("anchor must be less than context")
+        self.template, self.anchor, self.context = template, anchor, context
         self.turns: list[Turn] = []
         self.before = template([])
         self.rewrites = False
@@ -118,7 +121,7 @@ class IncrementalRenderer:
         return span, start, len(span) - (len(probe) - start - len(PROBE))
 
 
-def format_conversations(conversations: DataFrame, template: Template = marked_template, read: Callable[[str], Turn] = read_turn, context: int = 64, learn: tuple[str, ...] = ("assistant",)) -> DataFrame:
+def format_conversations(conversations: DataFrame, template: Template = marked_template, context: int | None = None, learn: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """The formatted turns: ``(conv_id, place, role, formatted, text_start, text_end, in_loss, rewrites)``.
 
     A conversation is the concatenation of ``formatted`` by place; offsets are
@@ -137,8 +140,12 @@ def format_conversations(conversations: DataFrame, template: Template = marked_t
     return _by_conversation(conversations, turns, f"conv_id {kind}, place long, role string, formatted string, text_start long, text_end long, in_loss boolean, rewrites boolean", schema)
 
 
-def conversation_digests(conversations: DataFrame, context: int = 64, learn: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """One row a conversation, all of it read back from the formatted output."""
+#: Turns that a prefix of the production template is cut to.
+CONTEXT = 64
+
+
+def conversation_digests(conversations: DataFrame, context: int | None = CONTEXT, learn: tuple[str, ...] = ("assistant",)) -> DataFrame:
+    """One row a conversation, all of it read back from the formatted output of ``marked_template``."""
     kind = conversations.schema["conv_id"].dataType.simpleString()
 
     def digest(key, rows: Iterator[Turn]):
