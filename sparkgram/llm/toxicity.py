@@ -14,8 +14,9 @@ logistic model over these features gives the score.
 
 Labels are read from training rows only, and nothing but the text is scored.
 The training sample is bounded by ``MAX_TRAIN`` rows (picked by a hash of the
-id among all labelled rows), the lexicon by ``MAX_TERMS`` and the ordinary words
-near its terms by ``MAX_ORDINARY``; every text is scored whole.
+id among all labelled rows), and with it the words that lexicon and ordinary
+words are taken from; neither has a cap of its own, and every text is scored
+whole.
 
 Defined cases: null text is an empty text; texts without hits get one score,
 the model's for no hits; without labels of both kinds the score is the
@@ -33,30 +34,39 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkgram.llm.common import bounded_batches, cut
 
 MAX_TRAIN = 12_000
-MAX_TERMS = 4_096
-MAX_ORDINARY = 20_000
 #: Nats by which a word's split between the labels must beat the base rate.
-LEAST_EVIDENCE = 12.0
+LEAST_EVIDENCE = 8.0
 #: Least log-odds of a term, and the most that one counts for.
 LEAST_ODDS, MOST_ODDS = 1.5, 6.0
 #: Words on each side of a hit that make its context.
 CONTEXT = 8
 FOLDS = 5
 
-WORD = re.compile(r"[^\W\d_]+")
-_SPARK_WORD = r"[\p{L}\p{M}]+"
+#: Letters, marks and digits: the same words in learning and in scoring.
+WORD = r"[\p{L}\p{M}\p{N}]+"
+_WIDE, _NARROW = regex.compile(WORD), re.compile(r"[^\W_]+")
 # fixed values: words that report speech, and words that address a person
 REPORTING = frozenset("said says quote quoted quotes called calls wrote writes term word words slur dit disait écrit mot citation sagte sagt schrieb wort zitat dijo dice escribió palabra cita".split())
 ADDRESSING = frozenset("you your youre ya u tu te toi vous ton ta du dich dir ihr dein deine tú ti usted ustedes eres".split())
 _MARKS = re.compile('["“”„«»]')
 
 
+def finder(text: str):
+    """The pattern of words; Latin-1 texts, which hold no marks, take the standard module, which is faster."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _WIDE
+    return _NARROW
+
+
 class Trie:
     """Children by letter, and the terms that end at a node."""
 
@@ -130,7 +140,7 @@ class FuzzyAutomaton:
 
 def edits_for(term: str) -> int:
     """Misspellings that a term of this length tolerates."""
-    return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
+    return 0 if len(term) < 4 else 1 if len(term) < 9 else 2
 
 
 class Lexicon:
@@ -170,12 +180,14 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
     """What the hits of a text and their contexts amount to; all zero without hits."""
     if not text or not lexicon.weights:
         return [0.0] * len(FEATURES)
-    words = WORD.findall(text.lower())
+    text = text.lower()
+    pattern = finder(text)
+    words = pattern.findall(text)
     found = lexicon.find
     hits = [(i, got) for i, got in ((i, found(w)) for i, w in enumerate(words)) if got is not None]
     if not hits:
         return [0.0] * len(FEATURES)
-    quoted_words = _quoted(text.lower(), {i for i, _ in hits})
+    quoted_words = _quoted(text, pattern, {i for i, _ in hits})
     exact = misspelt = quoted = reported = addressed = 0.0
     strongest = 0.0
     kinds = set()
@@ -200,16 +212,24 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
     return [squeeze(exact), strongest, squeeze(len(kinds)), squeeze(misspelt), squeeze(quoted), squeeze(reported), squeeze(addressed), squeeze(densest - 1), 10.0 * len(kinds) / len(words)]
 
 
-def _quoted(text: str, places: set[int]) -> set[int]:
-    """Which word places lie between a pair of quotation marks at most 300 characters apart."""
+def _quoted(text: str, pattern: re.Pattern, places: set[int]) -> set[int]:
+    """Which word places lie between a pair of quotation marks of one line, however far apart."""
     marks = [m.start() for m in _MARKS.finditer(text)]
     if not marks:
         return set()
-    out, at = set(), 0
-    for i, m in enumerate(WORD.finditer(text)):
-        while at < len(marks) and marks[at] < m.start():
-            at += 1
-        if i in places and at % 2 and at < len(marks) and marks[at] - marks[at - 1] <= 300:
+    inside: list[tuple[int, int]] = []
+    opened = None
+    for at in marks:
+        if opened is None or text.find("\n", opened, at) >= 0:  # what a line doesn't close isn't quoted
+            opened = at
+        else:
+            inside.append((opened, at))
+            opened = None
+    out, k = set(), 0
+    for i, m in enumerate(pattern.finditer(text)):
+        while k < len(inside) and inside[k][1] < m.start():
+            k += 1
+        if i in places and k < len(inside) and inside[k][0] < m.start():
             out.add(i)
     return out
 
@@ -247,7 +267,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     usable = labels.where((fold(F.col(id_col)) != 0) & F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     usable = cut(usable.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("label")), "labels")
     share = min(1.0, most / max(1, usable.count()))
-    picked = usable.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    picked = usable.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 53)) < int(share * (1 << 53)))
     texts = docs.select(F.col(id_col).alias("_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = texts.join(F.broadcast(picked), F.col("_doc") == F.col("_id")).select("text", "label")
     return cut(rows.groupBy("text").agg(F.max("label").alias("label")), "training")
@@ -255,23 +275,25 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 def word_counts(rows: DataFrame) -> DataFrame:
     """``(word, p, n)``: training texts of label 1 and of label 0 with the word."""
-    words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_SPARK_WORD), F.lit(0))))
+    words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))))
     return rows.select("label", words.alias("word")).groupBy("word").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n"))
 
 
-def learn_lexicon(counts: DataFrame, positives: int, negatives: int, most: int = MAX_TERMS) -> dict[str, float]:
-    """Log-odds of the words that tell label 1 from label 0 beyond chance."""
+def learn_lexicon(counts: DataFrame, positives: int, negatives: int) -> dict[str, float]:
+    """Log-odds of the words that tell label 1 from label 0 beyond chance; of the
+    bounded sample's words, so they fit the driver."""
     total = F.col("p") + F.col("n")
     base = positives / (positives + negatives)
     part = lambda k, rate: F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) / (total * rate))).otherwise(0.0)
     evidence = part("p", base) + part("n", 1 - base)
     odds = F.log((F.col("p") + 0.5) / (positives + 1)) - F.log((F.col("n") + 0.5) / (negatives + 1))
     best = counts.where(F.length("word") >= 3).select("word", odds.alias("odds"), evidence.alias("evidence")).where((F.col("odds") >= LEAST_ODDS) & (F.col("evidence") >= LEAST_EVIDENCE))
-    return {r.word: min(MOST_ODDS, r.odds) for r in best.orderBy(F.desc("evidence"), "word").limit(most).collect()}
+    return {r.word: min(MOST_ODDS, r.odds) for r in best.collect()}
 
 
-def learn_ordinary(counts: DataFrame, weights: dict[str, float], most: int = MAX_ORDINARY) -> frozenset[str]:
-    """Words of label-0 texts that lie near a term: words of their own, not misspellings."""
+def learn_ordinary(counts: DataFrame, weights: dict[str, float], positives: int, negatives: int) -> frozenset[str]:
+    """Words near a term that the labels tell for words of their own, not
+    misspellings: those that label-0 texts have at least as often as label-1 texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(weights)
@@ -279,8 +301,8 @@ def learn_ordinary(counts: DataFrame, weights: dict[str, float], most: int = MAX
             near = [w not in weights and lexicon.find(w) is not None for w in batch.column(0).to_pylist()]
             yield batch.filter(pa.array(near, pa.bool_()))
 
-    near = counts.where("n > 0").select("word", "n").mapInArrow(run, "word string, n long")
-    return frozenset(r.word for r in near.orderBy(F.desc("n"), "word").limit(most).collect())
+    fair = counts.where(F.col("n") * positives >= F.col("p") * negatives)
+    return frozenset(r.word for r in fair.select("word", "n").mapInArrow(run, "word string, n long").collect())
 
 
 def fit_monotone(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
@@ -325,7 +347,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return ToxicityModel({}, bias=math.log(rate / (1 - rate)))
     counts = cut(word_counts(rows), "words")
     weights = learn_lexicon(counts, positives, negatives)
-    ordinary = learn_ordinary(counts, weights)
+    ordinary = learn_ordinary(counts, weights, positives, negatives)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(weights, ordinary)

@@ -256,25 +256,31 @@ def test_templates_that_rewrite_history_are_told(spark):
     assert chat.conversation_digests(df.limit(0)).collect() == []
 
 
-def test_long_conversations_render_whole_prefixes(spark):
+@pytest.mark.parametrize("n", [70, 150])
+def test_long_conversations_render_whole_prefixes(spark, n):
     def numbered(turns):
-        return "".join(f"{i}. {role}: {text}\n" for i, (role, text) in enumerate(turns))
+        return "".join(f"[{i}] {role}: {text}\n" for i, (role, text) in enumerate(turns))
 
-    def short_of_memory(turns):  # rewrites what stands before the last 70 turns
-        return "".join(f"{role}: {text}\n" for role, text in turns[-70:])
+    def short_of_memory(turns):  # rewrites what stands before the last 66 turns
+        return "".join(f"{role}: {text}\n" for role, text in turns[-66:])
 
-    turns = [("user" if i % 2 == 0 else "assistant", f"text {i}") for i in range(150)]
+    turns = [("user" if i % 2 == 0 else "assistant", f"text {i}") for i in range(n)]
     df = spark.createDataFrame([(1, i, *t) for i, t in enumerate(turns)], "conv_id long, turn long, role string, text string")
-    parts = chat.format_conversations(df, numbered).orderBy("place").collect()
-    assert "".join(p.formatted for p in parts) == numbered(turns)
-    assert [p.formatted[p.text_start : p.text_end] for p in parts] == [text for _, text in turns]
-    assert not any(p.rewrites for p in parts)
-    assert [p.rewrites for p in chat.format_conversations(df, short_of_memory).orderBy("place").collect()] == [i >= 70 for i in range(150)]
+    for template in (numbered, chat.marked_template):
+        parts = chat.format_conversations(df, template).orderBy("place").collect()
+        assert "".join(p.formatted for p in parts) == template(turns)
+        assert [p.formatted[p.text_start : p.text_end] for p in parts] == [text for _, text in turns]
+        assert not any(p.rewrites for p in parts)
+    assert [p.rewrites for p in chat.format_conversations(df, short_of_memory).orderBy("place").collect()] == [i >= 66 for i in range(n)]
 
     # the production template is declared independent, and is so: its window holds few turns and gives the same text
-    renderer = chat.IncrementalRenderer(chat.marked_template)
+    renderer = chat.IncrementalRenderer(chat.marked_template, chat.CONTEXT)
     assert "".join(renderer.add(t)[0] for t in turns) == chat.marked_template(turns)
     assert len(renderer.turns) <= 64
+    for context in (None, 64, 5):
+        assert chat.conversation_digests(df, context).collect() == chat.conversation_digests(df).collect()
+    with pytest.raises(ValueError, match="declared"):
+        chat.IncrementalRenderer(numbered, 64)
 
 
 def test_control_conversation(spark, tmp_path, tables):
