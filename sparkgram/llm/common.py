@@ -2,26 +2,23 @@
 
 from __future__ import annotations
 
-import atexit
-import os
 import re
-import tempfile
-import uuid
 from collections.abc import Callable
 from itertools import chain
-from pathlib import Path
 
 import numpy as np
 import regex
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows per Arrow batch handed to Python.  Texts vary between one word and
-#: megabytes, so batches are kept short and memory follows the longest texts.
-BATCH_ROWS = 256
+from sparkgram.sources.scratch import cut, release, scratch_path
+from sparkgram.sources.session import importable
 
-_scratch_roots: set[str] = set()
+__all__ = ["cut", "release", "scratch_path"]
+
+#: Bytes of an Arrow batch handed to Python: memory follows the longest text, not the number of rows.
+BATCH_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,59 +26,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bounds the Arrow batches of the Python stages planned from here on.
-
-    Python workers must find this package too, whatever folder they start in.
-    """
-    env = spark.sparkContext.environment
-    root = str(Path(__file__).resolve().parents[2])
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that all executors share.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where it is
-    unset (local tests) a temporary folder of this machine is used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = "file://" + tempfile.gettempdir() + "/sparkgram-scratch"
-    if not _scratch_roots:
-        atexit.register(_remove_scratch, spark)
-    path = f"{base.rstrip('/')}/sparkgram-{uuid.uuid4().hex}/{name}"
-    _scratch_roots.add(path.rsplit("/", 1)[0])
-    return path
-
-
-def drop_scratch(spark: SparkSession, path: str) -> None:
-    """Removes a scratch table that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path.rsplit("/", 1)[0])
-    root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)
-    _scratch_roots.discard(path.rsplit("/", 1)[0])
-
-
-def _remove_scratch(spark: SparkSession) -> None:
-    for root in list(_scratch_roots):
-        try:
-            drop_scratch(spark, f"{root}/x")
-        except Exception:  # the session may be gone by now
-            return
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to scratch Parquet and returns it reread: lineage ends at
-    replicated storage, so a lost executor never recomputes what lies before."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    # the schema is known, so rereading needs no footer
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._scratch = path
-    return out
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of the session's Python stages by bytes, and lets
+    workers find this package.  All operators ask for the same bound, so it
+    holds whenever a plan runs."""
+    importable(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def ranges_for(docs: DataFrame) -> int:
+    """Tasks for a shuffle of the texts by ranges: as many as the planner's size of
+    the input has splits, and one for each core at least; the session's number
+    where the size is unknown."""
+    spark = docs.sparkSession
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    by_size = size // split + 1
+    if by_size > 1 << 24:
+        by_size = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(spark.sparkContext.defaultParallelism, by_size)
+
+
+def range_bounds(docs: DataFrame, id_col: str, parts: int) -> list:
+    """Upper bounds of ``parts`` ranges of about equal numbers of ids; one column is read."""
+    ids = docs.select(id_col).where(F.col(id_col).isNotNull())
+    if docs.schema[id_col].dataType.simpleString() in ("bigint", "int"):
+        shares = [i / parts for i in range(1, parts)]
+        return sorted({int(b) for b in ids.stat.approxQuantile(id_col, shares, 0.2 / parts)}) if shares else []
+    # other kinds: a bounded sample of distinct ids, by hash
+    picked = sorted(r[0] for r in ids.distinct().orderBy(F.xxhash64(id_col)).limit(parts * 20).collect())
+    return [picked[i * len(picked) // parts] for i in range(1, parts)] if len(picked) >= parts else []
+
+
+def range_of(key: Column, bounds: list) -> Column:
+    """How many of the ascending ``bounds`` lie below ``key``, by binary search; 0 for null."""
+    if not bounds:
+        return F.lit(0)
+    whole = all(isinstance(b, int) for b in bounds)
+    held = F.lit(np.array(bounds, np.int64)) if whole else F.array(*[F.lit(b) for b in bounds])
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(held, at + step - 1) < key, at + step).otherwise(at))
 
 
 def ascii_words(text: str | None) -> list[bytes]:
@@ -150,6 +134,10 @@ class _Codes(dict):
         return code
 
 
+#: Pieces remembered by a Python worker.
+PIECES = 250_000
+
+
 class PieceTable:
     """Encodes each distinct piece of texts once.
 
@@ -159,7 +147,7 @@ class PieceTable:
     one gather.  All is forgotten at ``keys`` pieces, which bounds memory.
     """
 
-    def __init__(self, find: Callable, learn: Callable, dtype: str, keys: int = 500_000):
+    def __init__(self, find: Callable, learn: Callable, dtype: str, keys: int = PIECES):
         self.find, self.learn, self.type, self.keys = find, learn, np.dtype(dtype), keys
         self._forget()
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkgram.llm.common import WordHashes, bounded_batches, cut, mix64, shingle_hashes
+from sparkgram.llm.common import WordHashes, bounded_batches, mix64, range_bounds, range_of, ranges_for, shingle_hashes
 
 BINS = 512  # a power of two
 BITS = 4
@@ -114,78 +114,67 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, fingerprint string").withColumnRenamed("id", id_col)
 
 
-_FIELDS = [("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
-_DDL = "n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
+_FIELDS = [("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
+_DDL = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
 def _compared(text: str, following: str, own: bytes, other: bytes, make: Fingerprinter) -> tuple:
     changed = edited(text, following)
     of_changed = own if changed == text else make(changed)
     digest = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
-    return len(text), digest, own, of_changed, likeness(own, of_changed), likeness(own, other)
+    return len(text), digest, own.hex(), of_changed.hex(), likeness(own, of_changed), likeness(own, other)
+
+
+def in_order_with_next(rows: DataFrame, parts: int) -> DataFrame:
+    """(id, text) in descending order of id, then by text, in ranges of ids; the
+    rows of a range are followed by a copy of the row that comes next, marked
+    ``guest``: the first row of the next range, after the last range of the first.
+
+    The ranges come from one column.  The first row of each is found by an
+    aggregate on ids, one row a range, which is small enough to broadcast; so
+    the texts move once, and nothing of them is kept apart.
+    """
+    ranged = rows.withColumn("part", range_of(F.col("id"), range_bounds(rows, "id", parts)))
+    by_part = Window.orderBy("part")  # over one row a range
+    heads = ranged.groupBy("part").agg(F.max("id").alias("head"))
+    heads = heads.withColumn("above", F.coalesce(F.lead("part").over(by_part), F.min("part").over(Window.partitionBy())))
+    placed = ranged.join(F.broadcast(heads), "part")
+    own = F.struct(F.col("part"), F.lit(False).alias("guest"))
+    twice = F.array(own, F.struct(F.col("above").alias("part"), F.lit(True).alias("guest")))
+    stands = F.explode(F.when(F.col("id").eqNullSafe(F.col("head")), twice).otherwise(F.array(own)))
+    dealt = placed.select("id", "text", stands.alias("at")).select("at.part", "at.guest", "id", "text")
+    return dealt.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "guest", F.col("id").desc_nulls_last(), "text")
 
 
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's fingerprint beside that of its edited text and of the next
     document, by descending id; after the last comes the first.
 
-    One range shuffle puts documents in order; within a partition each meets its
-    next as the rows stream by.  Only the first and last row of a partition are
-    kept with their text, and matched afterwards: two rows a partition.
+    One shuffle puts documents in order; each meets its next as the rows stream
+    by, two texts at a time.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        make, part = Fingerprinter(), TaskContext.get().partitionId()
-        before = None  # (id, text, fingerprint) of the row in hand
-        id_type = None
-
-        def edge(what: str, row: tuple) -> pa.RecordBatch:
-            columns = [pa.array([what]), pa.array([part], pa.int32()), pa.array([row[0]], id_type), pa.array([row[1]], pa.string()), *(pa.nulls(1, t) for _, t in _FIELDS)]
-            return pa.RecordBatch.from_arrays(columns, names=["what", "part", "id", "text", *(n for n, _ in _FIELDS)])
-
+        make = Fingerprinter()
+        at, before = None, None  # the range, and (id, text, fingerprint) of the row in hand
         for batch in batches:
-            id_type = batch.schema.field(0).type
             ids, out = [], []
-            for key, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for part, guest, key, value in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
+                if part != at:
+                    at, before = part, None
+                if guest and before is None:
+                    continue  # of several next rows with one id the first has come
                 text = value.as_py()
                 row = (key, text, make(text))
-                if before is None:
-                    yield edge("head", row)
-                else:
+                if before is not None:
                     ids.append(before[0])
                     out.append(_compared(before[1], text, before[2], row[2], make))
-                before = row
-            n = len(out)
-            if n:
-                columns = [pa.array(["row"] * n), pa.array([part] * n, pa.int32()), pa.array(ids, id_type), pa.nulls(n, pa.string()), *(pa.array([r[i] for r in out], t) for i, (_, t) in enumerate(_FIELDS))]
-                yield pa.RecordBatch.from_arrays(columns, names=["what", "part", "id", "text", *(name for name, _ in _FIELDS)])
-        if before is not None:
-            yield edge("tail", before)
-
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Fingerprinter()
-        for batch in batches:
-            out = []
-            for text, following in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                out.append(_compared(text, following, make(text), make(following), make))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in out], t) for i, (_, t) in enumerate(_FIELDS))], names=["id", *(name for name, _ in _FIELDS)])
+                before = None if guest else row
+            columns = [pa.array(ids, batch.schema.field("id").type), *(pa.array([r[i] for r in out], t) for i, (_, t) in enumerate(_FIELDS))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", *(name for name, _ in _FIELDS)])
 
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange(F.col("id").desc_nulls_last()).sortWithinPartitions(F.col("id").desc_nulls_last(), "text")
-    found = cut(ordered.mapInArrow(run, f"what string, part int, id {kind}, text string, {_DDL}"), "compared")
-
-    heads = found.where("what = 'head'").select("part", "text")
-    places = heads.select("part")  # one row a partition
-    first = F.min("part").over(Window.partitionBy())
-    after = places.select(F.col("part").alias("tail_part"), F.coalesce(F.lead("part").over(Window.orderBy("part")), first).alias("head_part"))
-    tails = found.where("what = 'tail'").select("part", "id", "text")
-    pairs = tails.join(after, tails.part == after.tail_part).join(heads.select(F.col("part").alias("head_part"), F.col("text").alias("following")), "head_part")
-    last = pairs.select("id", "text", "following").mapInArrow(match, f"id {kind}, {_DDL}")
-    every = found.where("what = 'row'").select("id", *(n for n, _ in _FIELDS)).unionByName(last)
-    text_of = lambda c: F.lower(F.hex(c)).alias(c)
-    return every.select(F.col("id").alias(id_col), "n_chars", "edited_sha256", text_of("fingerprint"), text_of("edited_fingerprint"), "near_edited", "near_next")
+    ordered = in_order_with_next(rows, ranges_for(docs))
+    return ordered.mapInArrow(run, f"id {kind}, {_DDL}").withColumnRenamed("id", id_col)

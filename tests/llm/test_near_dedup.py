@@ -119,17 +119,19 @@ def likeness(a, b):
     return 1.0 if not a and not b else len(a & b) / len(a | b)
 
 
-def test_fingerprints_beside_the_next(spark, odd):
-    rows = spark.createDataFrame([(r.doc_id, r.text) for r in odd.collect() if r.doc_id is not None] + corpus()[:40], "doc_id long, text string")
+@pytest.mark.parametrize("ranges", [1, 4, 50])
+def test_fingerprints_beside_the_next(spark, odd, monkeypatch, ranges):
+    monkeypatch.setattr(fingerprints, "ranges_for", lambda docs: ranges)
+    rows = spark.createDataFrame([(r.doc_id, r.text) for r in odd.collect()] + corpus()[:40] + [(40, "a tie"), (40, "tie b")], "doc_id long, text string")
     got = fingerprints.compare_with_next(rows.repartition(3)).collect()
-    ordered = sorted(((r.doc_id, r.text or "") for r in rows.collect()), key=lambda x: (-x[0], x[1].encode()))
+    ordered = sorted(((r.doc_id, r.text or "") for r in rows.collect()), key=lambda x: (x[0] is None, -(x[0] or 0), x[1].encode()))
     want = []
     for i, (key, text) in enumerate(ordered):
         following = ordered[(i + 1) % len(ordered)][1]
         half = len(text) // 2
         changed = text[: len(text) - half] + following[:half]
         want.append((key, len(text), hashlib.sha256(changed.encode()).hexdigest(), likeness(shingles(text), shingles(changed)), likeness(shingles(text), shingles(following))))
-    assert sorted((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == sorted(w[:3] for w in want)
+    assert sorted(map(str, ((r.doc_id, r.n_chars, r.edited_sha256) for r in got))) == sorted(str(w[:3]) for w in want)
     exact = {w[:3]: w[3:] for w in want}
     for r in got:
         near_edited, near_next = exact[r.doc_id, r.n_chars, r.edited_sha256]
@@ -143,6 +145,35 @@ def test_fingerprints_beside_the_next(spark, odd):
     assert all(len(v) == 1 for v in by_text.values())
 
 
+def test_bins_and_densification_equal_a_plain_reading():
+    def mixed(x):  # the splitmix64 finaliser on Python's integers
+        x = (x + 0x9E3779B97F4A7C15) % 2**64
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+        return x ^ x >> 31
+
+    rng = random.Random(5)
+    for size in (1, 2, 7, 100, 600, 5000):
+        hashes = sorted({rng.randrange(2**64) for _ in range(size)})
+        bins = {}
+        for h in hashes:
+            bins[h >> 55] = min(h, bins.get(h >> 55, h))
+        want = []
+        for i in range(512):
+            source, attempt = i, 0
+            while source not in bins:
+                source, attempt = mixed(i << 32 ^ attempt) >> 55, attempt + 1
+            want.append(bins[source])
+        got = fingerprints.bin_minima(np.array(hashes, np.uint64))
+        assert got.tolist() == want
+        low = [mixed(h ^ mixed(i)) % 16 for i, h in enumerate(want)]
+        packed = fingerprints.pack(got)
+        assert [x for byte in packed for x in (byte >> 4, byte & 15)] == low
+        agree = sum(a == b for a, b in zip(low, [3] * 512, strict=True))
+        other = bytes([3 << 4 | 3] * 256)
+        assert fingerprints.likeness(packed, other) == pytest.approx(max(0.0, (agree / 512 - 1 / 16) / (15 / 16)))
+
+
 def test_one_row_is_its_own_next(spark, empty):
     (r,) = fingerprints.compare_with_next(spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")).collect()
     assert r.near_next == 1.0
