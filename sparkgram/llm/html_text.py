@@ -1,12 +1,14 @@
 """Main text of web pages by a tree-structured graphical model.
 
 Every element of a page is a variable: frame (it holds the content somewhere
-below), content, or the rest.  Parent and child are tied by a potential, and
-each element has one from its tag, its class, id and
-role words, the length of its text, and the share of it in links.  All of them
-are counted from labelled pages.  On a tree, sum-product message passing is
-exact: one pass up and one pass down give each element's content marginal.
-Text whose nearest element is content is kept.
+below), content, or the rest.  Parent and child are tied by a potential for the
+child's kind (inline markup, a part of a list or table, a text block, a box;
+with or without class, id and role words), and each element has potentials
+within its kind from its tag, its words, the length of its text, its sentence
+ends, and the share of it in links.  All of them are counted from labelled
+pages.  On a tree, sum-product message passing is exact: one pass up and one
+pass down give each element's content marginal.  Text whose nearest element is
+content is kept.
 
 The labelled pages are made here from a seed, in many layouts: with semantic
 tags, with telling class names or with bare divs; with menus, adverts,
@@ -19,11 +21,13 @@ left out.
 
 Defined cases: a null or empty page has an empty text; broken markup (unclosed
 or crossing tags, cut pages) is read as far as it goes; depth and length are
-not limited (there is no recursion); equal pages have equal texts.
+not limited: there is no recursion, and reading takes time in proportion to a
+page's length whatever it holds; equal pages have equal texts.
 """
 
 from __future__ import annotations
 
+import functools
 import html
 import math
 import random
@@ -44,18 +48,19 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style title textarea xmp iframe noembed noframes noscript template".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
-#: Start tags that end open elements of the first set, up to an element of the second.
-IMPLIED_END = {
-    "li": ({"li"}, {"ul", "ol", "menu"}),
-    "dt": ({"dt", "dd"}, {"dl"}),
-    "dd": ({"dt", "dd"}, {"dl"}),
-    "tr": ({"tr", "td", "th"}, {"table"}),
-    "td": ({"td", "th"}, {"tr", "table"}),
-    "th": ({"td", "th"}, {"tr", "table"}),
-    "option": ({"option"}, {"select"}),
+#: Elements that a start tag of their group ends, by group; each is looked for up to the scopes below.
+_GROUPS = {"p": 0, "li": 1, "dt": 2, "dd": 2, "tr": 3, "td": 4, "th": 4, "option": 5}
+_SCOPES = {
+    0: frozenset("html body article section div td th li blockquote main aside header footer nav form table".split()),
+    1: frozenset("ul ol menu".split()),
+    2: frozenset(["dl"]),
+    3: frozenset(["table"]),
+    4: frozenset(["tr", "table"]),
+    5: frozenset(["select"]),
 }
-_P_SCOPE = frozenset("html body article section div td th li blockquote main aside header footer nav form table".split())
-_WORDS = re.compile(r"[a-z]+")
+_RESETS = {tag: [g for g, scope in _SCOPES.items() if tag in scope] for tag in frozenset().union(*_SCOPES.values())}
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_CUT_OFF = re.compile(r"<[a-zA-Z/!?]")
 _RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*>?", re.IGNORECASE) for tag in RAW}
 
 
@@ -71,53 +76,83 @@ class Page:
     runs: list[tuple[int, str]] = field(default_factory=list)
 
 
+class _Stack:
+    """Open elements, how many there are of each tag, and for each group of
+    ``_GROUPS`` the depth of its nearest open element in scope (0: none)."""
+
+    def __init__(self, tags: list[str]):
+        self.tags, self.nodes = tags, [0]
+        self.nearest: list[tuple[int, ...]] = [(0,) * len(_SCOPES)]
+        self.count: Counter[str] = Counter()
+
+    def push(self, node: int, tag: str) -> None:
+        nearest = self.nearest[-1]
+        group = _GROUPS.get(tag)
+        if group is not None or tag in _RESETS:
+            changed = list(nearest)
+            for g in _RESETS.get(tag, ()):
+                changed[g] = 0
+            if group is not None:
+                changed[group] = len(self.nodes)
+            nearest = tuple(changed)
+        self.nodes.append(node)
+        self.nearest.append(nearest)
+        self.count[tag] += 1
+
+    def cut(self, depth: int) -> None:
+        for node in self.nodes[depth:]:
+            self.count[self.tags[node]] -= 1
+        del self.nodes[depth:], self.nearest[depth:]
+
+    def close(self, tag: str) -> None:
+        """Ends the nearest open element of a tag and what it holds, if there is one."""
+        if self.count[tag]:
+            depth = len(self.nodes) - 1
+            while self.tags[self.nodes[depth]] != tag:
+                depth -= 1
+            self.cut(depth)
+
+    def make_room(self, tag: str) -> None:
+        """Ends what a start tag ends without an end tag."""
+        nearest = self.nearest[-1]
+        depth = nearest[0] if tag in CLOSES_P else nearest[_GROUPS[tag]] if tag in _GROUPS else 0
+        if tag == "tr":
+            depth = depth or nearest[_GROUPS["td"]]
+        if depth:
+            self.cut(depth)
+
+
 def parse(source: str | None) -> Page:
-    page, stack, source = Page(), [0], source or ""
-    at, end = 0, len(source)
+    page, source = Page(), source or ""
     tags, runs = page.tags, page.runs
+    stack = _Stack(tags)
+    at, end = 0, len(source)
+    last = source.rfind(">") + 1  # beyond it no tag ends
 
     def text(upto: int) -> None:
         if upto > at:
-            runs.append((stack[-1], html.unescape(source[at:upto])))
+            runs.append((stack.nodes[-1], html.unescape(source[at:upto])))
 
-    while at < end:
-        m = TOKEN.search(source, at)
+    while at < last:
+        m = TOKEN.search(source, at, last)
         if m is None:
-            text(end)
             break
         text(m.start())
         at = m.end()
         closing, name, rest = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
         if name is None:
+            if m[0].startswith("<!--") and not m[0].endswith("-->"):
+                at = end  # a comment that never ends
             continue
         tag = name.lower()
         if tag not in INLINE:
             runs.append((-1, ""))
         elif tag == "br":
-            runs.append((stack[-1], " "))
+            runs.append((stack.nodes[-1], " "))
         if closing:
-            for depth in range(len(stack) - 1, 0, -1):
-                if tags[stack[depth]] == tag:
-                    del stack[depth:]
-                    break
+            stack.close(tag)
             continue
-        if tag in CLOSES_P:
-            for depth in range(len(stack) - 1, 0, -1):
-                open_tag = tags[stack[depth]]
-                if open_tag == "p":
-                    del stack[depth:]
-                    break
-                if open_tag in _P_SCOPE:
-                    break
-        elif tag in IMPLIED_END:
-            ended, scope = IMPLIED_END[tag]
-            for depth in range(len(stack) - 1, 0, -1):
-                open_tag = tags[stack[depth]]
-                if open_tag in ended:
-                    del stack[depth:]
-                    break
-                if open_tag in scope:
-                    break
+        stack.make_room(tag)
         words: list[str] = []
         mark = None
         if rest and "=" in rest:
@@ -125,22 +160,34 @@ def parse(source: str | None) -> Page:
                 if kind.lower() == "data-y":
                     mark = a or b or c
                 else:
-                    words += _WORDS.findall((a or b or c).lower())
+                    words += [w.lower() for w in _WORDS.findall(a or b or c)]
         node = len(tags)
         tags.append(tag)
-        page.parents.append(stack[-1])
+        page.parents.append(stack.nodes[-1])
         page.words.append(words)
         page.marks.append(mark)
-        if tag in VOID or rest.endswith("/"):
+        if tag in VOID or rest.endswith("/") and rest[-2:-1] in ("", " ", "\t", "\n", '"', "'"):
             continue
         if tag in RAW:
             close = _RAW_END[tag].search(source, at)
             at = close.end() if close else end
             continue  # never main text
-        stack.append(node)
+        stack.push(node, tag)
+    cut_off = _CUT_OFF.search(source, at)  # a tag that the page ends in
+    text(cut_off.start() if cut_off else end)
     return page
 
 
+#: Kinds of elements whose potentials are counted apart.
+_PARTS = frozenset("li ul ol dl dt dd tr td th tbody thead tfoot table caption colgroup option figcaption summary".split())
+_TEXTS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre address".split())
+
+
+def kind_of(tag: str, words: list[str]) -> str:
+    kind = "inline" if tag in INLINE else "part" if tag in _PARTS else "text" if tag in _TEXTS else "box"
+    return f"{kind}+" if words else kind
+
+
 def _bucket(n: int) -> int:
     return 0 if n == 0 else 1 if n < 25 else 2 if n < 100 else 3 if n < 400 else 4
 
@@ -160,16 +207,18 @@ def node_features(page: Page) -> list[list[str]]:
         chars[parent] += chars[node]
         linked[parent] += linked[node]
         stops[parent] += stops[node]
-    out = []
+    out, whole = [], max(1, chars[0])
     for node in range(n):
         total = chars[node]
         share = linked[node] / total if total else 0.0
+        kind = kind_of(page.tags[node], page.words[node])
         out.append(
             [
-                f"tag {page.tags[node]}",
-                f"length {_bucket(total)}",
-                f"links {0 if share < 0.1 else 1 if share < 0.5 else 2}",
-                f"stops {min(3, stops[node])}",
+                f"{kind} tag {page.tags[node]}",
+                f"{kind} length {_bucket(total)}",
+                f"{kind} links {0 if share < 0.1 else 1 if share < 0.5 else 2}",
+                f"{kind} stops {min(3, stops[node])}",
+                *([f"{kind} share {int(4 * total / whole)}"] if kind.startswith("box") else ()),
                 *(f"word {w}" for w in dict.fromkeys(page.words[node])),
             ]
         )
@@ -183,10 +232,10 @@ _STATES = (FRAME, CONTENT, REST)
 
 @dataclass
 class ContentModel:
-    """Log potentials: ``root[y]``, ``edge[parent][child]`` and, by observation, ``node[name][y]``."""
+    """Log potentials: ``root[y]``, by the child's kind ``edge[kind][parent][child]`` and, by observation, ``node[name][y]``."""
 
     root: tuple[float, ...]
-    edge: tuple[tuple[float, ...], ...]
+    edge: dict[str, tuple[tuple[float, ...], ...]]
     node: dict[str, tuple[float, ...]]
 
     def marginals(self, page: Page) -> list[float]:
@@ -203,7 +252,8 @@ class ContentModel:
                     z += got[2]
             own.append([x, y, z])
         exp, log = math.exp, math.log
-        down = [[exp(v) for v in row] for row in self.edge]  # [parent][child]
+        tables = {kind: [[exp(v) for v in row] for row in edge] for kind, edge in self.edge.items()}  # [parent][child]
+        down = [tables[kind_of(tag, words)] for tag, words in zip(page.tags, page.words, strict=True)]
         for y in _STATES:
             own[0][y] += self.root[y]
         up: list[tuple[float, float, float]] = [(0.0, 0.0, 0.0)] * n
@@ -214,16 +264,16 @@ class ContentModel:
 
         for i in range(n - 1, 0, -1):  # messages to parents
             a, b, c = weights(*own[i])
-            up[i] = m = tuple([log(e[0] * a + e[1] * b + e[2] * c) for e in down])
+            up[i] = m = tuple([log(e[0] * a + e[1] * b + e[2] * c) for e in down[i]])
             above = own[parents[i]]
             for y in _STATES:
                 above[y] += m[y]
         out = [0.0] * n
         # own[i] holds all but the parent's message; add that on the way down
-        (d00, d01, d02), (d10, d11, d12), (d20, d21, d22) = down
         for i in range(n):
             here = own[i]
             if i:
+                (d00, d01, d02), (d10, d11, d12), (d20, d21, d22) = down[i]
                 m, above = up[i], own[parents[i]]
                 a, b, c = weights(above[0] - m[0], above[1] - m[1], above[2] - m[2])
                 here[0] += log(a * d00 + b * d10 + c * d20)
@@ -236,9 +286,6 @@ class ContentModel:
     def extract(self, source: str | None) -> str:
         page = parse(source)
         keep = [p >= 0.5 for p in self.marginals(page)]
-        for node, tag in enumerate(page.tags):  # inline markup without words of its own goes with what it stands in
-            if tag in INLINE and not page.words[node] and node:
-                keep[node] = keep[page.parents[node]]
         blocks, run = [], []
         for node, t in page.runs:
             if node < 0:
@@ -269,24 +316,33 @@ def states(page: Page) -> list[int]:
     return [CONTENT if m else FRAME if h else REST for m, h in zip(marked, holds, strict=True)]
 
 
-def fit(pages: list[str], smoothing: float = 0.5) -> ContentModel:
+#: Weight of potentials from an element's text: it is seen in all the elements around it, too.
+DAMPING = 0.6
+KINDS = tuple(k + w for k in ("inline", "part", "text", "box") for w in ("", "+"))
+
+
+def fit(pages: list[str], smoothing: float = 0.03) -> ContentModel:
     """Counts the potentials from marked pages."""
     edge, root, seen, names = Counter(), Counter(), Counter(), Counter()
     for source in pages:
         page = parse(source)
         y = states(page)
         for node, observed in enumerate(node_features(page)):
-            seen[y[node]] += 1
+            kind = kind_of(page.tags[node], page.words[node])
+            seen[kind, y[node]] += 1
             if node:
-                edge[y[page.parents[node]], y[node]] += 1
+                edge[kind, y[page.parents[node]], y[node]] += 1
             else:
                 root[y[node]] += 1
             for name in observed:
                 names[name, y[node]] += 1
     share = lambda k, total: math.log((k + smoothing) / (total + 3 * smoothing))
-    of = lambda a: tuple(share(edge[a, b], sum(edge[a, c] for c in _STATES)) for b in _STATES)
-    node = {name: tuple(share(names[name, b], seen[b]) for b in _STATES) for name in {n for n, _ in names}}
-    return ContentModel(tuple(share(root[b], sum(root.values())) for b in _STATES), tuple(of(a) for a in _STATES), node)
+    every = {b: sum(n for (_, y), n in seen.items() if y == b) for b in _STATES}
+    within = lambda name, b: every[b] if name.startswith("word ") else seen[name.split(" ", 1)[0], b]
+    of = lambda kind, a: tuple(share(edge[kind, a, b], sum(edge[kind, a, c] for c in _STATES)) for b in _STATES)
+    damped = lambda name: 1.0 if name.startswith("word ") or " tag " in name else DAMPING
+    node = {name: tuple(damped(name) * share(names[name, b], within(name, b)) for b in _STATES) for name in {n for n, _ in names}}
+    return ContentModel(tuple(share(root[b], sum(root.values())) for b in _STATES), {kind: tuple(of(kind, a) for a in _STATES) for kind in KINDS}, node)
 
 
 # -- labelled pages ---------------------------------------------------------
@@ -301,9 +357,12 @@ JUNK = {
     "advert": (("div", "aside", "ins", "section"), ("ad", "ads", "advert", "advertisement", "sponsored", "sponsor", "promo", "promoted", "adsbygoogle", "banner")),
     "form": (("form", "div"), ("form", "search", "login", "signup", "contact", "subscribe")),
     "comments": (("section", "div", "ol", "ul"), ("comments", "comment", "replies", "reply", "discussion", "disqus", "responses", "thread")),
+    "subtitle": (("div", "p", "span"), ("subtitle", "tagline", "slogan", "motto", "site", "sub", "strapline")),
+    "contents": (("div", "nav", "ul"), ("toc", "contents", "outline", "index", "jump")),
+    "edit": (("span", "div"), ("edit", "edit-section", "permalink", "anchor", "tools", "actions")),
     "share": (("div", "ul"), ("share", "social", "sharing", "follow", "tags", "meta", "byline", "author", "print", "tools")),
 }
-ARTICLE_WORDS = ("article", "post", "content", "entry", "main", "body", "story", "text", "page", "blog", "news", "detail")
+ARTICLE_WORDS = ("article", "post", "content", "entry", "main", "body", "story", "text", "page", "blog", "news", "detail", "question", "message", "answer")
 
 
 class PageMaker:
@@ -332,14 +391,21 @@ class PageMaker:
         r = self.r
         tags, names = JUNK[kind]
         tag = "div" if bare and r.random() < 0.7 else r.choice(tags)
-        shown = "" if (bare or tag not in ("div", "section", "ul", "ol")) and r.random() < 0.6 else f' {r.choice(("class", "class", "id"))}="{" ".join(r.sample(names, r.randint(1, 2)))}"'
+        shown = "" if (bare or tag not in ("div", "section", "ul", "ol")) and kind != "subtitle" and r.random() < 0.6 else f' {r.choice(("class", "class", "id"))}="{" ".join(r.sample(names, r.randint(1, 2)))}"'
         links = lambda n: "".join(f'<li><a href="/{i}">{self.words(1, 3)}</a></li>' for i in range(n))
         if kind in ("menu", "header", "share"):
             inner = links(r.randint(2, 9)) if tag in ("ul", "ol") else f"<ul>{links(r.randint(2, 9))}</ul>" if r.random() < 0.7 else " | ".join(f'<a href="#">{self.words(1, 2)}</a>' for _ in range(r.randint(2, 8)))
             if kind == "header":
                 inner = f"<p>{self.words(1, 4)}</p>{inner}"
         elif kind == "footer":
-            inner = r.choice((f"&copy; {self.words(1, 3)} &middot; {self.sentences(1, 2)}", f"<p>{self.words(2, 8)}</p><ul>{links(3)}</ul>"))
+            said = f"&copy; {self.words(1, 3)} {r.choice(('&middot;', '|', '-', '2024'))} {self.sentences(1, 4)}"
+            inner = r.choice((said, said, f"<p>{said}</p>", f"<p>{self.words(2, 8)}</p><ul>{links(3)}</ul>", f"{said}<p><a href=#>{self.words(1, 2)}</a></p>", f"<div>{links(4)}</div><small>{said}</small>"))
+        elif kind == "subtitle":
+            inner = self.words(2, 9).capitalize()
+        elif kind == "contents":
+            inner = (f"<h2>{self.words(1, 1)}</h2>" if tag != "ul" and r.random() < 0.5 else "") + (links(r.randint(2, 8)) if tag == "ul" else f"<ol>{links(r.randint(2, 8))}</ol>")
+        elif kind == "edit":
+            inner = r.choice((f'[<a href="#">{self.words(1, 1)}</a>]', f'<a href="#">{self.words(1, 2)}</a>', "&para;"))
         elif kind == "sidebar":
             inner = f"<h3>{self.words(1, 3)}</h3><ul>{links(r.randint(2, 7))}</ul>" + (f"<p>{self.sentences(1, 2)}</p>" if r.random() < 0.4 else "")
         elif kind in ("notice", "advert"):
@@ -347,46 +413,92 @@ class PageMaker:
         elif kind == "form":
             inner = f'<label>{self.words(1, 3)}</label><input name="q"><select><option>{self.words(1, 1)}<option>{self.words(1, 1)}</select><button>{self.words(1, 2)}</button>'
         else:
-            one = lambda: f'<{"li" if tag in ("ol", "ul") else "div"} class="comment"><span class="author">{self.words(1, 2)}</span><p>{self.sentences(1, 4)}</p></{"li" if tag in ("ol", "ul") else "div"}>'
+            said = lambda: f"<p>{self.sentences(1, 4)}</p>" if r.random() < 0.8 else self.sentences(1, 3)
+            by = lambda: r.choice(("", f'<span class="author">{self.words(1, 2)}</span>', f"<b>{self.words(1, 2)}</b>", f'<a href="#">{self.words(1, 1)}</a>'))
+            marked = r.choice(("", "", "", ' class="comment"', ' class="comment reply"', ' class="post comment-body"'))
+            entry = "li" if tag in ("ol", "ul") else "div"
             shown = shown or f' class="{r.choice(names)}"'
-            inner = "".join(one() for _ in range(r.randint(1, 6)))
+            inner = "".join(f"<{entry}{marked}>{by()}{said()}</{entry}>" for _ in range(r.randint(1, 6)))
+            if entry == "div" and r.random() < 0.5:
+                inner = f"<h3>{r.randint(1, 40)} {self.words(1, 2)}</h3>" + (f"<ol>{inner.replace('<div', '<li').replace('</div>', '</li>')}</ol>" if r.random() < 0.6 else inner)
         return f'<{tag}{shown} data-y="0">{inner}</{tag}>'
 
+    def item(self) -> str:
+        """What stands in a cell or an entry of a list: a few words, or sentences."""
+        r = self.r
+        kind = r.random()
+        if kind < 0.45:
+            return self.words(1, 5).capitalize()
+        if kind < 0.6:
+            return f'<a href="/{r.randint(1, 99)}">{self.words(1, 2)}</a> {self.words(1, 6)}'
+        return self.inline(self.sentences(1, 2))
+
+    def listed(self) -> str:
+        r = self.r
+        n = r.randint(2, 9)
+        kind = r.random()
+        if kind < 0.5:
+            tag = r.choice(("ul", "ul", "ol"))
+            return f"<{tag}>{''.join(f'<li>{self.item()}' + r.choice(('</li>', '</li>', '')) for _ in range(n))}</{tag}>"
+        if kind < 0.65:
+            return f"<dl>{''.join(f'<dt>{self.words(1, 3)}</dt><dd>{self.item()}</dd>' for _ in range(n))}</dl>"
+        width = r.randint(2, 5)
+        head = f"<tr>{''.join(f'<th>{self.words(1, 2)}</th>' for _ in range(width))}</tr>" if r.random() < 0.6 else ""
+        shown = f' class="{r.choice(("table", "data", "grid", "stats", "sortable"))}"' if r.random() < 0.4 else ""
+        rows = "".join(f"<tr>{''.join(f'<td>{self.item() if r.random() < 0.4 else self.words(1, 3)}</td>' for _ in range(width))}</tr>" for _ in range(n))
+        caption = f"<caption>{self.words(2, 6)}</caption>" if r.random() < 0.3 else ""
+        return f"<table{shown}>{caption}{r.choice((head + rows, f'<thead>{head}</thead><tbody>{rows}</tbody>'))}</table>"
+
+    def block(self) -> str:
+        r = self.r
+        kind = r.random()
+        if kind < 0.6:
+            start = r.choice(("", "", "", "<b>"))
+            end = "<br>" if start else "</p>"
+            return f"<p>{start}{self.inline(self.sentences(1, 7)) if r.random() < 0.85 else self.words(1, 3).capitalize() + '.'}{end}"
+        if kind < 0.65:
+            return f"<div{r.choice(('', ' class=\"para\"', ' class=\"paragraph text\"'))}>{self.inline(self.sentences(1, 6))}</div>"
+        if kind < 0.75:
+            return f"<{(tag := r.choice(('h2', 'h2', 'h3', 'h4')))}>{self.words(1, 7)}{self.junk('edit', False) if r.random() < 0.15 else ''}</{tag}>"
+        if kind < 0.89:
+            return self.listed()
+        if kind < 0.92:
+            return f"<blockquote>{r.choice((f'<p>{self.sentences(1, 3)}</p>', self.sentences(1, 2)))}</blockquote>"
+        if kind < 0.96:
+            return f"<pre>{r.choice((self.words(3, 20), f'<code>{self.words(3, 20)}</code>'))}</pre>"
+        return f'<figure><img src="x.png"><figcaption>{r.choice((self.sentences(1, 1), self.words(2, 6)))}</figcaption></figure>'
+
     def article(self, bare: bool) -> str:
         r = self.r
-        parts = [f"<h1>{self.words(2, 10).capitalize()}.</h1>"] if r.random() < 0.8 else []
+        parts = [f"<h1>{self.words(2, 10).capitalize()}{r.choice(('.', ''))}</h1>"] if r.random() < 0.8 else []
+        if r.random() < 0.12:
+            parts.append(self.junk(r.choice(("subtitle", "contents", "share")), False))
         for _ in range(r.randint(1, 14)):
-            kind = r.random()
-            if kind < 0.72:
-                start = r.choice(("", "", "", "<b>"))
-                end = "<br>" if start else "</p>"
-                parts.append(f"<p>{start}{self.inline(self.sentences(1, 7)) if r.random() < 0.85 else self.words(1, 3).capitalize() + '.'}{end}")
-            elif kind < 0.8:
-                parts.append(f"<h2>{self.words(1, 7)}</h2>")
-            elif kind < 0.86:
-                parts.append(f"<ul>{''.join(f'<li>{self.inline(self.sentences(1, 2))}</li>' for _ in range(r.randint(2, 5)))}</ul>")
-            elif kind < 0.9:
-                parts.append(f"<blockquote><p>{self.sentences(1, 3)}</p></blockquote>")
-            elif kind < 0.93:
-                parts.append(f"<pre>{self.words(3, 20)}</pre>")
-            elif kind < 0.96:
-                parts.append(f"<table><tr><td>{self.words(1, 4)}<td>{self.words(1, 4)}</tr></table>")
-            else:
-                parts.append(f'<figure><img src="x.png"><figcaption>{self.sentences(1, 1)}</figcaption></figure>')
-            if r.random() < 0.08:
-                parts.append(self.junk(r.choice(("advert", "share", "sidebar", "notice", "form")), False))
-        if r.random() < 0.15:
-            parts.append(self.junk("comments", False))
+            parts.append(self.block())
+            if r.random() < 0.07:
+                parts.append(self.junk(r.choice(("advert", "share", "sidebar", "notice", "form", "contents")), False))
+        inner = "".join(parts)
+        if r.random() < 0.25:
+            inner = "".join(f"<section>{x}</section>" for x in (inner, *(self.block() + self.block() for _ in range(r.randint(1, 3)))))
+        if r.random() < 0.2:
+            inner = f'<div{"" if bare else f" class={r.choice(ARTICLE_WORDS)}"}>{inner}</div>'
+        if r.random() < 0.25:
+            inner += self.junk("comments", False)
         tag = "div" if bare else r.choice(("article", "article", "article", "div", "section", "main"))
         named = tag == "article" or bare and r.random() < 0.5
-        shown = "" if named and r.random() < 0.7 else f' class="{" ".join(r.sample(ARTICLE_WORDS, r.randint(1, 2)))}"'
-        return f'<{tag}{shown} data-y="1">{"".join(parts)}</{tag}>'
+        shown = "" if named and r.random() < 0.7 else f' {r.choice(("class", "class", "id"))}="{r.choice((" ", "-")).join(r.sample(ARTICLE_WORDS, r.randint(1, 2)))}"'
+        if r.random() < 0.2:  # the title stands beside what holds the text
+            title = f'<h1{r.choice(("", " id=firstHeading", " class=title", " class=entry-title"))} data-y="1">{self.words(1, 6).capitalize()}</h1>'
+            if r.random() < 0.4:
+                title += self.junk(r.choice(("subtitle", "share")), False)
+            return f'<div{"" if bare else f" class={r.choice(ARTICLE_WORDS)}"}>{title}<{tag}{shown} data-y="1">{inner}</{tag}></div>'
+        return f'<{tag}{shown} data-y="1">{inner}</{tag}>'
 
     def page(self) -> str:
         r = self.r
         bare = r.random() < 0.25
-        before = [self.junk(k, bare) for k in ("header", "menu", "notice", "advert") if r.random() < 0.6]
-        after = [self.junk(k, bare) for k in ("share", "comments", "sidebar", "form", "advert", "footer") if r.random() < 0.5]
+        before = [self.junk(k, bare) for k in ("header", "menu", "notice", "advert") if r.random() < 0.6] + [self.junk("subtitle", False)] * (r.random() < 0.12)
+        after = [self.junk(k, bare) for k in ("share", "comments", "sidebar", "form", "advert", "footer") if r.random() < (0.7 if k == "comments" else 0.5)]
         r.shuffle(before)
         middle = self.article(bare)
         if r.random() < 0.3:
@@ -403,7 +515,13 @@ def labelled_pages(n: int, seed: int) -> list[str]:
 
 
 #: Pages that the production model is fitted on.
-TRAINING_PAGES, SEED = 1500, 11
+TRAINING_PAGES, SEED = 2000, 11
+
+
+@functools.cache
+def production_model() -> ContentModel:
+    """Fitted once a process."""
+    return fit(labelled_pages(TRAINING_PAGES, SEED))
 
 
 def extract_pages(pages: DataFrame, model: ContentModel, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -14,8 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = html_text.fit(html_text.labelled_pages(html_text.TRAINING_PAGES, html_text.SEED))
-    return html_text.extract_pages(table(spark, sf_dir, "pages"), model)
+    return html_text.extract_pages(table(spark, sf_dir, "pages"), html_text.production_model())
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

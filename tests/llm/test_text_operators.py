@@ -535,7 +535,7 @@ def test_scan_and_redaction(spark, odd, empty):
 
 @pytest.fixture(scope="module")
 def content_model():
-    return html_text.fit(html_text.labelled_pages(html_text.TRAINING_PAGES, html_text.SEED))
+    return html_text.production_model()
 
 
 def test_unseen_layouts(content_model):
@@ -567,7 +567,7 @@ def test_marginals_equal_enumeration(content_model):
     total, one = 0.0, [0.0] * n
     m = content_model
     for y in product(range(3), repeat=n):
-        w = m.root[y[0]] + sum(m.edge[y[page.parents[i]]][y[i]] for i in range(1, n)) + sum(m.node[f][y[i]] for i in range(n) for f in names[i] if f in m.node)
+        w = m.root[y[0]] + sum(m.edge[html_text.kind_of(page.tags[i], page.words[i])][y[page.parents[i]]][y[i]] for i in range(1, n)) + sum(m.node[f][y[i]] for i in range(n) for f in names[i] if f in m.node)
         p = exp(w + 60)
         total += p
         for i in range(n):
@@ -587,6 +587,83 @@ def test_blocks_and_references(content_model):
     assert isinstance(content_model.extract(deep), str)
 
 
+# pages written by hand, in shapes that the maker of labelled pages doesn't make
+HAND_WRITTEN = {
+    "encyclopedia": (
+        """<!DOCTYPE html><html><head><title>Tide</title></head><body class="mediawiki"><div id="mw-page-base"></div><div id="content" class="mw-body" role="main">
+<h1 id="firstHeading" class="firstHeading">Tide</h1><div id="bodyContent"><div id="siteSub">From Example, the free encyclopedia</div><div id="mw-content-text">
+<p><b>Tides</b> are the rise and fall of <a href="/sea">sea levels</a> caused by the Moon.</p><div id="toc" class="toc"><h2>Contents</h2><ul><li><a href="#1">1 Kinds</a></li>
+<li><a href="#2">2 Causes</a></li></ul></div><h2>Kinds<span class="mw-editsection">[<a href="/edit">edit</a>]</span></h2><ul><li>Spring tide</li><li>Neap tide</li></ul>
+<p>Both follow the phases of the Moon.</p><table class="wikitable"><tr><th>Place</th><th>Range</th></tr><tr><td>Fundy</td><td>16 m</td></tr></table></div></div></div>
+<div id="mw-navigation"><h2>Navigation menu</h2><ul><li><a href="/m">Main page</a></li><li><a href="/r">Random article</a></li></ul></div>
+<div id="footer" role="contentinfo"><ul><li>This page was last edited on 3 May.</li><li><a href="/p">Privacy policy</a></li></ul></div></body></html>""",
+        "Tide|Tides are the rise and fall of sea levels caused by the Moon.|Kinds|Spring tide|Neap tide|Both follow the phases of the Moon.|Place|Range|Fundy|16 m",
+    ),
+    "blog": (
+        """<html><body><header id="masthead"><p class="site-title"><a href="/">My kitchen</a></p><p class="site-description">Simple food every day</p><nav><a href="/a">About</a> <a href="/b">Recipes</a></nav></header>
+<main><article class="hentry"><h2 class="entry-title">Bread without kneading</h2><div class="entry-meta">Posted on May 3 by <a href="/j">Jo</a></div><div class="entry-content"><p>This bread needs time, not work. Start the evening before.</p>
+<h3>What you need</h3><ul><li>400 g flour</li><li>8 g salt</li><li>1 g yeast</li></ul><ol><li>Mix everything in a bowl.</li><li>Wait twelve hours.</li></ol><p>Bake it hot. Enjoy.</p></div>
+<div class="sharedaddy"><ul><li><a href="#">Tweet</a></li><li><a href="#">Mail</a></li></ul></div></article><section id="comments" class="comments-area"><h3>2 thoughts</h3><ol><li><p>Lovely recipe. Thank you so much.</p></li>
+<li><p>Mine was too wet.</p></li></ol></section></main><aside class="widget-area"><h3>Recent posts</h3><ul><li><a href="/1">Soup</a></li></ul></aside><footer>Powered by example. All rights reserved.</footer></body></html>""",
+        "Bread without kneading|This bread needs time, not work. Start the evening before.|What you need|400 g flour|8 g salt|1 g yeast|Mix everything in a bowl.|Wait twelve hours.|Bake it hot. Enjoy.",
+    ),
+    "forum": (
+        """<html><body><div class="navbar"><a href="/">Forum</a> &raquo; <a href="/c">Cars</a></div><div class="thread-main"><h1>Engine stalls when cold</h1><div class="post question"><div class="post-body">My engine stalls on cold mornings.
+I changed the plugs already.<br>What else can it be?</div></div></div><form action="/reply"><textarea>Write a reply</textarea><button>Send</button></form><div class="replies"><div class="reply"><p>Check the choke first. It was that for me.</p></div></div>
+<div class="footer">Terms | Privacy</div></body></html>""",
+        "Engine stalls when cold|My engine stalls on cold mornings. I changed the plugs already. What else can it be?",
+    ),
+    "tables": (
+        """<html><body><nav><ul><li><a href=/>Home</a></ul></nav><div class="content"><h1>Train times</h1><p>All times are local.</p><table><thead><tr><th>From<th>To</tr></thead><tbody>
+<tr><td>Town 1<td>City 1<tr><td>Town 2<td>City 2<tr><td>Town 3<td>City 3</table><dl><dt>Mon<dd>weekdays only<dt>Hol<dd>not on holidays</dl></div><div id="cookie-notice">We use cookies. <button>OK</button></div><footer><p>Example Rail</p></footer></body></html>""",
+        "Train times|All times are local.|From|To|Town 1|City 1|Town 2|City 2|Town 3|City 3|Mon|weekdays only|Hol|not on holidays",
+    ),
+}
+
+
+@pytest.mark.parametrize("shape", HAND_WRITTEN)
+def test_hand_written_pages(content_model, shape):
+    source, want = HAND_WRITTEN[shape]
+    assert content_model.extract(source).split("\n") == want.split("|")
+
+
+def test_implied_ends_and_scopes():
+    def tree(source):
+        page = html_text.parse(source)
+        paths = []
+        for i, tag in enumerate(page.tags):
+            paths.append(f"{paths[page.parents[i]]}/{tag}" if i else "")
+        return paths[1:]
+
+    assert tree("<ul><li>a<li>b<ul><li>c</ul><li>d</ul>") == ["/ul", "/ul/li", "/ul/li", "/ul/li/ul", "/ul/li/ul/li", "/ul/li"]
+    assert tree("<table><tr><td>a<th>b<tr><td><table><tr><td>c</table><td>d</table>x<i>") == [
+        "/table", "/table/tr", "/table/tr/td", "/table/tr/th", "/table/tr", "/table/tr/td", "/table/tr/td/table", "/table/tr/td/table/tr", "/table/tr/td/table/tr/td", "/table/tr/td", "/i",
+    ]
+    assert tree("<p>a<div><p>b</div><p>c<b><hr>") == ["/p", "/div", "/div/p", "/p", "/p/b", "/hr"]
+    assert tree("<p>a<section><b></section></p>x<dl><dt>a<dd>b<dt>c</dl>") == ["/p", "/section", "/section/b", "/dl", "/dl/dt", "/dl/dd", "/dl/dt"]
+    assert tree("<a href=/>x</a><br/><div/><p>") == ["/a", "/br", "/div", "/p"]
+    assert tree("<select><option>a<option>b</select></b></select><i>") == ["/select", "/select/option", "/select/option", "/i"]
+
+
+HOSTILE = ("<b>|<hr>", "<b>|</i>", "<div>|", "<ul><li>|", "<a |>", '<a x="|', "<!-- |", "<p><b>|", "<table><td>|", "<b>|</b>", "<a \"'|>", "&|;", "<|", "<script|")
+
+
+@pytest.mark.parametrize("parts", HOSTILE)
+def test_hostile_pages_take_linear_time(content_model, parts):
+    import time
+
+    a, b = parts.split("|")
+    n = 100_000
+    began = time.perf_counter()
+    assert isinstance(content_model.extract(a * n + b * (n if a in ("<b>",) else 1)), str)
+    assert time.perf_counter() - began < 10  # 1 to 2 s; with a scan of the open elements for each tag it is hours
+
+
+def test_pages_of_an_empty_table(spark, content_model):
+    none = spark.createDataFrame([], "page_id long, url string, html string, text string")
+    assert html_text.extract_pages(none, content_model).collect() == []
+
+
 def test_pages_query(spark, tmp_path, tables):
     import __spark_entry__ as e
 
