@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkgram.sources.scratch import cut
+
 
 def top_k(rows: DataFrame, k: int, order: list[Column], group: str | None = None) -> DataFrame:
     """The first ``k`` rows by ``order``, of each ``group`` if there is one.
@@ -30,12 +32,29 @@ def union_left_first(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.unionByName(rest.withColumn("pos", F.col("pos") + F.col("_shift")).drop("_shift"))
 
 
-def dense_ids(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """Adds ids 0, 1, ... in ``order`` without bringing all rows to one task.
+def running_totals(rows: DataFrame, order: list[Column], totals: dict[str, Column] | None = None, count: str | None = None) -> DataFrame:
+    """Adds what comes before each row in ``order`` over the whole table: for each
+    name of ``totals`` the sum of its column, as ``count`` the number of rows.
 
-    Rows are range partitioned and sorted; ``zipWithIndex`` counts the parts of
-    that very RDD and numbers each from its offset.  Two plans over one range
-    shuffle would not do: each would draw its own bounds.
+    Rows are stored by ranges of the order, each with the number of its range.
+    A window within ranges and the totals of the ranges before, one row a range,
+    give the rest, so no task sees the whole table.
     """
-    numbered = rows.sort(*order).rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    return rows.sparkSession.createDataFrame(numbered, rows.schema.add(name, "long"))
+    values = dict(totals or {})
+    if count:
+        values[count] = F.lit(1).cast("long")
+    held = {name: f"_run_{i}" for i, name in enumerate(values)}
+    ranged = rows.withColumns({held[n]: v for n, v in values.items()}).repartitionByRange(*order)
+    ranged = cut(ranged.withColumn("_run_part", F.spark_partition_id()), "ranged")
+    of_parts = ranged.groupBy("_run_part").agg(*[F.sum(h).alias(h) for h in held.values()])
+    parts_before = Window.orderBy("_run_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = of_parts.select(F.col("_run_part").alias("_run_of"), *[F.coalesce(F.sum(h).over(parts_before), F.lit(0)).alias(f"{h}_before") for h in held.values()])
+    rows_before = Window.partitionBy("_run_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    within = ranged.withColumns({f"{h}_within": F.coalesce(F.sum(h).over(rows_before), F.lit(0)) for h in held.values()})
+    out = within.join(offsets, within["_run_part"] == offsets["_run_of"])
+    return out.select(*[F.col(f"`{c}`") for c in rows.columns], *[(F.col(f"{h}_within") + F.col(f"{h}_before")).alias(n) for n, h in held.items()])
+
+
+def dense_ids(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Adds ids 0, 1, ... in ``order`` without bringing all rows to one task."""
+    return running_totals(rows, order, count=name)

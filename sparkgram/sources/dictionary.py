@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: What a lookup of a key that isn't there gives.
@@ -14,9 +14,17 @@ def from_words(spark: SparkSession, words: list[str]) -> DataFrame:
 
 
 def from_lines(spark: SparkSession, path: str) -> DataFrame:
-    """One line is one value; ids are line numbers from 0."""
-    lines = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1], x[0].value))
-    return spark.createDataFrame(lines, "doc_id long, value string")
+    """One line is one value; ids are line numbers from 0, over files by name.
+
+    Lines are counted by split of a file, in the order of the splits; a line's
+    number is that of its split's first line and its place in the split.
+    """
+    split = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start")]
+    lines = spark.read.text(path).select("value", *split, F.monotonically_increasing_id().alias("_place"))
+    of_splits = lines.groupBy("_file", "_start").agg(F.count("*").alias("_lines"), F.min("_place").alias("_first"))
+    before = Window.orderBy(F.length("_file"), "_file", "_start").rowsBetween(Window.unboundedPreceding, -1)  # one row a split
+    offsets = of_splits.select("_file", "_start", (F.coalesce(F.sum("_lines").over(before), F.lit(0)) - F.col("_first")).alias("_offset"))
+    return lines.join(offsets, ["_file", "_start"]).select((F.col("_place") + F.col("_offset")).alias("doc_id"), "value")
 
 
 def from_table(table: DataFrame, id_col: str, value_col: str) -> DataFrame:
