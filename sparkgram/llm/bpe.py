@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sparkgram.llm.common import PieceTable, bounded_batches, piece_finder
+from sparkgram.llm.common import PIECES, PieceTable, bounded_batches, piece_finder
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -92,7 +92,7 @@ class BytePairEncoder:
     #: Bytes of new pre-tokens merged in one run of the queue.
     RUN_BYTES = 1 << 20
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, keys: int = 500_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, keys: int = PIECES):
         self.ranks = ranks
         self.table = PieceTable(piece_finder(pattern), self._learn, "<u4", keys)
         size = max(ranks.values()) + 1
@@ -204,7 +204,7 @@ class BytePairEncoder:
         return b"".join([token[i] for i in ids])
 
 
-def slices(texts: list[str | None], chars: int = 2_000_000) -> Iterator[list[str | None]]:
+def slices(texts: list[str | None], chars: int = 500_000) -> Iterator[list[str | None]]:
     """Runs of texts of about ``chars`` characters, at least one text each."""
     run, size = [], 0
     for t in texts:

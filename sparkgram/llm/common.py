@@ -135,7 +135,7 @@ class _Codes(dict):
 
 
 #: Pieces remembered by a Python worker.
-PIECES = 250_000
+PIECES = 700_000
 
 
 class PieceTable:
@@ -144,22 +144,41 @@ class PieceTable:
     ``find`` splits a text, and ``learn`` gives for new pieces their ids, one
     after the other, and how many each has.  Pieces are numbered; the ids of
     number k are ``flat[start[k] : start[k] + length[k]]``, so a run of texts is
-    one gather.  All is forgotten at ``keys`` pieces, which bounds memory.
+    one gather.  At ``keys`` pieces all but the most used half at most is
+    forgotten, which bounds memory: most pieces of a corpus come up once.
     """
 
     def __init__(self, find: Callable, learn: Callable, dtype: str, keys: int = PIECES):
         self.find, self.learn, self.type, self.keys = find, learn, np.dtype(dtype), keys
-        self._forget()
+        self.codes = _Codes()
+        self.start, self.length, self.uses = (np.zeros(0, np.int64) for _ in range(3))
+        self.flat, self.used = np.zeros(1 << 16, self.type), 0
 
     def _forget(self) -> None:
+        least = 2
+        while np.count_nonzero(kept := self.uses >= least) > self.keys // 2 or int(self.length[kept].sum()) > 8 * self.keys:
+            least *= 2
+        order = self.codes.order
+        at = np.flatnonzero(kept)
         self.codes = _Codes()
-        self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat, self.used = np.zeros(1 << 20, self.type), 0
+        for i in at.tolist():
+            self.codes[order[i]]
+        lengths = self.length[at]
+        self.flat = self._gather(at)
+        self.used = len(self.flat)
+        self.start, self.length, self.uses = np.cumsum(lengths) - lengths, lengths, self.uses[at] // 2
+
+    def _gather(self, codes: np.ndarray) -> np.ndarray:
+        lengths = self.length[codes]
+        upto = np.cumsum(lengths)
+        return self.flat[np.repeat(self.start[codes] - (upto - lengths), lengths) + np.arange(int(upto[-1]) if len(upto) else 0)]
 
     def _put(self, pieces: list[str]) -> None:
         ids, lengths = self.learn(pieces)
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        if self.used + len(ids) > len(self.flat):
+            room = np.zeros(max(2 * len(self.flat), self.used + len(ids)), self.type)
+            room[: self.used] = self.flat[: self.used]
+            self.flat = room
         self.flat[self.used : self.used + len(ids)] = ids
         self.start = np.concatenate([self.start, self.used + np.cumsum(lengths) - lengths])
         self.length = np.concatenate([self.length, lengths])
@@ -175,10 +194,10 @@ class PieceTable:
         codes = np.fromiter(map(self.codes.__getitem__, chain.from_iterable(found)), np.int64, int(ends[-1]) if len(ends) else 0)
         if len(self.codes.order) > known:
             self._put(self.codes.order[known:])
-        lengths = self.length[codes]
-        upto = np.concatenate([[0], np.cumsum(lengths)])
-        ids = self.flat[np.repeat(self.start[codes] - upto[:-1], lengths) + np.arange(upto[-1])]
-        return ids, upto[ends].tolist()
+            self.uses = np.concatenate([self.uses, np.zeros(len(self.length) - len(self.uses), np.int64)])
+        self.uses += np.bincount(codes, minlength=len(self.uses))
+        upto = np.concatenate([[0], np.cumsum(self.length[codes])])
+        return self._gather(codes), upto[ends].tolist()
 
 
 #: Odd multipliers, one for each place of a shingle (splitmix64 of 1, 2, ...).

@@ -20,7 +20,6 @@ own, whole.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -31,10 +30,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkgram.llm.bpe import slices
-from sparkgram.llm.common import PieceTable, bounded_batches, mix64, piece_finder, scratch_path
+from sparkgram.llm.common import PIECES, PieceTable, bounded_batches, mix64, piece_finder, range_bounds, range_of, ranges_for, scratch_path
 
 #: Ids a shard aims at.
-SHARD_IDS = 1 << 19
+SHARD_IDS = 1 << 17
+#: Shards in a row group of a file, which bounds what its writer and readers hold.
+GROUP_SHARDS = 16
 #: Keys a bucket of the hash function holds on average.
 BUCKET_KEYS = 4
 FORMAT = 1
@@ -156,24 +157,13 @@ def shard_schema(kind: str) -> str:
     return f"part int, seq int, format int, width int, n_ids long, first_key {kind}, last_key {kind}, keys array<{kind}>, offsets binary, pilots binary, slots binary, ids binary"
 
 
-def range_bounds(docs: DataFrame, id_col: str, parts: int) -> list:
-    """Upper bounds of ``parts`` ranges of about equal numbers of ids; one column is read."""
-    ids = docs.select(id_col).where(F.col(id_col).isNotNull())
-    if docs.schema[id_col].dataType.simpleString() in ("bigint", "int"):
-        shares = [i / parts for i in range(1, parts)]
-        return sorted(set(ids.stat.approxQuantile(id_col, shares, 0.2 / parts))) if shares else []
-    # other kinds: a bounded sample of distinct ids, by hash
-    picked = sorted(r[0] for r in ids.distinct().orderBy(F.xxhash64(id_col)).limit(parts * 20).collect())
-    return [picked[i * len(picked) // parts] for i in range(1, parts)] if len(picked) >= parts else []
-
-
 def encode_ids(docs: DataFrame, load: Callable, end_id: int, width: int, bounds: list, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, part, ids binary)``: ids of each text and the end id, raw
     little-endian, and the range of ``bounds`` that the id falls in.
 
     ``load`` gives, once a Python process, a function from texts to the raw ids.
     """
-    bounded_batches(docs.sparkSession, 1024)
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     end = end_id.to_bytes(width, "little")
 
@@ -181,10 +171,10 @@ def encode_ids(docs: DataFrame, load: Callable, end_id: int, width: int, bounds:
         raw_ids = load()
         for batch in batches:
             raw = [x + end for part in slices(batch.column(1).to_pylist()) for x in raw_ids(part)]
-            part = [0 if key is None else bisect_left(bounds, key) for key in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(part, pa.int32()), pa.array(raw, pa.binary())], names=["id", "part", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["id", "ids"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, part int, ids binary").withColumnRenamed("id", id_col)
+    out = docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, ids binary")
+    return out.select(F.col("id").alias(id_col), range_of(F.col("id"), bounds).alias("part"), "ids")
 
 
 def write_shards(encoded: DataFrame, path: str, width: int, parts: int, id_col: str = "doc_id", shard_ids: int = SHARD_IDS) -> None:
@@ -223,7 +213,8 @@ def write_shards(encoded: DataFrame, path: str, width: int, parts: int, id_col:
 
     dealt = encoded.select(id_col, "part", "ids").repartitionById(parts, F.col("part"))
     ordered = dealt.sortWithinPartitions("part", F.col(id_col).asc_nulls_first(), "ids")
-    ordered.mapInArrow(run, shard_schema(kind)).write.parquet(path)
+    # raw ids repeat nothing that a dictionary of whole values could save
+    ordered.mapInArrow(run, shard_schema(kind)).write.option("parquet.block.row.count.limit", GROUP_SHARDS).option("parquet.enable.dictionary", "false").parquet(path)
 
 
 def open_shards(spark: SparkSession, path: str, kind: str = "bigint") -> DataFrame:
@@ -257,7 +248,7 @@ def read_documents(shards: DataFrame, id_col: str = "doc_id") -> DataFrame:
     ``start`` counts the ids of all documents before it.
     """
     kind = shards.schema["first_key"].dataType.simpleString()
-    bounded_batches(shards.sparkSession, 32)
+    bounded_batches(shards.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -288,17 +279,19 @@ class PieceEncoder:
     """A ``tokenizers`` tokenizer that encodes each distinct pre-token once.
 
     That holds for tokenizers whose pre-tokens ``pattern`` yields and that have
-    no normaliser.
+    no normaliser.  A text that holds the string of an added token is left to
+    the library whole.
     """
 
     #: New pre-tokens encoded as one text.
     JOINED = 4000
 
-    def __init__(self, path: str, pattern: str, width: int, keys: int = 500_000):
+    def __init__(self, path: str, pattern: str, width: int, keys: int = PIECES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        #: Strings that the tokenizer takes whole wherever they stand in a text.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         if self.tokenizer.normalizer is not None:
             raise ValueError("a normaliser changes texts before they are split")
         self.type = np.dtype(f"<u{width}")
@@ -340,10 +333,14 @@ class PieceEncoder:
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
         """Raw ids of each text."""
-        ids, ends = self.table.encode(texts)
+        whole = {i for i, t in enumerate(texts) if t and any(a in t for a in self.added)}
+        ids, ends = self.table.encode([None if i in whole else t for i, t in enumerate(texts)])
         data, at = ids.tobytes(), 0
-        for end in ends:
-            yield data[at * self.type.itemsize : end * self.type.itemsize]
+        for i, end in enumerate(ends):
+            if i in whole:  # added tokens split a text before its pre-tokens do
+                yield np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, self.type).tobytes()
+            else:
+                yield data[at * self.type.itemsize : end * self.type.itemsize]
             at = end
 
 
@@ -360,7 +357,7 @@ def piece_encoder(path: str, pattern: str, width: int) -> PieceEncoder:
 def tokenize_to_files(docs: DataFrame, tokenizer: str, pattern: str, end_id: int = 0, width: int = 2, path: str | None = None) -> DataFrame:
     """Encodes ``docs``, writes the shards under ``path`` (scratch if none) and opens them."""
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = ranges_for(docs)
     bounds = range_bounds(docs, "doc_id", parts)
     path = path or scratch_path(spark, "shards")
     write_shards(encode_ids(docs, lambda: piece_encoder(tokenizer, pattern, width), end_id, width, bounds), path, width, parts)

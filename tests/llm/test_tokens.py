@@ -95,7 +95,6 @@ def test_digests(spark, odd, empty, public):
 
 def _brute(rows):
     t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
     keyed = []
     for r in rows:
         ids = np.array([*t.encode(r.text or "", add_special_tokens=False).ids, 0], "<u2")
@@ -124,6 +123,19 @@ def test_query_over_a_table(spark, tmp_path, tables):
     assert got == _brute(rows.collect())
 
 
+def test_strings_of_added_tokens_are_the_librarys(spark):
+    enc = token_files.PieceEncoder(JSON, P.PATTERN, 2)
+    special = enc.added[0]
+    texts = [f"hi {special} there", special, f"{special}{special} x", f"a{special[:-1]} b", "plain words", None]
+    public = Tokenizer.from_file(JSON)
+    want = [public.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert public.token_to_id(special) in want[0]
+    assert [np.frombuffer(raw, "<u2").tolist() for raw in enc(texts)] == want
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = sorted(map(tuple, token_files.read_documents(token_files.tokenize_to_files(docs, JSON, P.PATTERN)).collect()))
+    assert got == _brute(docs.collect())
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 17, 4000])
 def test_perfect_hash_is_minimal(n):
     hashes = token_files.key_hashes(list(range(n))) if n else np.zeros(0, np.uint64)
