@@ -22,10 +22,11 @@ prefixed ``_mix_``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkgram.llm.common import cut
+from sparkgram.operators.ranking import running_totals
 
 #: Weights by rank of the source, repeating.
 WEIGHTS = (3, 1, 2)
@@ -52,25 +53,24 @@ def draw(key: Column, seed: str = SEED) -> Column:
 def source_targets(sized: DataFrame, share: float = SHARE, cap: int = CAP, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """``(_mix_source, source_size, target, _mix_rate)`` from rows of (_mix_source, size).
 
-    The windows run over one row a source.  Sorted by the level at which each
-    reaches its cap, the level that the sources from here on would share rises
-    while they are capped and falls after: its maximum is the water level.
+    Sorted by the level at which each reaches its cap, the level that the
+    sources from here on would share rises while they are capped and falls
+    after: its maximum is the water level.  Ranks and running sums go by ranges,
+    so there may be as many sources as web sites.
     """
-    sources = sized.groupBy("_mix_source").agg(F.sum("size").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("_mix_source").asc_nulls_last()))
-    by_rank = F.element_at(F.array(*[F.lit(w) for w in weights]), ((rank - 1) % len(weights) + 1).cast("int")).cast("long")
-    sources = sources.withColumn("_mix_weight", by_rank).withColumn("_mix_cap", F.col("source_size") * cap)
-    order = Window.orderBy(F.col("_mix_cap") / F.col("_mix_weight"), F.col("_mix_source").asc_nulls_last())
-    whole = Window.partitionBy()
-    capped_before = F.coalesce(F.sum("_mix_cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    weight_from = F.sum("_mix_weight").over(order.rowsBetween(0, Window.unboundedFollowing))
-    total = F.sum("source_size").over(whole) * F.lit(share)
-    sources = sources.withColumn("_mix_level", (total - capped_before) / weight_from)
-    level = F.max("_mix_level").over(whole)
-    target = F.least(F.col("_mix_cap").cast("double"), level * F.col("_mix_weight"))
-    out = sources.withColumn("target", target)
+    by_source = F.col("_mix_source").asc_nulls_last()
+    sources = running_totals(sized.groupBy("_mix_source").agg(F.sum("size").alias("source_size")), [by_source], count="_mix_rank")
+    by_rank = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("_mix_rank") % len(weights) + 1).cast("int")).cast("long")
+    sources = sources.withColumn("_mix_weight", by_rank).withColumn("_mix_cap", F.col("source_size") * cap).withColumn("_mix_full", F.col("_mix_cap") / F.col("_mix_weight"))
+    before = {"_mix_cap_before": F.col("_mix_cap"), "_mix_weight_before": F.col("_mix_weight")}
+    sources = cut(running_totals(sources, [F.col("_mix_full").asc(), by_source], before), "sources")
+    whole = sources.agg(F.sum("source_size").alias("size"), F.sum("_mix_weight").alias("weight")).first()
+    total, weight = float(whole["size"] or 0), whole["weight"] or 0
+    levels = (F.lit(total * share) - F.col("_mix_cap_before")) / (F.lit(weight) - F.col("_mix_weight_before"))
+    level = sources.agg(F.max(levels)).first()[0] or 0.0
+    target = F.least(F.col("_mix_cap").cast("double"), F.lit(level) * F.col("_mix_weight"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    return out.select("_mix_source", "source_size", "target", rate.alias("_mix_rate"))
+    return sources.withColumn("target", target).select("_mix_source", "source_size", "target", rate.alias("_mix_rate"))
 
 
 def copies(key: Column, rate: Column, seed: str = SEED) -> Column:
@@ -90,10 +90,11 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     return _with_targets(sized, targets).select(id_col, "size", "source_size", "target", taken.alias("taken"))
 
 
-def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> DataFrame:
-    """The mix itself: each document as often as it is taken, all columns kept."""
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, copy_col: str | None = None) -> DataFrame:
+    """The mix itself: each document as often as it is taken, all columns kept;
+    ``copy_col`` adds a column that numbers the copies of a row from 1."""
     sized = docs.select(F.col(source_col).alias("_mix_source"), word_count(F.col(text_col)).alias("size"))
     targets = cut(source_targets(sized), "targets")
     rows = _with_targets(docs.withColumn("_mix_source", F.col(source_col)), targets.select("_mix_source", "_mix_rate"))
     times = copies(F.col(id_col), F.col("_mix_rate"), seed).cast("int")
-    return rows.withColumn("_mix_copies", times).where("_mix_copies > 0").withColumn("_mix_copy", F.explode(F.expr("sequence(1, _mix_copies)"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.withColumn("_mix_copies", times).where("_mix_copies > 0").withColumn("_mix_copy", F.explode(F.expr("sequence(1, _mix_copies)"))).select(*[F.col(f"`{c}`") for c in docs.columns], *([F.col("_mix_copy").alias(copy_col)] if copy_col else []))

@@ -63,6 +63,29 @@ def test_mixing_targets_and_taken(spark, odd):
     assert mixing.mix_documents(odd).columns == odd.columns
 
 
+def test_mixing_of_many_sources(spark):
+    """Targets equal the contract's rounds; what a source takes stays near its target."""
+    rng = random.Random(2)
+    rows = [(i, "w " * rng.choice([0, 1, 5, 40]), rng.choice([f"site{rng.randrange(400)}.example", "hot.example"])) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes, squares = {}, {}
+    for _, text, source in rows:
+        n = len(text.split())
+        sizes[source] = sizes.get(source, 0) + n
+        squares[source] = squares.get(source, 0) + n * n
+    want, taken = filled(sizes), dict.fromkeys(sizes, 0)
+    by_id = {key: source for key, _, source in rows}
+    for r in mixing.mix_plan(docs).collect():
+        assert r.target == pytest.approx(want[by_id[r.doc_id]], rel=1e-12)
+        taken[by_id[r.doc_id]] += r.taken
+    # one Bernoulli copy a document: no source strays more than four and a half standard deviations (half of each size at most)
+    assert all(abs(taken[s] - want[s]) <= 1 + 4.5 * 0.5 * squares[s] ** 0.5 for s in sizes)
+    assert abs(sum(taken.values()) / sum(want.values()) - 1) < 0.03
+    copies = mixing.mix_documents(docs, copy_col="copy")
+    assert copies.columns == [*docs.columns, "copy"]
+    assert copies.count() == copies.select("doc_id", "copy").distinct().count()
+
+
 def test_mixing_odd_rows(spark, odd, empty):
     assert len(mixing.mix_plan(odd).collect()) == odd.count()
     assert mixing.mix_plan(empty).collect() == []
