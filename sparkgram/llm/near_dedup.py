@@ -323,17 +323,17 @@ def _across(members: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component, once; all columns stay.
+    """``docs`` with one document of each component; all columns stay.
 
-    Rows with a null id stay.  Of rows that repeat an id one stays; they are
-    told apart first, so that the others need no shuffle of their texts.
+    Rows with a null id stay.  Where ids repeat, rows are compared by a key of
+    their own: of linked rows the first as stored stays, and rows that share
+    nothing but their id all stay.
     """
-    verdict = near_duplicates(docs, id_col, text_col).where("NOT kept").select(F.col(id_col).alias("_dropped")).distinct()
-    kept = docs.join(cut(verdict, "dropped"), docs[id_col] == F.col("_dropped"), "left_anti")
-    ids = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_repeated")).agg(F.count("*").alias("n"))
-    repeated = cut(ids.where("n > 1").select("_repeated"), "repeated")
-    if not repeated.limit(1).count():
-        return kept
-    once = kept.join(repeated, kept[id_col] == F.col("_repeated"), "left_anti")
-    several = kept.join(repeated, kept[id_col] == F.col("_repeated"), "left_semi")
-    return once.unionByName(several.dropDuplicates([id_col]))
+    ids = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("_n"))
+    key = id_col
+    if ids.where("_n > 1").limit(1).count():
+        key = "_dedup_row"
+        docs = cut(docs.withColumn(key, F.when(F.col(id_col).isNotNull(), F.monotonically_increasing_id())), "keyed")
+    verdict = near_duplicates(docs, key, text_col).where("NOT kept").select(F.col(key).alias("_dropped"))
+    kept = docs.join(cut(verdict, "dropped"), docs[key] == F.col("_dropped"), "left_anti")
+    return kept.drop("_dedup_row") if key != id_col else kept

@@ -95,6 +95,14 @@ def test_odd_rows(spark, odd, empty):
     assert near_dedup.drop_near_duplicates(empty).collect() == []
 
 
+def test_rows_that_share_an_id_are_told_apart(spark):
+    near = [f"w{i}" for i in range(60)]
+    rows = [(1, "a text of its own with enough words"), (1, "another one that shares nothing with it at all"), (2, " ".join(near)), (2, " ".join([*near[:-1], "x"])), (3, " ".join(near)), (None, " ".join(near)), (4, ""), (4, None)]
+    kept = near_dedup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    assert kept.columns == ["doc_id", "text"]
+    assert sorted(map(str, kept.collect())) == sorted(map(str, spark.createDataFrame([rows[i] for i in (0, 1, 2, 5, 6, 7)], "doc_id long, text string").collect()))
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(0, 60)] + [(200, x) for x in range(100, 200)] + [(500, 500), (7, 3), (7, 3)]
