@@ -34,6 +34,18 @@ def size(names: Sequence[str]) -> int:
     return sum(SIZES.get(name) or len(set(name)) for name in names)
 
 
+def chars(names: Sequence[str]) -> list[str]:
+    """The characters of the alphabets, each once, in order of first appearance."""
+    out: list[str] = []
+    for name in names:
+        span = NAMED.get(name)
+        if span is None:
+            out += name
+        else:
+            out += [chr(c) for c in range(ord(span[0]), ord(span[2]) + 1)] + list(span[3:])
+    return list(dict.fromkeys(out))
+
+
 def has(char: Column, names: Sequence[str]) -> Column:
     """Whether a one-character column belongs to the alphabet."""
     return char.rlike(f"^[{class_body(names)}]$")

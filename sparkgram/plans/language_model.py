@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from sparkgram.functions.analysis import sentences, windows, words
 from sparkgram.operators.ranking import dense_ids, top_k
 from sparkgram.sources.config import LanguageModelConfig
+from sparkgram.sources.scratch import cut
 
 BACKOFF = 0.4
 #: Score of what was never seen.
@@ -81,6 +82,7 @@ def corpus_total(ngrams: DataFrame) -> DataFrame:
 class LanguageModel:
     config: LanguageModelConfig
     ngrams: DataFrame
+    _in_storage: bool = False
 
     @classmethod
     def train(cls, texts: DataFrame, text_col: str, config: LanguageModelConfig) -> LanguageModel:
@@ -97,30 +99,38 @@ class LanguageModel:
         if meta.pop("format_version") != FORMAT_VERSION:
             raise ValueError(f"{path}: unknown model version")
         config = LanguageModelConfig(**{k: tuple(v) if isinstance(v, list) else v for k, v in meta.items()})
-        return cls(config, spark.read.parquet(f"{path}/ngrams"))
+        return cls(config, spark.read.parquet(f"{path}/ngrams"), True)
 
     def vocabulary(self) -> DataFrame:
         return vocabulary(self.ngrams)
 
+    def stored(self) -> LanguageModel:
+        """The model with its n-grams counted once and kept in storage, for plans that read them many times."""
+        return self if self._in_storage else LanguageModel(self.config, cut(self.ngrams, "ngrams"), True)
+
     def _window_scores(self, wins: DataFrame) -> DataFrame:
-        """``wins`` (win_id, win array) -> (win_id, score) by prefix back-off."""
+        """``wins`` (win_id, win array) -> (win_id, score) by prefix back-off from
+        the order, or from its length if a window is shorter."""
         order = self.config.order
-        prefixes = F.transform(F.sequence(F.lit(1), F.lit(order)), lambda k: F.struct(k.cast("int").alias("k"), F.array_join(F.slice("win", F.lit(1), k), " ").alias("gram")))
-        asked = wins.select("win_id", F.explode(prefixes).alias("p")).select("win_id", "p.k", "p.gram")
+        longest = F.least(F.size("win"), F.lit(order))
+        prefixes = F.transform(F.sequence(F.lit(1), longest), lambda k: F.struct(k.cast("int").alias("k"), F.array_join(F.slice("win", F.lit(1), k), " ").alias("gram")))
+        asked = wins.select("win_id", longest.alias("m"), F.explode_outer(F.when(longest > 0, prefixes)).alias("p")).select("win_id", "m", "p.k", "p.gram")
         counts = self.ngrams.select(F.col("gram").alias("_gram"), F.col("n").alias("_n"), "cnt")
         joined = asked.join(counts, (asked.gram == counts["_gram"]) & (asked.k == counts["_n"]), "left")
-        wide = joined.groupBy("win_id").agg(*[F.coalesce(F.max(F.when(F.col("k") == k, F.col("cnt"))), F.lit(0)).alias(f"c{k}") for k in range(1, order + 1)])
+        wide = joined.groupBy("win_id").agg(F.max("m").alias("m"), *[F.coalesce(F.max(F.when(F.col("k") == k, F.col("cnt"))), F.lit(0)).alias(f"c{k}") for k in range(1, order + 1)])
         wide = wide.crossJoin(F.broadcast(corpus_total(self.ngrams).withColumnRenamed("total", "c0")))  # one row
+        discounts = F.array(*[F.lit(BACKOFF**k) for k in range(order)])
         score = F.lit(UNKNOWN_SCORE)
         for i in range(1, order + 1):
             c, above = F.col(f"c{i}").cast("double"), F.col(f"c{i - 1}").cast("double")
-            score = F.when((c > 0) & (above > 0), F.log(F.lit(BACKOFF ** (order - i)) * c / above)).otherwise(score)
+            score = F.when((c > 0) & (above > 0), F.log(F.get(discounts, F.col("m") - i) * c / above)).otherwise(score)
         return wide.select("win_id", score.alias("score"))
 
     def score_ngrams(self, grams: DataFrame) -> DataFrame:
         """Scores of single windows, (id, words) -> (id, score).
 
-        A window shorter than the order is scored by its own prefixes.
+        A window shorter than the order is scored by its own prefixes; one
+        without words scores UNKNOWN_SCORE.
         """
         return self._window_scores(grams.select(F.col("id").alias("win_id"), F.col("words").alias("win"))).withColumnRenamed("win_id", "id")
 
@@ -133,11 +143,7 @@ class LanguageModel:
         return keyed.join(scores, "win_id", "left").groupBy(id_col).agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("score"))
 
     def context(self, tokens: list[str], fix_context: bool = False) -> list[str]:
-        """The words that stand before a next word.
-
-        A sequence exactly as long as the order gives its FIRST words;
-        ``fix_context`` gives the last, as longer ones do.
-        """
+        """``contexts`` of one sequence."""
         n, m = self.config.order, len(tokens)
         if m + 1 < n:
             return [self.config.start, *tokens]
@@ -147,6 +153,31 @@ class LanguageModel:
             return tokens[: n - 1]
         return tokens
 
+    def contexts(self, tokens: Column, fix_context: bool = False) -> Column:
+        """The words that stand before a next word, of a column of sequences.
+
+        A sequence exactly as long as the order gives its FIRST words;
+        ``fix_context`` gives the last, as longer ones do.
+        """
+        n, m = self.config.order, F.size(tokens)
+        last = F.slice(tokens, F.greatest(m - n + 2, F.lit(1)), F.lit(n - 1))
+        at_order = last if fix_context else F.slice(tokens, F.lit(1), F.lit(n - 1))
+        return F.when(m + 1 < n, F.concat(F.array(F.lit(self.config.start)), tokens)).when(m > n, last).when(m == n, at_order).otherwise(tokens)
+
+    def next_scores_of(self, contexts: DataFrame) -> DataFrame:
+        """``(query_id, word, score)`` of the words seen after the contexts of
+        (query_id, context); none if a prefix of a context is unknown."""
+        keyed = contexts.where(F.size("context") > 0).select("query_id", F.size("context").alias("m"), F.array_join("context", " ").alias("key"), "context")
+        prefixes = F.transform(F.sequence(F.lit(1), F.size("context")), lambda k: F.struct(k.cast("int").alias("k"), F.array_join(F.slice("context", F.lit(1), k), " ").alias("gram")))
+        asked = keyed.select("query_id", "m", "key", F.explode(prefixes).alias("p")).select("query_id", "m", "key", "p.k", "p.gram")
+        counts = self.ngrams.select(F.col("gram").alias("_gram"), F.col("n").alias("_n"), "cnt")
+        found = asked.join(counts, (asked.gram == counts["_gram"]) & (asked.k == counts["_n"]))
+        bases = found.groupBy("query_id", "m", "key").agg(F.count("*").alias("known"), F.max(F.when(F.col("k") == F.col("m"), F.col("cnt"))).alias("base")).where("known = m")
+        last = F.substring_index("gram", " ", -1)
+        grown = self.ngrams.where("n > 1").select(last.alias("word"), F.expr("substring(gram, 1, char_length(gram) - char_length(substring_index(gram, ' ', -1)) - 1)").alias("_key"), (F.col("n") - 1).alias("_m"), "cnt")
+        follow = bases.join(grown, (bases.key == grown["_key"]) & (bases.m == grown["_m"]))
+        return follow.select("query_id", "word", F.log(F.col("cnt").cast("double") / F.col("base").cast("double")).alias("score"))
+
     def next_scores(self, context: list[str]) -> DataFrame:
         """``(word, cnt, score)`` of the words seen after a context; empty if a prefix
         of the context is unknown or there is no context."""

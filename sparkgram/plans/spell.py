@@ -2,31 +2,37 @@
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkgram.functions.alphabet import class_body
+from sparkgram.functions.analysis import words
 from sparkgram.functions.metric import Cosine
 from sparkgram.operators.index import SearchIndex
-from sparkgram.operators.ranking import union_left_first
 from sparkgram.operators.search import containing, fuzzy_top_k
 from sparkgram.plans.language_model import UNKNOWN_SCORE, LanguageModel
 from sparkgram.sources.config import IndexDescription
+from sparkgram.sources.scratch import cut
 
 # fixed values: the vocabulary index
 VOCABULARY_INDEX = IndexDescription(name="words", n=3, alphabet=("english", "russian", "numbers", "$^'"), pad="$", wrap=("^", "$"))
 
 
 class SpellChecker:
+    """Counts, vocabulary and their ranks are stored once; predictions read them."""
+
     def __init__(self, model: LanguageModel, description: IndexDescription = VOCABULARY_INDEX):
-        self.model = model
-        self.vocab = model.vocabulary()
+        self.model = model.stored()
+        self.vocab = cut(self.model.vocabulary(), "vocabulary")
         self.index = SearchIndex.build(self.vocab.select(F.col("word_id").alias("doc_id"), F.col("word").alias("value")), description)
 
     def predict(self, query: str, k: int, similarity: float, strict_k: bool = False, fix_context: bool = False) -> DataFrame:
-        """``(pos, word, score)`` of up to k + 1 words for the last word of a query.
+        """``(pos, word, score)`` for one query."""
+        asked = self.vocab.sparkSession.createDataFrame([(0, query)], "query_id long, query string")
+        return self.predict_all(asked, k, similarity, strict_k, fix_context).select("pos", "word", "score")
+
+    def predict_all(self, queries: DataFrame, k: int, similarity: float, strict_k: bool = False, fix_context: bool = False) -> DataFrame:
+        """``(query_id, pos, word, score)`` of up to k + 1 words for the last word of
+        each of (query_id, query), in one plan.
 
         Completions come first; if they are fewer than ``k``, fuzzy matches
         follow.  With a known context all are ordered by their next-word score.
@@ -35,30 +41,26 @@ class SpellChecker:
         if k <= 0:
             raise ValueError("k must be positive")
         metric = Cosine(similarity)
-        spark: SparkSession = self.vocab.sparkSession
-        tokens = re.findall(f"[{class_body(self.model.config.alphabet)}]+", query.lower().strip(" "))
-        if not tokens:
-            return spark.createDataFrame([], "pos int, word string, score double")
-        context = self.model.context(tokens[:-1], fix_context)
-        asked = spark.createDataFrame([(0, tokens[-1])], "query_id long, query string")
-        scores = self.model.next_scores(context).select(F.col("word").alias("_word"), F.col("score").alias("_score"))
-        known = scores.limit(1).count() > 0
+        tokens = queries.select("query_id", words(F.col("query"), self.model.config.alphabet).alias("t")).where(F.size("t") > 0)
+        before = F.slice("t", F.lit(1), F.greatest(F.size("t") - 1, F.lit(0)))
+        asked = tokens.select("query_id", F.get("t", F.size("t") - 1).alias("query"))
+        # the first word of a query has no context, and so no scores
+        contexts = tokens.where(F.size("t") > 1).select("query_id", self.model.contexts(before, fix_context).alias("context"))
+        scores = self.model.next_scores_of(contexts).withColumnsRenamed({"word": "value", "score": "_score"})
 
         def scored(rows: DataFrame) -> DataFrame:
-            return rows.join(scores, rows["value"] == scores["_word"], "left").withColumn("lm", F.coalesce("_score", F.lit(UNKNOWN_SCORE))).drop("_word", "_score")
-
-        completions = containing(self.index, asked).join(self.index.docs, "value_id").select("doc_id", "value")
-        ranked = scored(completions).orderBy(F.desc("lm"), F.asc("doc_id")).limit(k)
-        first = _numbered(ranked, F.desc("lm"), F.asc("doc_id"))
-        found = first
-        if first.limit(k).count() < k:
-            fuzzy = scored(fuzzy_top_k(self.index, asked, metric, k).withColumn("pos", F.col("rank") - 1).select("doc_id", "value", "pos"))
-            found = union_left_first(first, fuzzy.select("doc_id", "value", "lm", "pos"), "doc_id")
-        order = [F.desc("lm"), F.asc("pos")] if known else [F.asc("pos")]
-        out = _numbered(found.orderBy(*order).limit(k if strict_k else k + 1), *order)
-        return out.select("pos", F.col("value").alias("word"), F.col("lm").alias("score"))
-
+            return rows.join(scores, ["query_id", "value"], "left").withColumn("lm", F.coalesce("_score", F.lit(UNKNOWN_SCORE))).drop("_score")
 
-def _numbered(rows: DataFrame, *order) -> DataFrame:
-    """Numbers at most k + 1 rows from 0."""
-    return rows.withColumn("pos", F.row_number().over(Window.orderBy(*order)) - 1)
+        best_first = Window.partitionBy("query_id").orderBy(F.desc("lm"), F.asc("doc_id"))
+        completions = scored(containing(self.index, asked).join(self.index.docs, "value_id").select("query_id", "doc_id", "value"))
+        first = completions.withColumn("pos", F.row_number().over(best_first)).where(F.col("pos") <= k)
+        full = first.groupBy("query_id").agg(F.count("*").alias("_n")).where(F.col("_n") >= k).select("query_id")
+        fuzzy = fuzzy_top_k(self.index, asked.join(full, "query_id", "left_anti"), metric, k)
+        more = scored(fuzzy.select("query_id", "doc_id", "value", F.col("rank").alias("pos"))).join(first.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
+        found = first.withColumn("list", F.lit(0)).unionByName(more.withColumn("list", F.lit(1)))
+        known = scores.select("query_id").distinct().withColumn("_known", F.lit(True))
+        found = found.join(known, "query_id", "left")
+        by_score = F.when(F.col("_known"), F.col("lm"))  # null, and so alike, without a context
+        order = Window.partitionBy("query_id").orderBy(by_score.desc(), F.asc("list"), F.asc("pos"))
+        ranked = found.withColumn("_at", F.row_number().over(order) - 1).where(F.col("_at") < (k if strict_k else k + 1))
+        return ranked.select("query_id", F.col("_at").alias("pos"), F.col("value").alias("word"), F.col("lm").alias("score"))

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -32,27 +31,19 @@ def prune(trie: DataFrame, threshold: int, q_min: int) -> DataFrame:
     the marker stays within the threshold, and the rest is pruned in turn.
     Subtrees under the first ``q_min`` characters don't touch each other.
     """
-    rows = trie.where(F.char_length("gram") >= q_min).withColumn("_root", F.substring("gram", 1, q_min))
-
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        frequency = dict(zip(part["gram"], part["node_frequency"], strict=True))
-        marker = dict(zip(part["gram"], part["marker_frequency"], strict=True))
-        children: dict[str, list[str]] = {}
-        for g in frequency:
-            children.setdefault(g[:-1], []).append(g)
-        out, todo = [], [part["_root"].iloc[0]]
-        while todo:
-            node = todo.pop()
-            if frequency[node] <= threshold:
-                out.append((node, frequency[node]))
-                continue
-            held = marker[node]
-            for child in sorted(children.get(node, []), key=lambda c: (frequency[c], c)):
-                if held + frequency[child] <= threshold:
-                    held += frequency[child]
-                else:
-                    todo.append(child)
-            out.append((node, held))
-        return pd.DataFrame(out, columns=["gram", "frequency"])
-
-    return rows.groupBy("_root").applyInPandas(one, "gram string, frequency long")
+    marked = trie.where(F.char_length("gram") >= q_min).select("gram", F.col("node_frequency").alias("f"), F.col("marker_frequency").alias("own"))
+    parent = F.expr("substring(gram, 1, char_length(gram) - 1)")
+    nodes = marked.withColumn("parent", F.when(F.char_length("gram") > q_min, parent))
+    above = marked.select(F.col("gram").alias("parent"), F.col("own").alias("parent_own"))
+    # children come in ascending frequency, so those that fold in are the first ones
+    lightest = Window.partitionBy("parent").orderBy("f", "gram").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    children = nodes.where("parent IS NOT NULL").join(above, "parent").withColumn("folds", F.col("parent_own") + F.sum("f").over(lightest) <= threshold)
+    folded = children.where("folds").groupBy(F.col("parent").alias("gram")).agg(F.sum("f").alias("taken"))
+    stays = children.select("gram", (~F.col("folds")).alias("apart"))
+    info = nodes.join(stays, "gram", "left").join(folded, "gram", "left").select("gram", "f", F.coalesce("apart", F.lit(True)).alias("apart"), (F.col("f") > threshold).alias("opens"), (F.col("own") + F.coalesce("taken", F.lit(0))).alias("held"))
+    # a node is reached if no prefix of it folds in, and all those before it open
+    paths = info.select("gram", "f", "held", "opens", F.explode(F.sequence(F.lit(q_min), F.char_length("gram"))).alias("_n")).withColumn("_prefix", F.expr("substring(gram, 1, _n)"))
+    steps = info.select(F.col("gram").alias("_prefix"), F.col("apart").alias("_apart"), F.col("opens").alias("_opens"))
+    on_path = paths.join(steps, "_prefix").groupBy("gram", "f", "held", "opens")
+    reached = on_path.agg(F.bool_and(F.col("_apart") & (F.col("_opens") | (F.col("_prefix") == F.col("gram")))).alias("reached")).where("reached")
+    return reached.select("gram", F.when(F.col("opens"), F.col("held")).otherwise(F.col("f")).alias("frequency"))
