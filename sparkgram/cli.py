@@ -80,7 +80,9 @@ def main(argv: list[str] | None = None) -> int:
     else:
         config = read_language_model_config(args.config)
         if args.command == "ngram-count":
-            text = spark.read.text(config.source, wholetext=True).withColumnRenamed("value", "text")
+            # any separator ends a sentence, so records may end there: a corpus file is many tasks' work
+            record_end = "\n" if "\n" in config.separators else config.separators[0]
+            text = spark.read.text(config.source, lineSep=record_end).withColumnRenamed("value", "text")
             ngram_files.write(LanguageModel.train(text, "text", config).ngrams, config.output, config.order)
         elif args.command == "build-lm":
             LanguageModel(config, ngram_files.read(spark, config.output, config.order)).save(f"{config.output}/{config.name}.lm")

@@ -35,14 +35,15 @@ def size(names: Sequence[str]) -> int:
 
 
 def chars(names: Sequence[str]) -> list[str]:
-    """The characters of the alphabets, each once, in order of first appearance."""
+    """The characters of the alphabets, each once, in order of first appearance;
+    the Russian ё is accepted but not listed."""
     out: list[str] = []
     for name in names:
         span = NAMED.get(name)
         if span is None:
             out += name
         else:
-            out += [chr(c) for c in range(ord(span[0]), ord(span[2]) + 1)] + list(span[3:])
+            out += [chr(c) for c in range(ord(span[0]), ord(span[2]) + 1)]
     return list(dict.fromkeys(out))
 
 

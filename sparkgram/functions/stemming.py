@@ -210,8 +210,9 @@ def stem_column(word: Column, language: str) -> Column:
 
 def stem_filter(tokens: list[str], language: str) -> list[str]:
     """Drops stop words, then stems: for a token list on the driver."""
-    stem, stop = _STEMMERS[language]
-    return [stem(t) for t in tokens if t not in set(stop)]
+    stem, stop_words = _STEMMERS[language]
+    stop = frozenset(stop_words)
+    return [stem(t) for t in tokens if t not in stop]
 
 
 def stem_tokens(rows: DataFrame, id_col: str, tokens_col: str, language: str) -> DataFrame:

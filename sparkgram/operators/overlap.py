@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Names of the merge algorithms that this one aggregation stands for.
@@ -31,6 +31,13 @@ def intersection(lists: DataFrame) -> DataFrame:
 
 
 def lower_bound(postings: DataFrame, targets: DataFrame, key: str = "term") -> DataFrame:
-    """For each (key, target) the first doc_id >= target of the key's list, or null."""
-    first = targets.join(postings, key, "left").groupBy(key, "target")
-    return first.agg(F.min(F.when(F.col("doc_id") >= F.col("target"), F.col("doc_id"))).alias("doc_id"))
+    """For each (key, target) the first doc_id >= target of the key's list, or null.
+
+    Targets and postings are sorted together once, downwards; the last posting
+    seen before a target is the answer, so no target meets a whole list.
+    """
+    listed = postings.select(key, F.col("doc_id").alias("at"), "doc_id", F.lit(0).alias("asks"))
+    asked = targets.select(key, "target").distinct().select(key, F.col("target").alias("at"), F.lit(None).cast(postings.schema["doc_id"].dataType).alias("doc_id"), F.lit(1).alias("asks"))
+    down = Window.partitionBy(key).orderBy(F.desc("at"), "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = listed.unionByName(asked).withColumn("doc_id", F.last("doc_id", ignorenulls=True).over(down))
+    return seen.where("asks = 1").select(key, F.col("at").alias("target"), "doc_id")

@@ -8,10 +8,11 @@ come in last, for the surviving values only.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkgram.functions.analysis import with_grams
 from sparkgram.functions.metric import Metric
 from sparkgram.operators.index import SearchIndex
 from sparkgram.operators.ranking import top_k
@@ -19,7 +20,7 @@ from sparkgram.operators.ranking import top_k
 
 def _query_grams(index: SearchIndex, queries: DataFrame, tail: str) -> DataFrame:
     d = index.description
-    grams = with_grams(queries.select("query_id", "query"), "query", d.n, d.alphabet, d.pad, d.wrap[0], tail)
+    grams = index.tokenizer(queries.select("query_id", "query"), "query", d, d.wrap[0], tail)
     return grams.withColumn("a", F.size("grams").cast("long")).where("a > 0")
 
 
@@ -32,10 +33,14 @@ def overlaps(index: SearchIndex, queries: DataFrame, metric: Metric) -> DataFram
     return hits.groupBy("query_id", "a", "value_id", F.col("card").alias("b")).agg(F.count("*").alias("overlap"))
 
 
-def _scored(pairs: DataFrame, metric: Metric) -> DataFrame:
+#: Score of a pair: (overlap, query size, value size) -> Column.
+Scorer = Callable[[Column, Column, Column], Column]
+
+
+def _scored(pairs: DataFrame, metric: Metric, scorer: Scorer | None = None) -> DataFrame:
     a, b, i = F.col("a"), F.col("b"), F.col("overlap")
     t = metric.threshold(a, b)
-    return pairs.where((t > 0) & (t <= F.least(a, b)) & (i >= t)).withColumn("score", metric.score(i, a, b))
+    return pairs.where((t > 0) & (t <= F.least(a, b)) & (i >= t)).withColumn("score", (scorer or metric.score)(i, a, b))
 
 
 def prefix_candidates(index: SearchIndex, queries: DataFrame, metric: Metric) -> DataFrame:
@@ -64,30 +69,38 @@ def verified(index: SearchIndex, queries: DataFrame, metric: Metric) -> DataFram
     return found.select("query_id", "a", "value_id", "b", shared.alias("overlap"))
 
 
-def fuzzy_top_k(index: SearchIndex, queries: DataFrame, metric: Metric, k: int, prefix_filter: bool = False) -> DataFrame:
+def fuzzy_top_k(index: SearchIndex, queries: DataFrame, metric: Metric, k: int, prefix_filter: bool = False, scorer: Scorer | None = None) -> DataFrame:
     """Top ``k`` documents of each query: (query_id, rank, doc_id, value, score).
 
     Order: score down, then doc_id up.  ``prefix_filter`` verifies candidates of
-    rare grams only; the result is the same.
+    rare grams only; the result is the same.  ``scorer`` ranks what the metric
+    lets pass in place of the metric's own score.
     """
     if k <= 0:
         raise ValueError("k must be positive")
     pairs = verified(index, queries, metric) if prefix_filter else overlaps(index, queries, metric)
-    scored = _scored(pairs, metric).select("query_id", "value_id", "score")
+    scored = _scored(pairs, metric, scorer).select("query_id", "value_id", "score")
     # value_id is the least doc_id of its value, so whatever value comes before another has a document
     # that does: the k best documents belong to the k best values
     best = top_k(scored, k, [F.desc("score"), F.asc("value_id")], "query_id").drop("rank")
-    rows = best.join(index.docs, "value_id")
+    rows = best.join(_first_docs(index, best, k), "value_id")
     return top_k(rows, k, [F.desc("score"), F.asc("doc_id")], "query_id").select("query_id", "rank", "doc_id", "value", "score")
 
 
+def _first_docs(index: SearchIndex, found: DataFrame, k: int) -> DataFrame:
+    """The ``k`` least documents of the values found: a popular value's copies are
+    cut to k in every task before they meet the queries."""
+    docs = index.docs.join(found.select("value_id").distinct(), "value_id", "left_semi")
+    return top_k(docs, k, [F.asc("doc_id")], "value_id").drop("rank")
+
+
 def autocomplete(index: SearchIndex, queries: DataFrame, limit: int) -> DataFrame:
     """For each query the ``limit`` least doc_ids whose value has every query gram."""
     if limit <= 0:
         return index.docs.select(F.lit(0).cast("long").alias("query_id"), F.lit(0).alias("rank"), "doc_id", "value").limit(0)
     # as in ``fuzzy_top_k``: the least documents belong to the least values
     least = top_k(containing(index, queries), limit, [F.asc("value_id")], "query_id").drop("rank")
-    rows = least.join(index.docs, "value_id")
+    rows = least.join(_first_docs(index, least, limit), "value_id")
     return top_k(rows, limit, [F.asc("doc_id")], "query_id").select("query_id", "rank", "doc_id", "value")
 
 
@@ -99,11 +112,16 @@ def containing(index: SearchIndex, queries: DataFrame) -> DataFrame:
     return hits.groupBy("query_id", "kinds", "value_id").agg(F.count("*").alias("n")).where("n = kinds").select("query_id", "value_id")
 
 
-def fuzzy_join(index: SearchIndex, left: DataFrame, metric: Metric, prefix_filter: bool = True) -> DataFrame:
+def fuzzy_join(index: SearchIndex, left: DataFrame, metric: Metric, prefix_filter: bool = True, scorer: Scorer | None = None) -> DataFrame:
     """All pairs (query_id, doc_id, score) that the metric accepts: a batch join.
 
     Popular grams make no candidates unless ``prefix_filter`` is off; then every
     shared gram does, which suits short left sides.
     """
     pairs = verified(index, left, metric) if prefix_filter else overlaps(index, left, metric)
-    return _scored(pairs, metric).join(index.docs, "value_id").select("query_id", "doc_id", "value", "score")
+    return _scored(pairs, metric, scorer).join(index.docs, "value_id").select("query_id", "doc_id", "value", "score")
+
+
+def collected(index: SearchIndex, queries: DataFrame, metric: Metric, collector: Callable[[DataFrame], DataFrame], prefix_filter: bool = True, scorer: Scorer | None = None) -> DataFrame:
+    """What a collector of one's own makes of all (query_id, doc_id, value, score) that the metric accepts."""
+    return collector(fuzzy_join(index, queries, metric, prefix_filter, scorer))

@@ -2,26 +2,33 @@
 
 from __future__ import annotations
 
+import json
+import os
 import tempfile
-import uuid
 from collections.abc import Callable
+from dataclasses import replace
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkgram.functions import analysis, stopwords
+from sparkgram import http_api
+from sparkgram.functions import alphabet, analysis, stopwords
 from sparkgram.functions.alphabet import class_body, has
 from sparkgram.functions.metric import metric
-from sparkgram.functions.stemming import stem_column
+from sparkgram.functions.stemming import stem_column, stem_tokens
 from sparkgram.operators.index import SearchIndex
 from sparkgram.operators.overlap import intersection, lower_bound, t_occurrence
 from sparkgram.operators.ranking import dense_ids, top_k, union_left_first
 from sparkgram.operators.search import autocomplete, fuzzy_join, fuzzy_top_k
 from sparkgram.plans import language_model as lm
 from sparkgram.plans.spell import SpellChecker
-from sparkgram.plans.variable_grams import gram_trie
-from sparkgram.sources import dictionary
-from sparkgram.sources.config import IndexDescription, LanguageModelConfig
+from sparkgram.plans.variable_grams import gram_trie, prune
+from sparkgram.service import Service
+from sparkgram.sources import dictionary, ngram_files
+from sparkgram.sources.config import IndexDescription, LanguageModelConfig, read_index_descriptions
+from sparkgram.sources.scratch import scratch_path
+from sparkgram.streaming.lookup import search_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -68,13 +75,9 @@ def _model(spark: SparkSession, sf_dir: str, source: str = "benchmark") -> lm.La
 
 
 def _stored_model(spark: SparkSession, sf_dir: str, source: str, order: int) -> lm.LanguageModel:
-    """The model's n-grams up to ``order``, counted once and kept under ``spark.checkpoint.dir``, for plans that read them many times."""
+    """The model's n-grams up to ``order``, counted once and kept in storage, for plans that read them many times."""
     model = _model(spark, sf_dir, source)
-    model.ngrams = model.ngrams.where(F.col("n") <= order)
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp()}"
-    path = f"{base.rstrip('/')}/sparkgram-model-{uuid.uuid4().hex}"
-    model.save(path)
-    return lm.LanguageModel.load(spark, path)
+    return lm.LanguageModel(model.config, model.ngrams.where(F.col("n") <= order)).stored()
 
 
 # -- search ------------------------------------------------------------------
@@ -204,8 +207,9 @@ def card_histogram_part(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def posting_lists_part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = part_index(spark, sf_dir).lists()
-    return lists.select("card", "term", F.size("doc_ids").cast("long").alias("n"), F.element_at("doc_ids", 1).alias("first_id"), F.element_at("doc_ids", -1).alias("last_id"))
+    chunks = part_index(spark, sf_dir).lists()
+    ends = [F.min(F.element_at("doc_ids", 1)).alias("first_id"), F.max(F.element_at("doc_ids", -1)).alias("last_id")]
+    return chunks.groupBy("card", "term").agg(F.sum(F.size("doc_ids")).cast("long").alias("n"), *ends)
 
 
 def ngram_tokens_part(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -403,12 +407,274 @@ def spell_predict_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predictions(SpellChecker(_stored_model(spark, sf_dir, "documents", MODEL.order)))
 
 
+#: Queries of the spell checker, and the characters of conversations that the batch asks for.
+MISSPELT, TALK_CHARS = ("the thh", "is thee", "and the tion", "thn", "!", "of the and thi th", "zq xthe"), 24
+
+
 def _predictions(checker: SpellChecker) -> DataFrame:
-    out = None
-    for i, query in enumerate(("the thh", "is thee", "and the tion")):
-        part = checker.predict(query, 5, 0.5).select(F.lit(i).alias("query_id"), "pos", "word", F.round("score", 6).alias("score"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    asked = checker.vocab.sparkSession.createDataFrame(list(enumerate(MISSPELT)), "query_id long, query string")
+    return _predicted(checker, asked)
+
+
+def _predicted(checker: SpellChecker, asked: DataFrame) -> DataFrame:
+    found = checker.predict_all(asked, 5, 0.5)
+    return found.select("query_id", F.col("pos").cast("long").alias("pos"), "word", F.round("score", 6).alias("score"))
+
+
+def spell_batch_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first characters of the first turn of every conversation whose id ASKED_EVERY divides."""
+    talk = _table(spark, sf_dir, "conversations").where((F.col("conv_id") % ASKED_EVERY == 0) & (F.col("turn") == 0))
+    asked = talk.select(F.col("conv_id").alias("query_id"), F.substring("text", 1, TALK_CHARS).alias("query"))
+    return _predicted(SpellChecker(_model(spark, sf_dir)), asked)
+
+
+def _spell_sql(counts: str, asked: str) -> str:
+    normal = lambda column, tail: _grams_sql(column, "^", tail).replace("[^a-z0-9$]", "[^a-zа-яё0-9$^'']")
+    return f"""
+WITH {counts}, vocab AS (SELECT row_number() OVER (ORDER BY cnt DESC, gram) - 1 AS doc_id, gram AS value FROM counts WHERE n = 1),
+split AS (SELECT query_id, regexp_extract_all(lower(trim(query, ' ')), '{_WORD}') AS t FROM {asked}),
+asked AS (SELECT query_id, t[len(t)] AS word, t[1:len(t) - 1] AS before FROM split WHERE len(t) > 0),
+contexts AS (SELECT query_id, CASE WHEN len(before) + 1 < 3 THEN ['<S>'] || before WHEN len(before) > 3 THEN before[len(before) - 1:len(before)]
+  WHEN len(before) = 3 THEN before[1:2] ELSE before END AS c FROM asked WHERE len(before) > 0),
+keyed AS (SELECT query_id, len(c) AS m, array_to_string(c, ' ') AS key FROM contexts),
+scores AS (SELECT query_id, substring(k.gram, length(key) + 2) AS value, ln(k.cnt::DOUBLE / b.cnt::DOUBLE) AS lm FROM keyed
+  JOIN counts b ON b.n = m AND b.gram = key JOIN counts k ON k.n = m + 1 AND starts_with(k.gram, key || ' ')),
+docs AS (SELECT doc_id, value, {normal('value', '$')} AS grams FROM vocab),
+open_grams AS (SELECT query_id, {normal('word', '')} AS grams FROM asked),
+completed AS (SELECT query_id, doc_id, value FROM open_grams q JOIN docs d ON len(q.grams) > 0 AND len(d.grams) >= len(q.grams) AND list_has_all(d.grams, q.grams)),
+firsts AS (SELECT query_id, doc_id, value, coalesce(lm, -100) AS lm, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(lm, -100) DESC, doc_id) AS pos
+  FROM completed LEFT JOIN scores USING (query_id, value) QUALIFY pos <= 5),
+rest AS (SELECT query_id, word FROM asked WHERE query_id NOT IN (SELECT query_id FROM firsts GROUP BY query_id HAVING count(*) >= 5)),
+terms AS (SELECT query_id, len(g) AS a, unnest(g) AS term FROM (SELECT query_id, {normal('word', '$')} AS g FROM rest)),
+postings AS (SELECT doc_id, value, len(grams) AS b, unnest(list_distinct(grams)) AS term FROM docs),
+pairs AS (SELECT query_id, a, doc_id, value, b, count(*) AS i FROM terms JOIN postings USING (term) GROUP BY ALL),
+near AS (SELECT query_id, doc_id, value, row_number() OVER (PARTITION BY query_id ORDER BY 1 - (1 - i::DOUBLE / sqrt((a * b)::DOUBLE)) DESC, doc_id) AS pos FROM pairs
+  WHERE b BETWEEN ceil(0.25::DOUBLE * a) AND floor(a / 0.25::DOUBLE) AND ceil(0.5::DOUBLE * sqrt((a * b)::DOUBLE)) <= least(a, b) AND i >= ceil(0.5::DOUBLE * sqrt((a * b)::DOUBLE)) QUALIFY pos <= 5),
+found AS (SELECT *, 0 AS list FROM firsts UNION ALL SELECT query_id, doc_id, value, coalesce(lm, -100) AS lm, pos, 1 AS list FROM near LEFT JOIN scores USING (query_id, value)
+  WHERE (query_id, doc_id) NOT IN (SELECT (query_id, doc_id) FROM firsts))
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN query_id IN (SELECT query_id FROM scores) THEN lm END DESC, list, pos) - 1 AS pos,
+  value AS word, round(lm, 6) AS score FROM found QUALIFY pos <= 5"""
+
+
+def score_ngrams_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of one to four words from the start of every turn of the conversations."""
+    said = _table(spark, sf_dir, "conversations").select("conv_id", "turn", analysis.words(F.col("text"), MODEL.alphabet).alias("w"))
+    wins = said.select("conv_id", "turn", "w", F.explode(F.array(*[F.lit(k).cast("long") for k in (1, 2, 3, 4)])).alias("k")).where(F.size("w") >= F.col("k"))
+    scored = _model(spark, sf_dir).score_ngrams(wins.select(F.struct("conv_id", "turn", "k").alias("id"), F.slice("w", F.lit(1), F.col("k").cast("int")).alias("words")))
+    return scored.select("id.conv_id", "id.turn", "id.k", F.round("score", 6).alias("score"))
+
+
+_SCORE_NGRAMS_SQL = """, total AS (SELECT sum(cnt)::BIGINT AS c0 FROM counts WHERE n = 1),
+said AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM conversations),
+wins AS (SELECT conv_id, turn, k, least(k, 3) AS m, w FROM said, (SELECT unnest([1, 2, 3, 4]::BIGINT[]) AS k) WHERE len(w) >= k),
+found AS (SELECT wins.*, c0, coalesce(a.cnt, 0) AS c1, CASE WHEN m >= 2 THEN coalesce(b.cnt, 0) ELSE 0 END AS c2, CASE WHEN m >= 3 THEN coalesce(c.cnt, 0) ELSE 0 END AS c3 FROM wins CROSS JOIN total
+  LEFT JOIN counts a ON a.n = 1 AND a.gram = w[1] LEFT JOIN counts b ON b.n = 2 AND b.gram = array_to_string(w[1:2], ' ') LEFT JOIN counts c ON c.n = 3 AND c.gram = array_to_string(w[1:3], ' '))
+SELECT conv_id, turn, k, round(CASE WHEN c3 > 0 THEN ln(c3::DOUBLE / c2) WHEN c2 > 0 THEN ln(pow(0.4::DOUBLE, m - 2) * c2 / c1) WHEN c1 > 0 THEN ln(pow(0.4::DOUBLE, m - 1) * c1 / c0) ELSE -100 END, 6) AS score FROM found"""
+
+
+def contexts_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The context that the words of a turn before the place ``turn % 6`` make."""
+    said = _table(spark, sf_dir, "conversations").select("conv_id", "turn", analysis.words(F.col("text"), MODEL.alphabet).alias("w"))
+    before = F.slice("w", F.lit(1), (F.col("turn") % 6).cast("int"))
+    return said.select("conv_id", "turn", F.array_join(_model(spark, sf_dir).contexts(before), " ").alias("context"))
+
+
+_CONTEXTS_SQL = """WITH said AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z0-9]+')[1:turn % 6] AS b FROM conversations)
+SELECT conv_id, turn, array_to_string(CASE WHEN len(b) + 1 < 3 THEN ['<S>'] || b WHEN len(b) > 3 THEN b[len(b) - 1:len(b)] WHEN len(b) = 3 THEN b[1:2] ELSE b END, ' ') AS context FROM said"""
+
+
+def words_of_ids_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = _table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 5000).alias("word_id")).distinct()
+    return lm.words_of_ids(ids, _model(spark, sf_dir).vocabulary()).select("word_id", "word")
+
+
+def count_paths_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weighted paths whose sums may be negative or zero."""
+    weight = (F.col("l_quantity").cast("long") - 25).alias("weight")
+    return lm.count_paths(_table(spark, sf_dir, "lineitem").select(F.array(F.col("l_returnflag"), F.col("l_linestatus"), F.date_format("l_shipdate", "yyyy-MM-dd")).alias("words"), weight))
+
+
+def ngram_files_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts written to n-gram files, every line twice, and read back."""
+    counts = _model(spark, sf_dir).ngrams
+    path = scratch_path(spark, "grams")
+    ngram_files.write(counts.unionByName(counts), path, MODEL.order)
+    return ngram_files.read(spark, path, MODEL.order).select(F.col("n").cast("long").alias("n"), "gram", "cnt")
+
+
+def model_round_trip_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "model")
+    _model(spark, sf_dir).save(path)
+    return lm.LanguageModel.load(spark, path).ngrams.select(F.col("n").cast("long").alias("n"), "gram", "cnt")
+
+
+def index_round_trip_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "index")
+    part_index(spark, sf_dir).save(path)
+    return SearchIndex.load(spark, path).lengths()
+
+
+def dictionary_lines_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names written as lines of several files, read as a dictionary, stored, opened and looked up."""
+    names = _table(spark, sf_dir, "part").repartitionByRange(3, "p_partkey").sortWithinPartitions("p_partkey").select("p_name")
+    lines, stored = scratch_path(spark, "lines"), scratch_path(spark, "dictionary")
+    names.write.text(lines)
+    dictionary.save(dictionary.from_lines(spark, lines), stored)
+    keys = _table(spark, sf_dir, "part").select((F.col("p_partkey") * 2).alias("doc_id"))
+    return dictionary.lookup(dictionary.load(spark, stored), keys)
+
+
+def config_index_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index described by a JSON file."""
+    described = [{"name": "part", "nGramSize": 4, "alphabet": ["english", "#"], "pad": "#", "wrap": ["#", "#"], "driver": "RAM", "source": "", "output": ""}]
+    with tempfile.TemporaryDirectory() as folder:
+        path = os.path.join(folder, "index.json")
+        with open(path, "w", encoding="utf-8") as out:
+            json.dump(described, out)
+        (description,) = read_index_descriptions(path)
+    return SearchIndex.build(_part_docs(spark, sf_dir), description).segments()
+
+
+def pruned_grams_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prune(variable_grams_part(spark, sf_dir), 3, 2)
+
+
+_PRUNED_SQL = """
+WITH RECURSIVE trie AS ({trie}), nodes AS (SELECT gram, node_frequency AS f, marker_frequency AS own FROM trie WHERE length(gram) >= 2),
+kids AS (SELECT gram, gram[1:length(gram) - 1] AS parent, f, sum(f) OVER (PARTITION BY gram[1:length(gram) - 1] ORDER BY f, gram ROWS UNBOUNDED PRECEDING) AS run FROM nodes WHERE length(gram) > 2),
+folds AS (SELECT kids.gram, kids.parent, kids.f, p.own + run <= 3 AS fold FROM kids JOIN nodes p ON p.gram = kids.parent),
+reached AS (SELECT gram, f, own FROM nodes WHERE length(gram) = 2
+  UNION ALL SELECT n.gram, n.f, n.own FROM reached r JOIN folds ON folds.parent = r.gram AND NOT folds.fold JOIN nodes n ON n.gram = folds.gram WHERE r.f > 3),
+taken AS (SELECT parent, sum(f) AS taken FROM folds WHERE fold GROUP BY parent)
+SELECT reached.gram, (CASE WHEN f <= 3 THEN f ELSE own + coalesce(taken, 0) END)::BIGINT AS frequency FROM reached LEFT JOIN taken ON taken.parent = reached.gram"""
+
+
+def alphabet_russian_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The letters of the documents, and some of Cyrillic, by membership."""
+    letters = _table(spark, sf_dir, "documents").select(F.explode(F.split(F.lower("text"), "")).alias("letter"))
+    cyrillic = spark.createDataFrame([(c,) for c in "абвеёжяѐіэыjz7"], "letter string")
+    letters = letters.unionByName(cyrillic).where("letter <> ''").distinct()
+    return letters.select("letter", has(F.col("letter"), ("russian",)).alias("russian"))
+
+
+#: Lists of alphabets whose characters and sizes are told.
+ALPHABETS = (("english",), ("russian",), ("numbers",), ("english", "numbers", "$a"), ("-_-",))
+
+
+def alphabet_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [("+".join(names), alphabet.size(names), c) for names in ALPHABETS for c in alphabet.chars(names)]
+    return spark.createDataFrame(rows, "alphabet string, size long, letter string")
+
+
+_CHARS_SQL = """WITH spans(alphabet, size, lo, hi) AS (VALUES ('english', 26, 97, 122), ('russian', 32, 1072, 1103), ('numbers', 10, 48, 57), ('english+numbers+$a', 38, 97, 122),
+('english+numbers+$a', 38, 48, 57), ('english+numbers+$a', 38, 36, 36), ('-_-', 2, 45, 45), ('-_-', 2, 95, 95))
+SELECT alphabet, size::BIGINT AS size, chr(code::INT) AS letter FROM (SELECT alphabet, size, unnest(range(lo, hi + 1)) AS code FROM spans)"""
+
+
+def search_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which settings of a search are accepted."""
+
+    def accepted(name: str, alpha: float, k: int) -> bool:
+        index, asked = part_index(spark, sf_dir), _asked(spark, ("x",))
+        try:
+            fuzzy_top_k(index, asked, metric(name, alpha), k)
+        except ValueError:
+            return False
+        return True
+
+    rows = [(name, alpha, k, accepted(name, alpha, k)) for name in ("Cosine", "cosine") for alpha in (-0.5, 0.0, 0.5, 1.0, 1.5) for k in (0, 1)]
+    return spark.createDataFrame(rows, "metric string, similarity double, k long, accepted boolean")
+
+
+_VALIDATION_SQL = "SELECT metric, similarity::DOUBLE AS similarity, k::BIGINT AS k, metric = 'Cosine' AND similarity > 0 AND similarity <= 1 AND k > 0 AS accepted FROM (SELECT unnest(['Cosine', 'cosine']) AS metric), (SELECT unnest([-0.5, 0.0, 0.5, 1.0, 1.5]) AS similarity), (SELECT unnest([0, 1]) AS k)"
+
+
+def _served(spark: SparkSession, sf_dir: str, driver: str = "RAM") -> Service:
+    service = Service(spark)
+    service.add_index(replace(PART_INDEX, driver=driver, output=scratch_path(spark, "served")), _part_docs(spark, sf_dir))
+    return service
+
+
+def _of_service(ask: Callable[[Service, str], DataFrame], texts: tuple[str, ...], driver: str) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        service, out = _served(spark, sf_dir, driver), None
+        for i, text in enumerate(texts):
+            part = ask(service, text).withColumn("query_id", F.lit(i).cast("long"))
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    return query
+
+
+service_search_part = _of_service(lambda service, text: service.search("part", text, "Dice", 0.5, 5).withColumn("score", F.round("score", 6)), ASKED, "DISC")
+service_autocomplete_part = _of_service(lambda service, text: service.autocomplete("part", text, 5), STARTS, "RAM")
+
+
+def http_search_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the HTTP front answers: (query_id, pos, score, value)."""
+    service, rows = _served(spark, sf_dir), []
+    for i, text in enumerate(ASKED):
+        _, found = http_api.answer(service, None, None, "GET", f"/search/part/{quote(text)}/?metric=Jaccard&similarity=0.4&topK=5")
+        rows += [(i, pos, round(r["Score"], 6), r["Value"]) for pos, r in enumerate(found)]
+    return spark.createDataFrame(rows, "query_id long, pos long, score double, value string")
+
+
+def http_predict_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checker, rows = SpellChecker(_model(spark, sf_dir)), []
+    for i, text in enumerate(MISSPELT[:3]):
+        _, found = http_api.answer(Service(spark), checker, None, "GET", f"/predict/{quote(text)}/?similarity=0.5&topK=5")
+        rows += [(i, pos, word) for pos, word in enumerate(found)]
+    return spark.createDataFrame(rows, "query_id long, pos long, word string")
+
+
+def stream_search_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch search as a stream over a folder of queries."""
+    asked, found = scratch_path(spark, "asked"), scratch_path(spark, "found")
+    _asked_of_part(spark, sf_dir).repartition(2).write.parquet(asked)
+    index = part_index(spark, sf_dir)
+    sink = lambda rows, batch_id: rows.write.mode("overwrite").parquet(f"{found}/batch={batch_id}")
+    source = spark.readStream.schema("query_id long, query string").parquet(asked)
+    search_stream(source, lambda: index, metric("Cosine", 0.5), 5, sink, scratch_path(spark, "progress")).awaitTermination()
+    return spark.read.parquet(found).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "value", F.round("score", 6).alias("score"))
+
+
+def _stems(language: str, pairs: dict[str, str]) -> Query:
+    """Stems of words whose stems are published."""
+    return lambda spark, sf_dir: spark.createDataFrame([(w,) for w in pairs], "word string").select("word", stem_column(F.col("word"), language).alias("stem"))
+
+
+def _pairs_sql(pairs: dict[str, str]) -> str:
+    return "SELECT * FROM (VALUES " + ", ".join(f"('{w}', '{s}')" for w, s in pairs.items()) + ") AS p(word, stem)"
+
+
+# fixed values: published words and their stems, and texts with the tokens that stay and their stems
+ENGLISH_STEMS = dict(zip(
+    "consign consigned consigning consignment consist consisted consistency consistent consistently consisting consists consolation consolations consolatory console consoled consoles consolidate consolidated consolidating consoling consolingly consols consonant consort consorted consorting conspicuous conspicuously conspiracy conspirator conspirators conspire conspired conspiring constable constables constance constancy constant knack knackeries knacks knag knave knaves knavish kneaded kneading knee kneel kneeled kneeling kneels knees knell knelt knew knick knif knife knight knightly knights knit knits knitted knitting knives knob knobs knock knocked knocker knockers knocking knocks knopp knot knots".split(),
+    "consign consign consign consign consist consist consist consist consist consist consist consol consol consolatori consol consol consol consolid consolid consolid consol consol consol conson consort consort consort conspicu conspicu conspiraci conspir conspir conspir conspir conspir constabl constabl constanc constanc constant knack knackeri knack knag knave knave knavish knead knead knee kneel kneel kneel kneel knee knell knelt knew knick knif knife knight knight knight knit knit knit knit knive knob knob knock knock knocker knocker knock knock knopp knot knot".split(), strict=True))
+RUSSIAN_STEMS = dict(zip(
+    "вавиловка вагнера вагон вагона вагоне вагонов вагоном вагоны важная важнее важнейшие важнейшими важничал важно важного важное важной важном важному важности важностию важность важностью важную важны важные важный важным важных вазах вазы вакса вакханка вал валандался валентина валерианов валерию валетами падает падай падал падала падаль падать падаю падают падающего падающие падеж падение падением падении".split(),
+    "вавиловк вагнер вагон вагон вагон вагон вагон вагон важн важн важн важн важнича важн важн важн важн важн важн важност важност важност важност важн важн важн важн важн важн ваз ваз вакс вакханк вал валанда валентин валериан валер валет пада пада пада пада падал пада пада пада пада пада падеж паден паден паден".split(), strict=True))
+FILTERED = {
+    "russian": {"вместе с тем о силе электромагнитной энергии имели представление еще": "вместе=вмест силе=сил электромагнитной=электромагнитн энергии=энерг имели=имел представление=представлен", "total 2310 рублей итого": "total=total 2310=2310 рублей=рубл итого=ит"},
+    "english": {"What does борщ mean": "What=What борщ=борщ mean=mean", "Hello hello mister Credo What's up": "Hello=Hello hello=hello mister=mister Credo=Credo What's=What"},
+}
+
+
+def _filtered_rows(language: str) -> list[tuple[int, str, str]]:
+    return [(i, *pair.split("=")) for i, kept in enumerate(FILTERED[language].values()) for pair in kept.split()]
+
+
+def _stem_filter(language: str) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = spark.createDataFrame(list(enumerate(FILTERED[language])), "id long, text string").withColumn("tokens", F.split("text", " "))
+        return stem_tokens(rows, "id", "tokens", language).select("id", "token", "stem")
+
+    return query
+
+
+def _filtered_sql(language: str) -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    return "SELECT id::BIGINT AS id, token, stem FROM (VALUES " + ", ".join(f"({i}, {quoted(t)}, {quoted(x)})" for i, t, x in _filtered_rows(language)) + ") AS p(id, token, stem)"
 
 
 def _sentences_sql(table: str, keys: str) -> str:
@@ -487,6 +753,29 @@ def queries() -> dict[str, Query]:
         "next_word_topk_documents": next_word_topk_documents,
         "lm_context_children_documents": lm_context_children_documents,
         "spell_predict_documents": spell_predict_documents,
+        "spell_batch_conversations": spell_batch_conversations,
+        "score_ngrams_benchmark": score_ngrams_benchmark,
+        "contexts_conversations": contexts_conversations,
+        "words_of_ids_benchmark": words_of_ids_benchmark,
+        "count_paths_lineitem": count_paths_lineitem,
+        "ngram_files_benchmark": ngram_files_benchmark,
+        "model_round_trip_benchmark": model_round_trip_benchmark,
+        "index_round_trip_part": index_round_trip_part,
+        "dictionary_lines_part": dictionary_lines_part,
+        "config_index_part": config_index_part,
+        "pruned_grams_part": pruned_grams_part,
+        "alphabet_russian_documents": alphabet_russian_documents,
+        "alphabet_chars": alphabet_chars,
+        "search_validation": search_validation,
+        "service_search_part": service_search_part,
+        "service_autocomplete_part": service_autocomplete_part,
+        "http_search_part": http_search_part,
+        "http_predict_benchmark": http_predict_benchmark,
+        "stream_search_part": stream_search_part,
+        "stem_en_published": _stems("english", ENGLISH_STEMS),
+        "stem_ru_published": _stems("russian", RUSSIAN_STEMS),
+        "stem_filter_en": _stem_filter("english"),
+        "stem_filter_ru": _stem_filter("russian"),
     }
 
 
@@ -544,4 +833,29 @@ def oracle_sql() -> dict[str, str]:
         "sentence_score_documents": _score_sql(_counts_sql('documents', 'doc_id')),
         "next_word_topk_documents": f"WITH {_counts_sql('documents', 'doc_id')} SELECT substring(gram, 9) AS word, cnt, round(ln(cnt::DOUBLE / (SELECT cnt FROM counts WHERE n = 2 AND gram = '<S> the')), 6) AS score FROM counts WHERE n = 3 AND starts_with(gram, '<S> the ') ORDER BY score DESC, word LIMIT 10",
         "lm_context_children_documents": f"WITH {_counts_sql('documents', 'doc_id')} SELECT substring(gram, 5) AS word, cnt FROM counts WHERE n = 2 AND starts_with(gram, 'the ')",
+        "spell_predict_benchmark": _spell_sql(_counts_sql(), _queries_sql(MISSPELT)),
+        "spell_predict_documents": _spell_sql(_counts_sql("documents", "doc_id"), _queries_sql(MISSPELT)),
+        "spell_batch_conversations": _spell_sql(_counts_sql(), f"(SELECT conv_id AS query_id, substring(text, 1, {TALK_CHARS}) AS query FROM conversations WHERE conv_id % {ASKED_EVERY} = 0 AND turn = 0) AS q"),
+        "score_ngrams_benchmark": f"WITH {_counts_sql()}{_SCORE_NGRAMS_SQL}",
+        "contexts_conversations": _CONTEXTS_SQL,
+        "words_of_ids_benchmark": f"WITH {_counts_sql()}, {vocab}, ids AS (SELECT DISTINCT o_orderkey % 5000 AS word_id FROM orders) SELECT word_id, coalesce(word, '<UNK>') AS word FROM ids LEFT JOIN vocab USING (word_id)",
+        "count_paths_lineitem": "SELECT concat_ws(' ', l_returnflag, l_linestatus, strftime(l_shipdate, '%Y-%m-%d')) AS path, sum(trunc(l_quantity)::BIGINT - 25)::BIGINT AS cnt FROM lineitem GROUP BY 1 HAVING sum(trunc(l_quantity)::BIGINT - 25) > 0",
+        "ngram_files_benchmark": f"WITH {_counts_sql()} SELECT n::BIGINT AS n, gram, 2 * cnt AS cnt FROM counts",
+        "model_round_trip_benchmark": f"WITH {_counts_sql()} SELECT n::BIGINT AS n, gram, cnt FROM counts",
+        "index_round_trip_part": f"{docs} SELECT card, term, count(*) AS length FROM (SELECT len(grams) AS card, unnest(list_distinct(grams)) AS term FROM docs) GROUP BY ALL",
+        "dictionary_lines_part": "WITH lines AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS doc_id, p_name FROM part) SELECT p_partkey * 2 AS doc_id, coalesce(lines.p_name, '<nil/>') AS value FROM part LEFT JOIN lines ON doc_id = p_partkey * 2",
+        "config_index_part": f"WITH docs AS (SELECT {_grams_sql('p_name', '#', '#', 4).replace('[^a-z0-9$]', '[^a-z#]').replace(chr(39) + '$' + chr(39) + ', ' + chr(39) + 'g', chr(39) + '#' + chr(39) + ', ' + chr(39) + 'g')} AS grams FROM part) SELECT len(grams) AS card, count(*) AS n_docs FROM docs WHERE len(grams) > 0 GROUP BY ALL",
+        "pruned_grams_part": _PRUNED_SQL.format(trie=_VARIABLE_SQL),
+        "alphabet_russian_documents": "WITH letters AS (SELECT DISTINCT unnest(string_split(lower(text), '')) AS letter FROM documents UNION SELECT unnest(string_split('абвеёжяѐіэыjz7', ''))) SELECT letter, regexp_full_match(letter, '[а-яё]') AS russian FROM letters WHERE letter <> ''",
+        "alphabet_chars": _CHARS_SQL,
+        "search_validation": _VALIDATION_SQL,
+        "service_search_part": f"SELECT query_id, doc_id, value, score FROM ({_search_sql('Dice', 0.5)})",
+        "service_autocomplete_part": f"SELECT query_id, doc_id, value FROM ({AUTOCOMPLETE_SQL})",
+        "http_search_part": f"SELECT query_id, rank - 1 AS pos, score, value FROM ({_search_sql('Jaccard', 0.4)})",
+        "http_predict_benchmark": f"SELECT query_id, pos, word FROM ({_spell_sql(_counts_sql(), _queries_sql(MISSPELT[:3]))})",
+        "stream_search_part": _ranked_sql("Cosine", 0.5, _part_queries_sql()),
+        "stem_en_published": _pairs_sql(ENGLISH_STEMS),
+        "stem_ru_published": _pairs_sql(RUSSIAN_STEMS),
+        "stem_filter_en": _filtered_sql("english"),
+        "stem_filter_ru": _filtered_sql("russian"),
     }

@@ -41,7 +41,10 @@ class Service:
                 index.save(description.output)
                 index = SearchIndex.load(self.spark, description.output)
         with self._lock:
+            replaced = self._indexes.get(description.name)
             self._indexes[description.name] = index
+        if replaced is not None:
+            replaced.unpersist()  # plans made of it compute it anew or read its stored version
 
     def dictionaries(self) -> list[str]:
         with self._lock:

@@ -1,11 +1,13 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from sparkgram.functions.metric import METRICS, metric
+from sparkgram.functions.metric import METRICS, Jaccard, metric, register
 from sparkgram.operators.index import SearchIndex
 from sparkgram.operators.overlap import STRATEGIES, intersection, lower_bound, t_occurrence
-from sparkgram.operators.ranking import dense_ids, top_k, union_left_first
-from sparkgram.operators.search import autocomplete, fuzzy_join, fuzzy_top_k
+from sparkgram.operators.ranking import dense_ids, running_totals, top_k, union_left_first
+from sparkgram.operators.search import autocomplete, collected, fuzzy_join, fuzzy_top_k
 from sparkgram.sources import dictionary
 from sparkgram.sources.config import IndexDescription
 
@@ -151,6 +153,66 @@ def test_index_round_trip(spark, cars, tmp_path):
     assert "PartitionFilters: [isnotnull" in plan
 
 
+def test_a_stored_index_is_replaced_whole(spark, cars, tmp_path):
+    path = str(tmp_path / "cars")
+    cars.save(path)
+    opened = SearchIndex.load(spark, path)
+    SearchIndex.build(dictionary.from_words(spark, ["Lada"]), cars.description).save(path)
+    assert [r.value for r in SearchIndex.load(spark, path).docs.collect()] == ["Lada"]
+    assert opened.docs.count() == cars.docs.count()  # plans of the version before still run
+    # a version that was never finished doesn't count
+    (tmp_path / "cars" / "versions" / "9" / "docs").mkdir(parents=True)
+    assert [r.value for r in SearchIndex.load(spark, path).docs.collect()] == ["Lada"]
+    with pytest.raises(ValueError, match="no index"):
+        SearchIndex.load(spark, str(tmp_path / "nothing"))
+
+
+def test_extension_points(spark, cars):
+    def letters(rows, text_col, description, start, end):
+        return rows.withColumn("grams", F.array_distinct(F.split(F.lower(text_col), "")))
+
+    index = SearchIndex.build(dictionary.from_words(spark, ["abc", "abd", "xyz"]), cars.description, letters)
+    assert [r.value for r in fuzzy_top_k(index, asked(spark, "cab"), metric("Jaccard", 0.9), 5).collect()] == ["abc"]
+    by_size = fuzzy_top_k(index, asked(spark, "abdc"), metric("Jaccard", 0.4), 1, scorer=lambda i, a, b: F.lit(0.5) + i / 100)
+    assert [r.score for r in by_size.collect()] == [0.53]
+    counted = collected(index, asked(spark, "ab"), metric("Jaccard", 0.1), lambda rows: rows.groupBy("query_id").count())
+    assert [r["count"] for r in counted.collect()] == [2]
+
+    class Half(Jaccard):
+        def score(self, i, a, b):
+            return F.lit(0.5)
+
+    register("Half", Half)
+    try:
+        assert {r.score for r in fuzzy_top_k(index, asked(spark, "abc"), metric("Half", 0.4), 5).collect()} == {0.5}
+    finally:
+        METRICS.pop("Half")
+
+
+def test_running_totals_and_line_numbers(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(rng.randrange(50), i, rng.randrange(-5, 9)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k long, i long, v long").repartition(5)
+    got = running_totals(df, [F.desc("k"), F.asc("i")], {"before": F.col("v"), "twice": F.col("v") * 2}, "n").orderBy("n").collect()
+    total = 0
+    for n, (want, r) in enumerate(zip(sorted(rows, key=lambda x: (-x[0], x[1])), got, strict=True)):
+        assert (r.k, r.i, r.v, r.n, r.before, r.twice) == (*want, n, total, 2 * total)
+        total += want[2]
+    assert running_totals(df.limit(0), [F.asc("i")], count="n").collect() == []
+    # one long file in many splits, and a second file
+    lines = [f"line {i} " + "x" * (i % 40) for i in range(3000)]
+    (tmp_path / "lines").mkdir()
+    (tmp_path / "lines" / "a.txt").write_text("\n".join(lines[:2500]) + "\n", encoding="utf-8")
+    (tmp_path / "lines" / "b.txt").write_text("\n".join(lines[2500:]), encoding="utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9k")
+    try:
+        docs = dictionary.from_lines(spark, str(tmp_path / "lines"))
+        assert [(r.doc_id, r.value) for r in docs.orderBy("doc_id").collect()] == list(enumerate(lines))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_dictionaries(spark, tmp_path):
     (tmp_path / "d.txt").write_text("a\nb\n\nc\n", encoding="utf-8")
     docs = dictionary.from_lines(spark, str(tmp_path / "d.txt"))
