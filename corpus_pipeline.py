@@ -3,6 +3,15 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is
 written as Parquet and reread as the next one's ``docs``.  All but the last
 return the columns of ``documents``.
+
+Defined cases: an empty table gives an empty result; null texts are empty texts
+and stay (nothing is toxic, copied or secret about them; of size 0, they are
+taken as often as their source's rate says); rows with a null id stay and are
+never linked; of rows that repeat an id only those whose texts are linked count
+as copies; rows with a null source are a source; columns beyond those of
+``documents``, whatever their names, pass through all stages but the last,
+which returns id and digests.  A document that the mix takes twice comes out as
+two equal rows.
 """
 
 from __future__ import annotations
