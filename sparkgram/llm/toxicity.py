@@ -19,8 +19,9 @@ words are taken from; neither has a cap of its own, and every text is scored
 whole.
 
 Defined cases: null text is an empty text; texts without hits get one score,
-the model's for no hits; without labels of both kinds the score is the
-smoothed share of label 1 for all; equal texts have equal scores; labels of
+the model's for no hits; without labels of both kinds nothing is learned, and
+the score is the smoothed share of label 1 for all, but less than one half, so
+that nothing is rejected; equal texts have equal scores; labels of
 ids without a document, and null labels, are ignored; of several labels of one
 id the greatest counts.
 """
@@ -343,7 +344,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     count = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     positives, negatives = count.get(1, 0), count.get(0, 0)
     if not positives or not negatives:
-        rate = (positives + 0.5) / (positives + negatives + 1)
+        rate = min(0.49, (positives + 0.5) / (positives + negatives + 2))
         return ToxicityModel({}, bias=math.log(rate / (1 - rate)))
     counts = cut(word_counts(rows), "words")
     weights = learn_lexicon(counts, positives, negatives)

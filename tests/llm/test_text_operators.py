@@ -388,7 +388,11 @@ def test_toxicity_without_labels(spark, odd, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     for docs in (odd, empty):
         model = toxicity.fit(docs, none)
-        assert {r.score for r in toxicity.score_documents(docs, model).collect()} <= {0.5}
+        scored = toxicity.score_documents(docs, model).collect()
+        assert {(r.score, r.predicted) for r in scored} <= {(0.25, 0)}
+        assert toxicity.drop_toxic(docs, model).count() == docs.count()
+    every = spark.createDataFrame([(3, 0, 1), (6, 0, 1), (12, 0, 1)], "doc_id long, quality int, toxic int")
+    assert toxicity.drop_toxic(odd, toxicity.fit(odd, every)).count() == odd.count()
     one = spark.createDataFrame([(3, 0, 0), (6, 0, 0)], "doc_id long, quality int, toxic int")
     assert all(r.predicted == 0 for r in toxicity.score_documents(odd, toxicity.fit(odd, one)).collect())
 
@@ -730,6 +734,31 @@ def test_pipeline_stage_by_stage(spark, tmp_path, tables):
     assert sorted(map(str, run.collect())) == sorted(map(str, seen["byte_bpe"].collect()))
 
 
+def test_pipeline_of_odd_and_empty_tables(spark, odd, empty, tmp_path, tables):
+    import corpus_pipeline
+
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for name, docs in (("odd", odd), ("empty", empty)):
+        path = tables(spark, tmp_path / name, documents=docs, labels=none)
+        at = spark.read.parquet(f"{path}/documents.parquet")
+        rows = {}
+        for stage, step in corpus_pipeline.STAGES:
+            out = step(spark, at, path)
+            assert stage == "byte_bpe" or out.columns == docs.columns
+            out.write.parquet(str(tmp_path / name / stage))
+            at = spark.read.parquet(str(tmp_path / name / stage))
+            rows[stage] = at.collect()
+        if name == "empty":
+            assert not any(rows.values())
+            continue
+        assert sorted(map(str, rows["toxicity"])) == sorted(map(str, docs.collect()))
+        # the equal texts are one, in the row that repeats an id too; null, empty and blank texts and the row without an id stay
+        assert len(rows["near_dedup"]) == len(ODD_TEXTS) - 1 + 1
+        assert sorted(map(str, rows["secrets"])) == sorted(str(r) if r.n_chars is not None else str(r).replace("n_chars=None", f"n_chars={len(r.text or '')}") for r in rows["near_dedup"])
+        assert {r.doc_id for r in rows["mixing"]} <= {r.doc_id for r in rows["secrets"]}
+        assert len(rows["byte_bpe"]) == len(rows["mixing"])
+
+
 def test_the_rest_works_without_this_package():
     import subprocess
     import sys
