@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkgram.llm.common import WordHashes, bounded_batches, cut, mix64, shingle_hashes
+from sparkgram.llm.common import WordHashes, bounded_batches, cut, mix64, release, shingle_hashes
 from sparkgram.llm.components import connected_components
 
 WIDTH = 5
@@ -208,14 +208,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = cut(members.join(buckets, "key"), "placed")
 
     star = placed.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
-    candidates = _filtered(star, nodes)
-    links = cut(confirmed(cut(candidates, "candidates"), docs, id_col, text_col), "links")
+    candidates = cut(_filtered(star, nodes), "candidates")
+    links = cut(confirmed(candidates, docs, id_col, text_col), "links")
+    release(candidates)
     roots = connected_components(links)
 
     links, roots = _between_components(placed, links, roots, docs, id_col, text_col)
 
     of_class = _with_root(classes.select("k0", "k1", "id"), roots, "id", "component_id").select(F.col("k0").alias("_k0"), F.col("k1").alias("_k1"), "component_id")
     of_class = cut(of_class, "of_class")
+    release(placed, classes)
     rows = found.select("id", "n_shingles", "k0", "k1")
     out = rows.join(of_class, (rows.k0 == of_class._k0) & (rows.k1 == of_class._k1), "left")
     component = F.when(F.col("id").isNull(), F.col("id")).otherwise(F.coalesce("component_id", "id"))
@@ -253,6 +255,7 @@ def _between_components(placed: DataFrame, links: DataFrame, roots: DataFrame, d
             roots = connected_components(links)
         members = _open_members(placed, roots, turn + 1)
     new = cut(_exact(cut(_across(members, nodes), "rest"), sets), "links")
+    release(at_hand, ids)
     if new.limit(1).count():
         links = links.unionByName(new)
         roots = connected_components(links)
