@@ -87,16 +87,37 @@ class Trie:
 class FuzzyAutomaton:
     """Terms of a trie within ``edits`` insertions, deletions or substitutions.
 
-    States are frozen sets of (node, edits so far), closed under skipping
-    letters of the term; state None is dead.
+    A state is the set of (node, least edits so far), closed under skipping
+    letters of the term.  States are numbered as they come up, and each keeps
+    its transitions; beyond ``limit`` transitions all but the start is forgotten.
     """
 
-    def __init__(self, terms: list[str], edits: int, limit: int = 40_000):
-        self.trie, self.edits, self.limit = Trie(terms), edits, limit
-        self.steps: dict[tuple[frozenset, str], frozenset | None] = {}
-        self.start = self._closed({0: 0})
+    DEAD = -1
 
-    def _closed(self, least: dict[int, int]) -> frozenset | None:
+    def __init__(self, terms: list[str], edits: int, limit: int = 200_000):
+        self.trie, self.edits, self.limit = Trie(terms), edits, limit
+        lengths = [len(t) for t in terms] or [0]
+        self.shortest, self.longest = min(lengths) - edits, max(lengths) + edits
+        self._forget()
+
+    def _forget(self) -> None:
+        self.ids: dict[frozenset, int] = {}
+        self.states: list[frozenset] = []
+        self.moves: list[dict[str, int]] = []
+        self.known = 0
+        self._number(self._closed({0: 0}))
+
+    def _number(self, least: dict[int, int]) -> int:
+        if not least:
+            return self.DEAD
+        state = frozenset(least.items())
+        if state not in self.ids:
+            self.ids[state] = len(self.states)
+            self.states.append(state)
+            self.moves.append({})
+        return self.ids[state]
+
+    def _closed(self, least: dict[int, int]) -> dict[int, int]:
         """Adds what skipping term letters reaches; keeps the least edits of a node."""
         stack = list(least.items())
         while stack:
@@ -107,14 +128,11 @@ class FuzzyAutomaton:
                 if used + 1 < least.get(child, self.edits + 1):
                     least[child] = used + 1
                     stack.append((child, used + 1))
-        return frozenset(least.items()) if least else None
+        return least
 
-    def step(self, state: frozenset, letter: str) -> frozenset | None:
-        key = (state, letter)
-        if key in self.steps:
-            return self.steps[key]
+    def _move(self, state: int, letter: str) -> int:
         least: dict[int, int] = {}
-        for node, used in state:
+        for node, used in self.states[state]:
             children = self.trie.children[node]
             same = children.get(letter)
             if same is not None and used < least.get(same, self.edits + 1):
@@ -123,20 +141,24 @@ class FuzzyAutomaton:
                 for child in (node, *children.values()):  # a letter too many, or another letter
                     if used + 1 < least.get(child, self.edits + 1):
                         least[child] = used + 1
-        out = self._closed(least)
-        if len(self.steps) >= self.limit:
-            self.steps.clear()
-        self.steps[key] = out
+        self.moves[state][letter] = out = self._number(self._closed(least))
+        self.known += 1
         return out
 
     def match(self, word: str) -> dict[int, int]:
         """Edits of every term within reach of ``word``."""
-        state = self.start
+        if not self.shortest <= len(word) <= self.longest:
+            return {}
+        if self.known > self.limit:
+            self._forget()
+        state, moves = 0, self.moves
         for letter in word:
-            if state is None:
+            after = moves[state].get(letter)
+            state = self._move(state, letter) if after is None else after
+            if state < 0:
                 return {}
-            state = self.step(state, letter)
-        return {self.trie.ends[node]: used for node, used in state or () if self.trie.ends[node] >= 0}
+        ends = self.trie.ends
+        return {ends[node]: used for node, used in self.states[state] if ends[node] >= 0}
 
 
 def edits_for(term: str) -> int:
