@@ -204,7 +204,7 @@ class BytePairEncoder:
         return b"".join([token[i] for i in ids])
 
 
-def slices(texts: list[str | None], chars: int = 500_000) -> Iterator[list[str | None]]:
+def slices(texts: list[str | None], chars: int = 1_000_000) -> Iterator[list[str | None]]:
     """Runs of texts of about ``chars`` characters, at least one text each."""
     run, size = [], 0
     for t in texts:

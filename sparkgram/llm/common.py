@@ -135,7 +135,7 @@ class _Codes(dict):
 
 
 #: Pieces remembered by a Python worker.
-PIECES = 700_000
+PIECES = 500_000
 
 
 class PieceTable:
@@ -144,44 +144,50 @@ class PieceTable:
     ``find`` splits a text, and ``learn`` gives for new pieces their ids, one
     after the other, and how many each has.  Pieces are numbered; the ids of
     number k are ``flat[start[k] : start[k] + length[k]]``, so a run of texts is
-    one gather.  At ``keys`` pieces all but the most used half at most is
-    forgotten, which bounds memory: most pieces of a corpus come up once.
+one gather.  Beyond ``keys`` pieces only those stay that came up again, the
+    latest half at most; that bounds memory, and most pieces of a corpus come up
+    once.
     """
 
     def __init__(self, find: Callable, learn: Callable, dtype: str, keys: int = PIECES):
         self.find, self.learn, self.type, self.keys = find, learn, np.dtype(dtype), keys
         self.codes = _Codes()
-        self.start, self.length, self.uses = (np.zeros(0, np.int64) for _ in range(3))
-        self.flat, self.used = np.zeros(1 << 16, self.type), 0
+        #: By number: where its ids are, whether it came up again, and in which run of texts it came up last.
+        self.start, self.length, self.again, self.last = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1024, bool), np.zeros(1024, np.int64)
+        self.flat, self.used, self.run = np.zeros(1 << 16, self.type), 0, 0
 
     def _forget(self) -> None:
-        least = 2
-        while np.count_nonzero(kept := self.uses >= least) > self.keys // 2 or int(self.length[kept].sum()) > 8 * self.keys:
-            least *= 2
-        order = self.codes.order
-        at = np.flatnonzero(kept)
+        n = len(self.codes.order)
+        at = np.flatnonzero(self.again[:n])
+        at = np.sort(at[np.argsort(-self.last[at], kind="stable")[: self.keys // 2]])
+        while int(self.length[at].sum()) > 8 * self.keys:  # pieces of very many ids
+            at = at[: len(at) // 2]
+        flat, order, lengths = self._gather(at), self.codes.order, self.length[at]
         self.codes = _Codes()
         for i in at.tolist():
             self.codes[order[i]]
-        lengths = self.length[at]
-        self.flat = self._gather(at)
-        self.used = len(self.flat)
-        self.start, self.length, self.uses = np.cumsum(lengths) - lengths, lengths, self.uses[at] // 2
+        k = len(at)
+        self.start[:k], self.length[:k], self.last[:k] = np.cumsum(lengths) - lengths, lengths, self.last[at]
+        self.again[:] = False
+        self.flat[: len(flat)] = flat
+        self.used = len(flat)
 
     def _gather(self, codes: np.ndarray) -> np.ndarray:
         lengths = self.length[codes]
         upto = np.cumsum(lengths)
         return self.flat[np.repeat(self.start[codes] - (upto - lengths), lengths) + np.arange(int(upto[-1]) if len(upto) else 0)]
 
-    def _put(self, pieces: list[str]) -> None:
+    def _put(self, pieces: list[str], first: int) -> None:
+        """Takes in new pieces, numbered from ``first``."""
         ids, lengths = self.learn(pieces)
-        if self.used + len(ids) > len(self.flat):
-            room = np.zeros(max(2 * len(self.flat), self.used + len(ids)), self.type)
-            room[: self.used] = self.flat[: self.used]
-            self.flat = room
+        upto = first + len(pieces)
+        for name in ("start", "length", "again", "last"):
+            setattr(self, name, _with_room(getattr(self, name), first, upto))
+        self.flat = _with_room(self.flat, self.used, self.used + len(ids))
         self.flat[self.used : self.used + len(ids)] = ids
-        self.start = np.concatenate([self.start, self.used + np.cumsum(lengths) - lengths])
-        self.length = np.concatenate([self.length, lengths])
+        self.start[first:upto] = self.used + np.cumsum(lengths) - lengths
+        self.length[first:upto] = lengths
+        self.again[first:upto] = False
         self.used += len(ids)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, list[int]]:
@@ -193,13 +199,23 @@ class PieceTable:
         ends = np.cumsum([len(f) for f in found], dtype=np.int64)
         codes = np.fromiter(map(self.codes.__getitem__, chain.from_iterable(found)), np.int64, int(ends[-1]) if len(ends) else 0)
         if len(self.codes.order) > known:
-            self._put(self.codes.order[known:])
-            self.uses = np.concatenate([self.uses, np.zeros(len(self.length) - len(self.uses), np.int64)])
-        self.uses += np.bincount(codes, minlength=len(self.uses))
+            self._put(self.codes.order[known:], known)
+        self.run += 1
+        self.again[codes[codes < known]] = True
+        self.last[codes] = self.run
         upto = np.concatenate([[0], np.cumsum(self.length[codes])])
         return self._gather(codes), upto[ends].tolist()
 
 
+def _with_room(held: np.ndarray, used: int, upto: int) -> np.ndarray:
+    """``held``, or a longer array with its first ``used`` values."""
+    if upto <= len(held):
+        return held
+    room = np.zeros(max(2 * len(held), upto), held.dtype)
+    room[:used] = held[:used]
+    return room
+
+
 #: Odd multipliers, one for each place of a shingle (splitmix64 of 1, 2, ...).
 def _odd_constants(n: int, seed: int) -> np.ndarray:
     return mix64(np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed << 20)) | np.uint64(1)
