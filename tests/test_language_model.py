@@ -150,3 +150,22 @@ def test_spelling_by_the_documents(spark, two_sources):
     got = [tuple(r) for r in e.queries()["spell_predict_documents"](spark, two_sources).orderBy("query_id", "pos").collect()]
     # <S> the: 5 times, twice before thhab, once before thhcd; nothing follows <S> is
     assert [r for r in got if r[0] < 3] == [(0, 0, "thhab", round(math.log(2 / 5), 6)), (0, 1, "thhcd", round(math.log(1 / 5), 6)), (1, 0, "the", -100.0)]
+
+
+def test_spelling_gives_both_lists_whole(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as e
+
+    # four completions of abc, and five nearer fuzzy matches of other words
+    said = "abcdefghijklmnopqr abcdefghijklmnopqs abcdefghijklmnopqt abcdefghijklmnopqu zabc yabc xabc wabc vabc"
+    spark.createDataFrame([(1, said)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    talk = [(0, 0, "user", "abc"), (50, 0, "user", "zabc abc"), (50, 1, "assistant", "abc"), (51, 0, "user", "abc")]
+    spark.createDataFrame(talk, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = e.queries()["spell_batch_conversations"](spark, str(tmp_path))
+    with duckdb.connect() as db:
+        for table in ("benchmark", "conversations"):
+            db.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{tmp_path}/{table}.parquet/*.parquet')")
+        want = db.execute(f"SELECT {', '.join(got.columns)} FROM ({e.oracle_sql()['spell_batch_conversations']})").fetchall()
+    assert max(r[1] for r in want) > 5
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
