@@ -169,3 +169,15 @@ def test_spelling_gives_both_lists_whole(spark, tmp_path):
         want = db.execute(f"SELECT {', '.join(got.columns)} FROM ({e.oracle_sql()['spell_batch_conversations']})").fetchall()
     assert max(r[1] for r in want) > 5
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_spelling_broadcasts_no_index(spark, two_sources):
+    """The words asked for go to every task; the postings of the vocabulary, small in files only, never do."""
+    import re
+
+    import __spark_entry__ as e
+
+    found = e.queries()["spell_predict_documents"](spark, two_sources)
+    joins = re.findall(r"BroadcastHashJoin \[term.*?(Build\w+)", found._jdf.queryExecution().executedPlan().toString())
+    assert joins
+    assert set(joins) == {"BuildLeft"}
