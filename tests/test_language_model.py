@@ -181,3 +181,82 @@ def test_spelling_broadcasts_no_index(spark, two_sources):
     joins = re.findall(r"BroadcastHashJoin \[term.*?(Build\w+)", found._jdf.queryExecution().executedPlan().toString())
     assert joins
     assert set(joins) == {"BuildLeft"}
+
+
+ODD_TEXTS = [
+    "The cat sat. The cat ran! the\nCAT sat", "", None, " \n. ", "a", "Kelvin İstanbul İ naïve café straße", "<S> the </S> cat. </S>",
+    "counterrevolutionaries met counterrevolutionaries. counterrevolutionarie5 met " + "x" * 13 + " " + "x" * 12 + "0 " + "0" * 12 + " 0 00 000 0",
+    "The cat sat. " * 40, "Ёлка ёж и Щука. ЁЖ и ёж, to be", "one two\x00three\tfour five; six", "z" * 5000 + " z" * 300,
+]
+ODD_LISTS = [
+    ["the", "cat", "sat"], ["the"], [], None, ["The", "cat"], ["a b", "cat", "sat"], ["<S>", "the", "cat"], ["sat", "</S>", "the"], ["", "cat"], ["the", None, "cat"],
+    ["counterrevolutionaries", "met", "counterrevolutionaries"], ["x" * 13, "x" * 12 + "0", "0" * 12, "0", "00"], ["ёж", "и", "ёж"], ["z" * 5000, "z", "z", "z"], ["cat", "sat"] * 30, ["café"], ["caf"], ["unheard", "of", "it"],
+]
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+@pytest.mark.parametrize("alphabet", [("english", "numbers"), ("english", "russian", "numbers", "'-")])
+def test_blocks_give_what_strings_give(spark, order, alphabet):
+    config = LanguageModelConfig("odd", order, alphabet, (".", "?", "!", "\n"))
+    texts = spark.createDataFrame([(t,) for t in ODD_TEXTS], "text string").repartition(3)
+    model = lm.LanguageModel.train(texts, "text", config)
+    strings = lm.LanguageModel(config, model.ngrams.cache(), True)
+    assert model._texts is not None
+    assert sorted(map(tuple, model.totals().collect())) == sorted(map(tuple, strings.totals().collect()))
+    lists = spark.createDataFrame(list(enumerate(ODD_LISTS)), "id long, words array<string>").repartition(2)
+    for score in ("score_sentences", "score_ngrams"):
+        got, want = [{r.id: r.score for r in getattr(m, score)(lists).collect()} for m in (model, strings)]
+        assert got == pytest.approx(want), score
+
+
+def test_blocks_of_nothing(spark):
+    texts = spark.createDataFrame([(None,), ("...",)], "text string")
+    lists = spark.createDataFrame([(1, ["a", "b", "c"]), (2, [])], "id long, words array<string>")
+    model = lm.LanguageModel.train(texts, "text", CONFIG)
+    assert model.totals().collect() == []
+    assert {r.id: r.score for r in model.score_sentences(lists).collect()} == {1: -300.0, 2: 0.0}
+    assert model.score_sentences(lists.where("id > 5")).collect() == []
+
+
+def test_unusual_models_keep_to_strings():
+    from dataclasses import replace
+
+    from sparkgram.plans import gram_blocks
+
+    assert gram_blocks.supported(CONFIG)
+    for other in ({"order": 4}, {"separators": ("k",)}, {"separators": ()}, {"alphabet": ("english", " ")}, {"alphabet": ("σς",)}, {"start": "s"}, {"end": "<S>"}):
+        assert not gram_blocks.supported(replace(CONFIG, **other)), other
+
+
+def test_runs_of_very_many_words(monkeypatch):
+    """A run with more words than can be numbered, or more positions than are counted at once."""
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from sparkgram.plans import gram_blocks
+
+    monkeypatch.setattr(gram_blocks, "BITS", 5)
+    monkeypatch.setattr(gram_blocks, "POSITIONS", 24)
+    sents = [[f"w{i * j % 97}" for i in range(j)] for j in range(1, 40)]
+    blocks = list(gram_blocks._text_blocks(gram_blocks.Words(CONFIG), pa.array([". ".join(map(" ".join, sents))]), 3, 4))
+    want = [Counter() for _ in range(3)]
+    for s in sents:
+        w = ["<S>", *s, "</S>"]
+        for n in (1, 2, 3):
+            want[n - 1].update(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+    held = [gram_blocks._Merged((x for b in blocks for at, x in zip(b["bucket"].to_pylist(), b["block"].to_pylist(), strict=True) if at == bucket), 3) for bucket in range(4)]
+    assert len(blocks) > 30
+    for n in range(3):
+        assert sorted(c for m in held for c in m.counts[n].tolist()) == sorted(want[n].values())
+
+
+@pytest.mark.parametrize("name", ["sentence_score_documents"])
+def test_ngrams_of_the_documents_are_no_rows(spark, two_sources, name):
+    """Neither a row for each n-gram of the documents nor one for each window of the conversations."""
+    import __spark_entry__ as e
+
+    plan = e.queries()[name](spark, two_sources)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan
+    assert "arrays_zip" not in plan
+    assert " Join" not in plan
