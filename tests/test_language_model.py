@@ -251,7 +251,7 @@ def test_runs_of_very_many_words(monkeypatch):
         assert sorted(c for m in held for c in m.counts[n].tolist()) == sorted(want[n].values())
 
 
-@pytest.mark.parametrize("name", ["sentence_score_documents"])
+@pytest.mark.parametrize("name", ["ngram_counts_documents", "sentence_score_documents"])
 def test_ngrams_of_the_documents_are_no_rows(spark, two_sources, name):
     """Neither a row for each n-gram of the documents nor one for each window of the conversations."""
     import __spark_entry__ as e
